@@ -1,0 +1,84 @@
+"""Two copies of a table that differ only in row order, and what predicates read of each."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from punctuality.operators.layout import (
+    MAX_RECORDS_PER_FILE,
+    file_manifest,
+    measure,
+    read_pruned,
+    skipped_share,
+    write_layout,
+)
+
+
+def layout_experiment(
+    source: DataFrame,
+    folder: str,
+    *,
+    partition_by: Sequence[str],
+    cluster_by: Sequence[str],
+    pruning: Sequence[str],
+    clustering: Sequence[Mapping[str, Sequence]],
+    aggregates: Sequence,
+    max_records_per_file: int = MAX_RECORDS_PER_FILE,
+    files: int | None = None,
+) -> DataFrame:
+    """One row per measurement: layout, predicate, files, bytes, rows, share skipped, same answer.
+
+    Partition predicates run on the natural copy. Clustered predicates run on both copies
+    through a file manifest; plain Parquet has no statistics above the file. Each measured
+    frame is an aggregate over real columns, and only such rows reach the driver.
+    """
+    spark: SparkSession = source.sparkSession
+    natural, clustered = f"{folder}/natural", f"{folder}/clustered"
+    write_layout(source, natural, partition_by=partition_by, max_records_per_file=max_records_per_file, files=files)
+    write_layout(
+        source,
+        clustered,
+        partition_by=partition_by,
+        cluster_by=cluster_by,
+        max_records_per_file=max_records_per_file,
+        files=files,
+    )
+    rows = []
+
+    def record(layout: str, got: dict, baseline: dict) -> None:
+        same = got["answer"] == baseline["answer"] if got["label"] == baseline["label"] else True
+        rows.append(
+            (layout, got["label"], got["files"], got["bytes"], got["rows"], got["seconds"], baseline["bytes"], same)
+        )
+
+    table = spark.read.parquet(natural)
+    full = measure("full scan", table.agg(*aggregates))
+    record("natural", full, full)
+    for predicate in pruning:
+        record("natural", measure(predicate, table.where(predicate).agg(*aggregates)), full)
+
+    columns = sorted({c for wanted in clustering for c in wanted})
+    copies = {}
+    for name, path in (("natural", natural), ("clustered", clustered)):
+        copy = spark.read.parquet(path)
+        # One row per file, used for every predicate.
+        copies[name] = (copy, path, file_manifest(copy, columns).persist())
+    for wanted in clustering:
+        label = " and ".join(f"{c} in {list(v)}" for c, v in wanted.items())
+        got = {
+            name: measure(label, read_pruned(copy, path, manifest, wanted).agg(*aggregates))
+            for name, (copy, path, manifest) in copies.items()
+        }
+        record("natural", got["natural"], got["natural"])
+        record("clustered", got["clustered"], got["natural"])
+    out = spark.createDataFrame(
+        rows,
+        "layout string, predicate string, files bigint, bytes bigint, rows bigint, seconds double, "
+        "baseline_bytes bigint, answers_match boolean",
+    )
+    return out.withColumn("bytes_skipped", F.round(skipped_share(F.col("bytes"), F.col("baseline_bytes")), 4)).drop(
+        "baseline_bytes"
+    )
