@@ -179,3 +179,43 @@ raw AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'abc' WHEN o_orderkey % 97 = 1
     CASE WHEN o_orderkey % 97 = 9 THEN '2023' WHEN o_orderkey % 97 = 10 THEN '1997-02-30'
         ELSE strftime(o_orderdate, '%Y-%m-%d') END AS ordered,
     o_orderpriority AS priority FROM orders)"""
+
+
+def yearly_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven years of legs from ``orders``, with a delay that partly follows the features."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    key, customer, date = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
+    month, minute = F.month(date), (key % 24) * 60 + key % 60
+    peak = F.when(month.isin(6, 7, 12), 20).otherwise(0)
+    delay = (key * 7919 % 97 - 60 + 4 * (customer % 10) + peak).cast("int")
+    flown = key % 50 != 0
+    dep = date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))
+    clock = lambda ts: F.date_format(ts, "HHmm")
+    after = lambda m: dep + F.make_dt_interval(F.lit(0), F.lit(0), m)
+    place = lambda n: F.concat(F.lit("N"), F.lpad(n.cast("string"), 2, "0"))
+    return tag(
+        o.select(
+            key.alias("row_key"),
+            F.year(date).alias("Year"),
+            month.alias("Month"),
+            (F.weekday(date) + 1).alias("DayOfWeek"),
+            date.alias("FlightDate"),
+            F.concat(F.lit("C"), F.substring("o_orderpriority", 1, 1)).alias("Reporting_Airline"),
+            F.lpad(key.cast("string"), 12, "0").alias("Flight_Number_Reporting_Airline"),
+            F.concat(F.lit("T"), (customer % 200).cast("string")).alias("Tail_Number"),
+            place(customer % 25).alias("Origin"),
+            place(key % 25).alias("Dest"),
+            F.concat(F.lit("City "), (customer % 25).cast("string")).alias("OriginCityName"),
+            F.concat(F.lit("City "), (key % 25).cast("string")).alias("DestCityName"),
+            clock(dep).alias("CRSDepTime"),
+            clock(after(F.lit(90))).alias("CRSArrTime"),
+            F.when(flown, clock(dep)).alias("DepTime"),
+            F.when(flown, clock(after(90 + delay))).alias("ArrTime"),
+            F.lit(90.0).alias("CRSElapsedTime"),
+            (100.0 * (1 + customer % 10) + 10 * (key % 10)).alias("Distance"),
+            F.when(flown, (delay - key % 7).cast("double")).alias("DepDelay"),
+            F.when(flown, (key % 20 + 5).cast("double")).alias("TaxiOut"),
+            F.when(flown, delay.cast("double")).alias("ArrDelay"),
+            F.when(flown, (delay >= 15).cast("double")).alias("ArrDel15"),
+        )
+    )

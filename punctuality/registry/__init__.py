@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Run = Callable[[SparkSession, str], DataFrame]
 
-_GROUPS = ("legs", "rates", "daily", "quality", "metrics", "serving", "layout")
+_GROUPS = ("legs", "rates", "daily", "quality", "metrics", "serving", "layout", "modelling")
 
 
 def all_queries() -> dict[str, tuple[Run, str | None]]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -45,26 +42,47 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _text_of(content: bytes, path: str) -> io.TextIOWrapper:
-    archive = zipfile.ZipFile(io.BytesIO(content))
-    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-    if len(members) != 1:
-        raise ValueError(f"{path}: expected exactly one CSV member, found {members}")
-    return io.TextIOWrapper(archive.open(members[0]), encoding="utf-8-sig", newline="")
+def _csv_reader():
+    """A function that opens the one CSV member of an archive as text.
 
+    It and the functions around it are closed over nothing but the standard library and
+    pandas, so executors need not have this package installed.
+    """
+
+    def text_of(content, path):
+        import io
+        import zipfile
+
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
+        if len(members) != 1:
+            raise ValueError(f"{path}: expected exactly one CSV member, found {members}")
+        return io.TextIOWrapper(archive.open(members[0]), encoding="utf-8-sig", newline="")
+
+    return text_of
+
+
+def _first_lines(trailing: str = TRAILING_FIELD):
+    text_of = _csv_reader()
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            names = next(csv.reader(_text_of(row.content, row.path)), [])
-            if names and names[-1] == "":
-                names[-1] = TRAILING_FIELD
-            yield pd.DataFrame({"year": [row.year], "month": [row.month], "header": [names]})
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                names = next(csv.reader(text_of(row.content, row.path)), [])
+                if names and names[-1] == "":
+                    names[-1] = trailing
+                yield pd.DataFrame({"year": [row.year], "month": [row.month], "header": [names]})
+
+    return read
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     """(year, month, header): one row per archive. Only the first line is unpacked."""
-    return archives(spark, folder).mapInPandas(_first_lines, "year int, month int, header array<string>")
+    return archives(spark, folder).mapInPandas(_first_lines(), "year int, month int, header array<string>")
 
 
 def verify_headers(found: DataFrame, expected: Sequence[str] | None = None) -> list[str]:
@@ -105,24 +123,23 @@ def verify_headers(found: DataFrame, expected: Sequence[str] | None = None) -> l
     return reference
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            lines: list[str] = []
-            number = 0
-            for line in _text_of(row.content, row.path):
-                lines.append(line.rstrip("\r\n"))
-                if len(lines) == _LINES_PER_BATCH:
-                    yield _numbered(row, number, lines)
-                    number, lines = number + len(lines), []
-            if lines:
-                yield _numbered(row, number, lines)
+def _lines(per_batch: int = _LINES_PER_BATCH):
+    text_of = _csv_reader()
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from itertools import islice
 
-def _numbered(row, start: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"Year": row.year, "Month": row.month, "line_no": range(start, start + len(lines)), "value": lines}
-    )
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                text, start = text_of(row.content, row.path), 0
+                while lines := [line.rstrip("\r\n") for line in islice(text, per_batch)]:
+                    numbers = range(start, start + len(lines))
+                    start += len(lines)
+                    yield pd.DataFrame({"Year": row.year, "Month": row.month, "line_no": numbers, "value": lines})
+
+    return read
 
 
 def archive_lines(archive_rows: DataFrame) -> DataFrame:
@@ -131,7 +148,7 @@ def archive_lines(archive_rows: DataFrame) -> DataFrame:
     A ZIP member cannot be split, so an archive is one task's work; its lines leave the task
     in batches and are never held together.
     """
-    return archive_rows.mapInPandas(_lines, "Year int, Month int, line_no bigint, value string")
+    return archive_rows.mapInPandas(_lines(), "Year int, Month int, line_no bigint, value string")
 
 
 def staged_months(spark: SparkSession, staging: str) -> DataFrame:

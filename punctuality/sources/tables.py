@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctuality.contract import FLIGHTS, PARTITION_COLUMNS, raw_schema
@@ -68,18 +68,23 @@ def curate(
     types: Mapping[str, str] = CONTRACT_TYPES,
     partition_by: Sequence[str] = PARTITION_COLUMNS,
 ) -> Curation:
-    """Type and write ``raw``, counting rows and failed casts in the same pass.
+    """Type and write ``raw``, counting rows and failed casts.
 
-    The counts ride on the write as an observation, so the text is read once. No shuffle:
-    each task writes the partitions it reads. What was written is counted from the files.
-    ``path`` is expected to hold nothing but this table.
+    One pass counts everything (all columns in one aggregate), one pass writes; neither
+    shuffles rows, each task writes the partitions it reads. An observation on the write
+    would save the first pass, but it leaves the session unable to run ML transformers
+    (its manager cannot be serialised with their closures). What was written is counted from
+    the files; ``path`` is expected to hold nothing but this table.
     """
-    counts = Observation("curation")
-    write_table(typed_select(raw.observe(counts, *cast_counts(types)), types), path, partition_by)
-    seen = counts.get
+    counts = raw.agg(*cast_counts(types))
+    seen = counts.first()
     spark = raw.sparkSession
-    one_row = spark.createDataFrame([tuple(int(v) for v in seen.values())], [*seen])
-    return Curation(int(seen["row_count"]), spark.read.parquet(path).count(), cast_report(one_row, types))
+    write_table(typed_select(raw, types), path, partition_by)
+    return Curation(
+        int(seen["row_count"]),
+        spark.read.parquet(path).count(),
+        cast_report(spark.createDataFrame([seen], counts.schema), types),
+    )
 
 
 def write_result(df: DataFrame, folder: str, name: str) -> None:

@@ -35,7 +35,7 @@ def main(sf_dir, names):
             else:
                 said = f"rows only: {len(df.collect())}"
         except Exception as e:  # noqa: BLE001
-            said = f"ERROR {type(e).__name__}: {str(e)[:1500]}"
+            said = f"ERROR {type(e).__name__}: {str(e)[:300] + " ... " + str(e)[str(e).find("Caused by"):][:600]}"
         bad += said != "ok" and not said.startswith("rows only")
         print(f"{name:28s} {time.time() - start:6.1f}s  {said}", flush=True)
     print("bad:", bad)
