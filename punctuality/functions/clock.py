@@ -15,19 +15,19 @@ def clock_minutes(clock: Column) -> Column:
     return hours * 60 + minutes
 
 
-def checked_clock_minutes(clock: Column, *, strict_midnight: bool = False) -> Column:
-    """As :func:`clock_minutes`, but null for whatever is not a clock.
+# What counts as a clock. Hours up to 24 and minutes up to 59 pass, so "2430" does;
+# the strict form admits hour 24 only as "2400".
+_CLOCK = r"^([01][0-9]|2[0-4])[0-5][0-9]$"
+_STRICT_CLOCK = r"^(([01][0-9]|2[0-3])[0-5][0-9]|2400)$"
 
-    Hours up to 24 and minutes up to 59 pass, so ``2430`` does; ``strict_midnight`` admits
-    hour 24 only as ``2400``.
-    """
-    shaped = clock.rlike(r"^[0-9]{4}$")
-    hours = F.substring(clock, 1, 2).try_cast("int")
-    minutes = F.substring(clock, 3, 2).try_cast("int")
-    valid = shaped & (hours <= 24) & (minutes <= 59)
-    if strict_midnight:
-        valid = valid & ((hours < 24) | (minutes == 0))
-    return F.when(valid, hours * 60 + minutes)
+
+def is_clock(clock: Column, *, strict_midnight: bool = False) -> Column:
+    return clock.rlike(_STRICT_CLOCK if strict_midnight else _CLOCK)
+
+
+def checked_clock_minutes(clock: Column, *, strict_midnight: bool = False) -> Column:
+    """As :func:`clock_minutes`, but null for whatever is not a clock."""
+    return F.when(is_clock(clock, strict_midnight=strict_midnight), clock_minutes(clock))
 
 
 def clock_text(minutes: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from punctuality.contract import FEATURES_BEFORE_DEPARTURE, in_training_order
 from punctuality.functions.calendar import iso_weekday
-from punctuality.functions.clock import checked_clock_minutes
+from punctuality.functions.clock import clock_minutes, is_clock
 from punctuality.functions.numbers import SERVED_BASE_RATE, times_base_rate, warning
 
 # Default threshold and the lengths of the codes.
@@ -34,8 +34,8 @@ def broken_rules() -> dict[str, Column]:
         "carrier": _within(F.length("carrier"), CARRIER_LENGTH),
         "origin": _within(F.length("origin"), AIRPORT_LENGTH),
         "dest": _within(F.length("dest"), AIRPORT_LENGTH),
-        "scheduled_departure": checked_clock_minutes(F.col("scheduled_departure"), strict_midnight=True).isNotNull(),
-        "scheduled_arrival": checked_clock_minutes(F.col("scheduled_arrival"), strict_midnight=True).isNotNull(),
+        "scheduled_departure": is_clock(F.col("scheduled_departure"), strict_midnight=True),
+        "scheduled_arrival": is_clock(F.col("scheduled_arrival"), strict_midnight=True),
         "distance_miles": F.col("distance_miles") > 0,
         "scheduled_elapsed_minutes": F.col("scheduled_elapsed_minutes") > 0,
         "inbound_turnaround_minutes": F.coalesce(F.col("inbound_turnaround_minutes") >= 0, F.lit(True)),
@@ -51,8 +51,11 @@ def validate(requests: DataFrame) -> DataFrame:
 
 
 def good_and_bad(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = validate(requests)
-    return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
+    """Requests that keep every rule, and the others with the fields whose rule they break."""
+    any_broken = F.lit(False)
+    for broken in broken_rules().values():
+        any_broken = any_broken | broken
+    return requests.where(~any_broken), validate(requests).where(F.size("violations") > 0)
 
 
 def with_serving_priors(requests: DataFrame, origin_priors: DataFrame, carrier_priors: DataFrame) -> DataFrame:
@@ -79,8 +82,8 @@ def request_features(requests: DataFrame, origin_priors: DataFrame, carrier_prio
     upper = requests.withColumns({c: F.upper(c) for c in ("carrier", "origin", "dest")})
     derived = with_serving_priors(upper, origin_priors, carrier_priors).select(
         *keep,
-        checked_clock_minutes(F.col("scheduled_departure")).alias("dep_minute_of_day"),
-        checked_clock_minutes(F.col("scheduled_arrival")).alias("arr_minute_of_day"),
+        clock_minutes(F.col("scheduled_departure")).alias("dep_minute_of_day"),
+        clock_minutes(F.col("scheduled_arrival")).alias("arr_minute_of_day"),
         iso_weekday(F.col("flight_date")).alias("day_of_week"),
         F.month("flight_date").alias("month"),
         F.col("distance_miles").alias("distance"),
