@@ -51,9 +51,17 @@ def daily_rate_by_origin(legs: DataFrame) -> DataFrame:
 
 
 def recent_prior_rates(model_table: DataFrame, *, days: int = RECENT_DAYS) -> DataFrame:
-    """Rate and rows per origin and per carrier over the last ``days`` days, in long form."""
-    latest = model_table.agg(F.max("flight_date")).scalar()
-    recent = model_table.where(F.col("flight_date") > F.date_sub(latest, days))
+    """Rate and rows per origin and per carrier over the last ``days`` days, in long form.
+
+    ``year`` is the partition column: the last date is looked for in the last year only, and
+    the recent rows are read from the one or two years that can hold them.
+    """
+    year, date = F.col("year"), F.col("flight_date")
+    last_year = model_table.agg(F.max("year")).scalar()
+    latest = model_table.where(year == last_year).agg(F.max("flight_date").alias("d"))
+    since = latest.select(F.date_sub("d", days)).scalar()
+    since_year = latest.select(F.year(F.date_sub("d", days))).scalar()
+    recent = model_table.where((year >= since_year) & (date > since))
     cube = recent.groupBy("origin", "carrier").agg(
         F.sum("label").alias("late"), F.count("label").alias("labelled"), F.count(F.lit(1)).alias("flights")
     )
@@ -79,17 +87,26 @@ def routes(
 ) -> DataFrame:
     """Every route with enough flights: cities, typical distance and duration, flights.
 
-    ``median`` keeps counts per distinct value, combined on the map side: a route with any
-    number of rows needs no more than its distinct whole miles and minutes.
+    Equal rows are counted first, with plain hash aggregation on the map side: a route has
+    few distinct whole miles and minutes, so what is shuffled, and what the exact medians
+    see, does not grow with its flights.
     """
+    counted = legs.groupBy(
+        F.col(origin).alias("origin"),
+        F.col(dest).alias("dest"),
+        F.col(origin_city).alias("_from"),
+        F.col(dest_city).alias("_to"),
+        F.col(distance).alias("_distance"),
+        F.col(elapsed).alias("_elapsed"),
+    ).agg(F.count(F.lit(1)).alias("n"))
     return (
-        legs.groupBy(F.col(origin).alias("origin"), F.col(dest).alias("dest"))
+        counted.groupBy("origin", "dest")
         .agg(
-            F.any_value(F.col(origin_city), F.lit(True)).alias("origin_city"),
-            F.any_value(F.col(dest_city), F.lit(True)).alias("dest_city"),
-            F.median(distance).alias("distance"),
-            F.median(elapsed).alias("elapsed_minutes"),
-            F.count(F.lit(1)).alias("flights"),
+            F.any_value(F.col("_from"), F.lit(True)).alias("origin_city"),
+            F.any_value(F.col("_to"), F.lit(True)).alias("dest_city"),
+            F.percentile("_distance", 0.5, F.col("n")).alias("distance"),
+            F.percentile("_elapsed", 0.5, F.col("n")).alias("elapsed_minutes"),
+            F.sum("n").alias("flights"),
         )
         .where(F.col("flights") >= min_flights)
         .orderBy(F.col("flights").desc(), "origin", "dest")

@@ -36,19 +36,24 @@ def with_previous_leg(
     arrival: str = "actual_arr_ts",
     delay: str = "ArrDelay",
     hot_rows: int | None = HOT_ROWS,
+    missing_tail: str = "alone",
 ) -> DataFrame:
     """Add ``prev_arr_ts`` and ``prev_arr_delay`` of the vehicle's leg before this one.
 
-    Legs without a tail never become each other's inbound.
+    Legs without a tail never become each other's inbound; ``missing_tail="group"`` takes
+    them for one vehicle instead, as a plain window does.
     """
+    if missing_tail not in ("alone", "group"):
+        raise ValueError(f"missing_tail must be alone or group, got {missing_tail!r}")
+    key = F.col(tail) if missing_tail == "alone" else F.coalesce(F.col(tail), F.lit(""))
     return lag_by_key(
-        legs.withColumn("_minute", epoch_minute(F.col(departure))),
-        tail,
+        legs.withColumns({"_minute": epoch_minute(F.col(departure)), "_tail": key}),
+        "_tail",
         [departure, *tiebreakers],
         {arrival: "prev_arr_ts", delay: "prev_arr_delay"},
         "_minute",
         hot_rows=hot_rows,
-    ).drop("_minute")
+    ).drop("_minute", "_tail")
 
 
 def inbound_usable(

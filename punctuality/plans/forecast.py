@@ -284,7 +284,8 @@ def seasonal_autoregression(
     day on which a forecast could first have used it. No loop over series, orders or months.
     """
     keys = [group] if group else []
-    rows = design(series, horizon=horizon, group=group, column=column)
+    # Written once: selection, refits and forecasts all read it. A few numbers per day.
+    rows = materialised(design(series, horizon=horizon, group=group, column=column), "design")
     aic = order_scores(rows, first_test_date, keys)
     best = aic.groupBy(*keys).agg(F.min_by("order", F.struct("aic", "order")).alias("order"))
     usable_from = F.trunc(F.date_add("date", horizon - 1), "month")

@@ -97,7 +97,12 @@ def with_priors(rows: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def model_table(
-    flights: DataFrame, *, period: str = "month", hot_rows: int | None = HOT_ROWS, keep: tuple[str, ...] = ()
+    flights: DataFrame,
+    *,
+    period: str = "month",
+    hot_rows: int | None = HOT_ROWS,
+    missing_tail: str = "alone",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Model rows from a fact table with the contract's column names.
 
@@ -110,6 +115,7 @@ def model_table(
         departure="sched_dep_ts",
         tiebreakers=("Flight_Number_Reporting_Airline", "origin", "dest"),
         hot_rows=hot_rows,
+        missing_tail=missing_tail,
     ).where(F.col("label").isNotNull())
     departure, landed = F.col("sched_dep_ts"), F.col("prev_arr_ts")
     usable = inbound_usable(landed, departure)

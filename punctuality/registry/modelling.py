@@ -15,8 +15,8 @@ from punctuality.plans.model_table import model_table, with_priors
 from punctuality.registry.daily import FIRST_TEST_DATE, busy, national
 from punctuality.registry.metrics import HIST_SQL
 from punctuality.registry.shared import comparable, with_ctes
-from punctuality.session import materialised, shared_folder
-from punctuality.sources.tables import load_bundle
+from punctuality.session import shared_folder
+from punctuality.sources.tables import load_bundle, write_model_table
 
 _M = inputs.MONTHLY_SQL
 TRAIN_YEAR, TEST_YEAR = 1999, 2000
@@ -28,8 +28,9 @@ _KEY = "row_key"
 
 def yearly_model_table(spark, sf_dir):
     """The model table is written once per query and read by every fit, as a user would."""
-    table = model_table(inputs.yearly_flights(spark, sf_dir), period="month", keep=(_KEY,))
-    return materialised(table, "model-table")
+    path = shared_folder(spark, "model-table")
+    write_model_table(model_table(inputs.yearly_flights(spark, sf_dir), period="month", keep=(_KEY,)), path)
+    return spark.read.parquet(path)
 
 
 def _facts_of(spark, sf_dir, year):
@@ -126,10 +127,22 @@ def _calibrated(spark, sf_dir):
 
 
 def _isotonic(spark, sf_dir):
-    """A map fitted on one scored set and applied to every score of it."""
+    """A map fitted on one scored set, at every distinct score of it."""
     scored = inputs.scores(spark, sf_dir).where(F.col("model") == "tied").select("label", "prob")
     mapped = train.isotonic_scores(train.fit_isotonic(scored), scored)
-    return mapped.groupBy("prob").agg(F.max("mapped").alias("mapped"), F.count(F.lit(1)).alias("rows"))
+    return comparable(mapped.groupBy("prob").agg(F.max("mapped").alias("mapped"), F.count(F.lit(1)).alias("rows")))
+
+
+# The monotone fit as a formula: at each score, the highest over all starts at or below it of
+# the lowest over all ends at or above it of the mean in between.
+_ISOTONIC_SQL = with_ctes(
+    """SELECT prob, round(max(least_mean), 6) AS mapped, any_value(n) AS rows FROM (
+        SELECT i.prob, i.n, j.prob AS a, min((k.cp - j.cp + j.pos) / (k.cn - j.cn + j.n)) AS least_mean
+        FROM cum i JOIN cum j ON j.prob <= i.prob JOIN cum k ON k.prob >= i.prob GROUP BY 1, 2, 3) q GROUP BY 1""",
+    inputs.SCORES_SQL,
+    """levels AS (SELECT prob, count(*) AS n, sum(label) AS pos FROM scored WHERE model = 'tied' GROUP BY 1)""",
+    """cum AS (SELECT *, sum(n) OVER (ORDER BY prob) AS cn, sum(pos) OVER (ORDER BY prob) AS cp FROM levels)""",
+)
 
 
 def _importance(spark, sf_dir):
@@ -180,7 +193,7 @@ def _report(spark, sf_dir):
     return forecast.forecast_report(
         add_calendar_features(national(spark, sf_dir)),
         add_calendar_features(busy(spark, sf_dir)),
-        date(2001, 6, 1),
+        date(2001, 10, 1),
         regressor=_regressor,
     )
 
@@ -235,7 +248,7 @@ QUERIES = {
     ),
     "model_evaluation": (_evaluated, None),
     "calibration_comparison": (_calibrated, None),
-    "isotonic_map": (_isotonic, None),
+    "isotonic_map": (_isotonic, _ISOTONIC_SQL),
     "permutation_importance": (_importance, None),
     "export_and_load": (_exported, None),
     "gbt_backtest": (_backtest, None),

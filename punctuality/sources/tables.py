@@ -39,9 +39,20 @@ def typed_flights(raw: DataFrame) -> DataFrame:
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = PARTITION_COLUMNS, mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = PARTITION_COLUMNS,
+    mode: str = "overwrite",
+    *,
+    rebalance: bool = False,
 ) -> None:
-    """Partitioned Parquet, ZSTD. Overwriting replaces only the partitions that are written."""
+    """Partitioned Parquet, ZSTD. Overwriting replaces only the partitions that are written.
+
+    ``rebalance`` is for rows that are not yet grouped by the partition columns: one shuffle
+    in which the adaptive planner merges small partitions and splits a hot one, instead of a
+    file per task and partition.
+    """
+    df = df.hint("rebalance", *partition_by) if rebalance else df
     (
         df.write.partitionBy(*partition_by)
         .option("compression", "zstd")
@@ -51,6 +62,11 @@ def write_table(
     )
 
 
+def write_model_table(table: DataFrame, path: str) -> None:
+    """Model rows by year. They come out of a shuffle by vehicle, hence the rebalance."""
+    write_table(table, path, ["year"], rebalance=True)
+
+
 @dataclass(frozen=True)
 class Curation:
     rows_read: int

@@ -73,6 +73,13 @@ def test_inbound_rules(spark, hot_rows):
     assert inbound(spark, hot_rows=hot_rows) == EXPECTED
 
 
+def test_missing_tails_as_one_vehicle(spark):
+    got = inbound(spark, missing_tail="group")
+    assert got["13"] == (1, 1.0, 240) and {k: v for k, v in got.items() if k != "13"} == {
+        k: v for k, v in EXPECTED.items() if k != "13"
+    }
+
+
 def test_priors_come_from_the_month_before(spark):
     rows = [
         ("N1", date(2023, 1, 5), "0600", "0600", "0800", 20.0, "01", "A", "B"),

@@ -11,7 +11,6 @@ ROWS_ONLY = {
     "table_detail": {"num_files", "size_bytes", "partition_columns"},
     "scan_report": {"predicate", "files", "bytes", "rows", "partitions"},
     "zorder_report": {"layout", "files", "files_for_supplier", "files_for_part"},
-    "isotonic_map": {"prob", "mapped", "rows"},
     "seasonal_ar_forecast": {"origin", "date", "order", "actual", "predicted"},
 }
 
