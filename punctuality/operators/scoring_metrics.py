@@ -247,7 +247,8 @@ def ranking_preserved(
     over_cells = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell")
     carried = (
         spans.groupBy(*keys, "_cell")
-        .agg(F.max_by("high", "score").alias("high"))
+        # "low" only keeps both branches on the same aggregate, so that its shuffle is reused.
+        .agg(F.max_by("high", "score").alias("high"), F.max_by("low", "score").alias("low"))
         .withColumn("_cell", F.lead("_cell").over(over_cells))
         .where(F.col("_cell").isNotNull())
         .withColumn("_carried", F.lit(True))

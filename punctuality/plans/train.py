@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -174,18 +175,30 @@ def best_model(metrics: DataFrame) -> DataFrame:
     )
 
 
-def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    """Monotone map of ``prob`` to the observed rate.
+#: Points the isotonic fit is given at most. It pools violators in tasks, but ends on the
+#: driver, and so does its model.
+MAX_ISOTONIC_POINTS = 1_000_000
 
-    Rows with equal scores are merged into one weighted point first, which leaves the fit
-    unchanged and its input no bigger than the number of distinct scores.
-    """
-    points = score_histogram(scored).select(
+
+def isotonic_points(scored: DataFrame, max_points: int = MAX_ISOTONIC_POINTS) -> DataFrame:
+    """(score, rate, weight): rows with equal scores as one weighted point, which leaves the
+    fit unchanged. Only if there are more distinct scores than ``max_points``, scores closer
+    than 1/max_points are merged at their weighted mean; every row keeps its weight."""
+    histogram = score_histogram(scored).persist(StorageLevel.MEMORY_AND_DISK)
+    if histogram.count() > max_points:
+        histogram = histogram.groupBy(F.floor(F.col("score") * max_points)).agg(
+            (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"), F.sum("pos").alias("pos"), F.sum("n").alias("n")
+        )
+    return histogram.select(
         "score", (F.col("pos") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight")
     )
+
+
+def fit_isotonic(scored: DataFrame, max_points: int = MAX_ISOTONIC_POINTS) -> IsotonicRegressionModel:
+    """Monotone map of ``prob`` to the observed rate."""
     return IsotonicRegression(
         featuresCol="score", labelCol="rate", weightCol="weight", predictionCol="mapped"
-    ).fit(points)
+    ).fit(isotonic_points(scored, max_points))
 
 
 def isotonic_scores(model: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:

@@ -113,6 +113,24 @@ def test_isotonic_keeps_order_and_fits(years, boosted):
     assert mapped.where("mapped < 0 OR mapped > 1").count() == 0
 
 
+def test_isotonic_points_keep_every_row(spark):
+    rows = spark.range(500).select((F.col("id") % 3 == 0).cast("double").alias("label"), (F.col("id") / 500).alias("prob"))
+    for most, points in ((1000, 500), (10, 10)):
+        got = train.isotonic_points(rows, most).agg(F.count("*"), F.sum("weight"), F.sum(F.col("rate") * F.col("weight"))).first()
+        assert tuple(got) == (points, 500.0, pytest.approx(167.0))
+
+
+def test_best_model(spark):
+    rows = [("A", "x", 0.2), ("A", "y", 0.4), ("B", "x", 0.9)]
+    best = train.best_model(spark.createDataFrame(rows, "scenario string, model string, pr_auc double"))
+    assert {r.scenario: (r.model, r.pr_auc) for r in best.collect()} == {"A": ("y", 0.4), "B": ("x", 0.9)}
+
+
+def test_near_zero(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("b", 1e-6), ("c", -1e-6)], "feature string, mean_drop double")
+    assert {r.feature for r in importance.near_zero(rows).collect()} == {"b", "c"}
+
+
 def test_importance_finds_the_signal(years, boosted):
     _, test = years
     out = importance.permutation_importance(
