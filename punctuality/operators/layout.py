@@ -266,8 +266,8 @@ def capacity_projection(
     feed_compressed_bytes.
     """
     c = F.col
-    per_byte = c("rows_measured") / c("compressed_bytes_measured")
-    per_row = c("parquet_bytes_measured") / c("rows_measured")
+    per_byte = F.try_divide("rows_measured", "compressed_bytes_measured")
+    per_row = F.try_divide("parquet_bytes_measured", "rows_measured")
     whole = lambda x: F.round(x).cast("bigint")
     return (
         measured.withColumn("estimated_feed_rows", whole(c("feed_compressed_bytes") * per_byte))
@@ -276,10 +276,10 @@ def capacity_projection(
             {
                 "rows_per_compressed_gigabyte": whole(per_byte * 1e9),
                 "parquet_bytes_per_row": F.round(per_row, 2),
-                "multiple_of_measured": F.round(c("estimated_feed_rows") / c("rows_measured"), 2),
+                "multiple_of_measured": F.round(F.try_divide("estimated_feed_rows", "rows_measured"), 2),
                 "estimated_working_set_bytes": whole(c("estimated_feed_parquet_bytes") * expansion),
                 "fits": c("estimated_feed_parquet_bytes") * expansion < machine_bytes,
-                "rows_that_fit": whole(machine_bytes / (per_row * expansion)),
+                "rows_that_fit": whole(F.try_divide(F.lit(machine_bytes), per_row * expansion)),
             }
         )
     )

@@ -68,7 +68,7 @@ def recent_prior_rates(model_table: DataFrame, *, days: int = RECENT_DAYS) -> Da
 
     def kind(name: str) -> DataFrame:
         return cube.groupBy(F.lit(name).alias("kind"), F.col(name).alias("key")).agg(
-            (F.sum("late") / F.sum("labelled")).alias("rate"), F.sum("flights").alias("flights")
+            F.try_divide(F.sum("late"), F.sum("labelled")).alias("rate"), F.sum("flights").alias("flights")
         )
 
     return kind("origin").unionByName(kind("carrier"))

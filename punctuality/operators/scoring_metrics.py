@@ -77,19 +77,19 @@ def with_sums_above(histogram: DataFrame, keys: Sequence[str], sums: Sequence[st
 
 
 def ranking(histogram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Average precision (step sum) and tie-aware ROC-AUC per keys."""
+    """Average precision (step sum) and tie-aware ROC-AUC per keys; null without both classes."""
     pos, n = F.col("pos"), F.col("n")
     neg = n - pos
     flagged_pos, flagged = F.col("above_pos") + pos, F.col("above_n") + n
     # Negatives ranked at or above each positive, ties for one half.
     lost = pos.cast("double") * ((F.col("above_n") - F.col("above_pos")) + neg / 2.0)
     positives, negatives = F.sum(pos), F.sum(neg)
-    area = 1.0 - F.sum(lost) / (positives.cast("double") * negatives.cast("double"))
+    area = 1.0 - F.try_divide(F.sum(lost), positives.cast("double") * negatives.cast("double"))
     return (
         with_sums_above(histogram, keys, ["pos", "n"])
         .groupBy(*keys)
         .agg(
-            (F.sum(pos * flagged_pos / flagged) / positives).alias("pr_auc"),
+            F.try_divide(F.sum(pos * flagged_pos / flagged), positives).alias("pr_auc"),
             F.when(F.count(F.lit(1)) == 1, F.lit(0.5)).otherwise(area).alias("roc_auc"),
         )
     )
@@ -153,7 +153,7 @@ def evaluate(
         ranking(histogram, keys)
         .join(losses(histogram, keys), keys)
         .join(gaps, keys)
-        .withColumn("lift_over_base_rate", F.col("pr_auc") / F.nullif(F.col("positive_rate"), F.lit(0.0)))
+        .withColumn("lift_over_base_rate", F.try_divide("pr_auc", "positive_rate"))
     )
 
 

@@ -150,7 +150,7 @@ def forecast_scores(predictions: DataFrame, scale: DataFrame, keys: Sequence[str
     """MAE, RMSE, MASE and n per keys and forecaster.
 
     ``predictions`` is long: keys, forecaster, actual, predicted. ``scale`` has one row per
-    keys, or is a single row.
+    keys, or is a single row. MASE is null where the scale is zero: a flat series has none.
     """
     error = F.col("actual") - F.col("predicted")
     scored = predictions.groupBy(*keys, "forecaster").agg(
@@ -162,7 +162,7 @@ def forecast_scores(predictions: DataFrame, scale: DataFrame, keys: Sequence[str
         scored = scored.join(scale, list(keys))
     else:
         scored = scored.withColumn("scale", scale.select("scale").scalar())
-    return scored.withColumn("mase", F.col("mae") / F.col("scale")).drop("scale")
+    return scored.withColumn("mase", F.try_divide("mae", "scale")).drop("scale")
 
 
 def model_free_forecasts(lagged: DataFrame, *, horizon: int, column: str = "rate", keys: Sequence[str] = ()) -> DataFrame:

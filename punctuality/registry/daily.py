@@ -137,7 +137,7 @@ def _series_mase(spark, sf_dir):
 _SERIES_MASE_SQL = with_ctes(
     f"""SELECT l.origin, forecaster, round(avg(abs(actual - predicted)), 6) AS mae,
     round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse, count(*) AS n,
-    round(avg(abs(actual - predicted)) / any_value(s.s), 6) AS mase FROM long l JOIN scale s ON s.origin = l.origin GROUP BY 1, 2""",
+    round(avg(abs(actual - predicted)) / nullif(any_value(s.s), 0), 6) AS mase FROM long l JOIN scale s ON s.origin = l.origin GROUP BY 1, 2""",
     _D,
     BUSIEST_SQL,
     """lagged AS (SELECT *, lag(rate, 7) OVER (PARTITION BY origin ORDER BY date) AS lag_7,

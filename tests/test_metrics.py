@@ -46,6 +46,13 @@ def test_constant_and_perfect(spark):
     assert perfect.pr_auc == 1.0 and perfect.roc_auc == 1.0 and perfect.max_calibration_gap > 0.4
 
 
+def test_one_class_only(spark):
+    late = sm.evaluate(scored(spark, [(1, 0.9), (1, 0.2)])).first()
+    assert (late.pr_auc, late.roc_auc, late.positive_rate) == (1.0, None, 1.0)
+    never = sm.evaluate(scored(spark, [(0, 0.9), (0, 0.2)])).first()
+    assert (never.pr_auc, never.roc_auc, never.lift_over_base_rate) == (None, None, None)
+
+
 def test_several_models_at_once(spark):
     a, b = [(1, 0.9), (0, 0.1)], [(1, 0.1), (0, 0.9)]
     both = scored(spark, a, "a").union(scored(spark, b, "b"))

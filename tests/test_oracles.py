@@ -27,8 +27,8 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only(spark, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+def test_rows_only(spark, name):
+    df = entry.queries()[name](spark, "/root/testdata/sf0.01")  # busy series need the bigger tables
     assert set(df.columns) == ROWS_ONLY[name]
     assert df.count() > 0
 
