@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Names of the calendar columns, in the order in which models take them.
 CALENDAR_FEATURES = (
     "day_of_week",
     "month",

@@ -58,12 +58,12 @@ def actual_arrival(date: Column, departure_clock: Column, arrival_clock_: Column
     return F.when(arrival_clock_.isNotNull() & departure_clock.isNotNull(), landed)
 
 
-def minutes_between(start: Column, end: Column) -> Column:
-    """Minute boundaries crossed from ``start`` to ``end``."""
-    return F.timestamp_diff("MINUTE", F.date_trunc("minute", start), F.date_trunc("minute", end))
-
-
 def epoch_minute(ts: Column) -> Column:
     """Whole minutes since 1970 on the local clock, without any zone conversion."""
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
     return days * MINUTES_PER_DAY + F.hour(ts) * 60 + F.minute(ts)
+
+
+def minutes_between(start: Column, end: Column) -> Column:
+    """Minute boundaries crossed from ``start`` to ``end``, both on one local clock."""
+    return epoch_minute(end) - epoch_minute(start)

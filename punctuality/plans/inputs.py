@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctuality.contract import tag
+from punctuality.functions.clock import clock_text, local_timestamp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", "value", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("dep")
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        local_timestamp(F.to_date("ts"), F.hour("ts") * 60 + F.minute("ts")).alias("dep"),
     )
     delay = F.floor("value").cast("int") - 60
     flown = F.col("event_id") % 50 != 0
     landing = F.col("dep") + F.make_dt_interval(F.lit(0), F.lit(0), 90 + delay)
     planned = F.col("dep") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(90))
     date = F.col("dep").cast("date")
-    clock = lambda ts: F.date_format(ts, "HHmm")
+    clock = lambda ts: clock_text(F.hour(ts) * 60 + F.minute(ts))
     return tag(
         e.select(
             F.year(date).alias("Year"),
@@ -190,7 +195,7 @@ def yearly_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = (key * 7919 % 97 - 60 + 4 * (customer % 10) + peak).cast("int")
     flown = key % 50 != 0
     dep = date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))
-    clock = lambda ts: F.date_format(ts, "HHmm")
+    clock = lambda ts: clock_text(F.hour(ts) * 60 + F.minute(ts))
     after = lambda m: dep + F.make_dt_interval(F.lit(0), F.lit(0), m)
     place = lambda n: F.concat(F.lit("N"), F.lpad(n.cast("string"), 2, "0"))
     return tag(

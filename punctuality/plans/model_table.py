@@ -12,6 +12,7 @@ from punctuality.operators.rates import period_cube, rolled_rate
 from punctuality.operators.rotation import inbound_features, inbound_usable, with_previous_leg
 from punctuality.operators.skew import HOT_ROWS, broadcast_up_to
 
+# Columns of the model table, in order.
 COLUMNS = (
     "year",
     "flight_date",

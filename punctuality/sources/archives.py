@@ -93,8 +93,8 @@ def verify_headers(found: DataFrame, expected: Sequence[str] | None = None) -> l
     first = found.orderBy("year", "month").first()
     if first is None:
         raise FileNotFoundError("no raw archives")
-    reference = list(expected) if expected is not None else list(first["header"])
-    wanted = F.array(*[F.lit(c) for c in reference])
+    shared = list(expected) if expected is not None else list(first["header"])
+    wanted = F.array(*[F.lit(c) for c in shared])
     odd = (
         found.where(F.col("header") != wanted)
         .select(
@@ -117,10 +117,10 @@ def verify_headers(found: DataFrame, expected: Sequence[str] | None = None) -> l
     )
     if odd is not None:
         raise HeaderMismatch(
-            f"{odd['year']}-{odd['month']:02d} header differs from the reference; "
-            f"symmetric difference: {odd['difference']}; positions: {odd['positions']}"
+            f"{odd['year']}-{odd['month']:02d}: columns on one side only {odd['difference']}, "
+            f"other names at positions {odd['positions']}"
         )
-    return reference
+    return shared
 
 
 def _lines(per_batch: int = _LINES_PER_BATCH):

@@ -73,6 +73,14 @@ def test_inbound_rules(spark, hot_rows):
     assert inbound(spark, hot_rows=hot_rows) == EXPECTED
 
 
+def test_the_session_zone_moves_nothing(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert inbound(spark) == EXPECTED
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_missing_tails_as_one_vehicle(spark):
     got = inbound(spark, missing_tail="group")
     assert got["13"] == (1, 1.0, 240) and {k: v for k, v in got.items() if k != "13"} == {
