@@ -122,15 +122,21 @@ def inbound_leg_delay(legs: DataFrame, *, hot_rows: int | None = HOT_ROWS) -> Da
 
 
 def tie_audit(legs: DataFrame) -> DataFrame:
-    """Groups and rows that share (tail, date, time), before and after the tiebreakers."""
+    """Groups and rows that share (tail, date, time), before and after the tiebreakers.
 
-    def ties(stage: str, keys: Sequence[str]) -> DataFrame:
-        groups = legs.where(F.col("Tail_Number").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    The coarse groups roll up from the fine ones, so the legs are read once.
+    """
+    keys = ["Tail_Number", "FlightDate", "CRSDepTime"]
+    fine = (
+        legs.where(F.col("Tail_Number").isNotNull()).groupBy(*keys, *TIEBREAKERS).agg(F.count(F.lit(1)).alias("n"))
+    )
+    coarse = fine.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+    def ties(stage: str, groups: DataFrame) -> DataFrame:
         return groups.where("n > 1").agg(
             F.lit(stage).alias("stage"),
             F.count(F.lit(1)).alias("groups"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         )
 
-    keys = ["Tail_Number", "FlightDate", "CRSDepTime"]
-    return ties("scheduled time", keys).unionByName(ties("with tiebreakers", [*keys, *TIEBREAKERS]))
+    return ties("scheduled time", coarse).unionByName(ties("with tiebreakers", fine))

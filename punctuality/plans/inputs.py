@@ -224,3 +224,14 @@ def yearly_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(flown, (delay >= 15).cast("double")).alias("ArrDel15"),
         )
     )
+
+
+YEARLY_SQL = """
+flights AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", CAST(month(o_orderdate) AS INTEGER) AS "Month",
+    CAST(o_orderdate AS DATE) AS "FlightDate", 'N' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') AS "Origin",
+    'N' || lpad(CAST(o_orderkey % 25 AS VARCHAR), 2, '0') AS "Dest", 'T' || CAST(o_custkey % 200 AS VARCHAR) AS "Tail_Number",
+    lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS "Flight_Number_Reporting_Airline",
+    lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS "CRSDepTime",
+    CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderkey * 7919 % 97 - 60 + 4 * (o_custkey % 10)
+        + CASE WHEN month(o_orderdate) IN (6, 7, 12) THEN 20 ELSE 0 END AS DOUBLE) END AS "ArrDelay" FROM orders),
+labelled AS (SELECT *, CAST(CAST("ArrDelay" >= 15 AS INTEGER) AS DOUBLE) AS "ArrDel15" FROM flights)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from punctuality.functions.labels import with_label
-from punctuality.operators import quality, rates
+from punctuality.operators import layout, quality, rates, rotation
 from punctuality.plans import inputs
 from punctuality.registry.shared import comparable, with_ctes
 from punctuality.session import shared_folder
@@ -97,6 +97,42 @@ def _digest(spark, sf_dir):
     return quality.result_digest(comparable(result))
 
 
+def _workload_digests(spark, sf_dir):
+    """Rows and digest of two workloads over growing prefixes of the months."""
+    flights = inputs.yearly_flights(spark, sf_dir)
+    out = None
+    for months in layout.SCALES:
+        part = flights.where(layout.month_slice(FIRST_MONTH, months))
+        for name, result in (
+            ("daily_rate_by_origin", rates.daily_rate_by_origin(part)),
+            ("inbound_leg_delay", rotation.inbound_leg_delay(part)),
+        ):
+            one = quality.result_digest(comparable(result)).select(
+                F.lit(name).alias("workload"), F.lit(months).alias("months"), "rows", "digest"
+            )
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _workload_sql():
+    parts = []
+    for months in layout.SCALES:
+        last = FIRST_MONTH[0] * 12 + months - 1
+        where = f'"Year" * 100 + "Month" <= {last // 12 * 100 + last % 12 + 1}'
+        parts.append(
+            f"""SELECT 'daily_rate_by_origin' AS workload, {months} AS months, count(*) AS rows, round(sum(n + r + d), 3) AS digest
+            FROM (SELECT count(*) AS n, round(avg("ArrDel15"), 6) AS r, round(avg("ArrDelay"), 6) AS d FROM labelled
+                WHERE {where} AND "ArrDel15" IS NOT NULL GROUP BY "Origin", "FlightDate") q"""
+        )
+        parts.append(
+            f"""SELECT 'inbound_leg_delay', {months}, count(*), round(sum(n + r + d), 3)
+            FROM (SELECT count(*) AS n, round(avg(prev), 6) AS r, count(prev) AS d FROM (SELECT lag("ArrDelay") OVER (
+                PARTITION BY "Tail_Number" ORDER BY "FlightDate", "CRSDepTime", "Flight_Number_Reporting_Airline", "Origin", "Dest") AS prev
+                FROM labelled WHERE {where}) w) q"""
+        )
+    return with_ctes(" UNION ALL ".join(parts), inputs.YEARLY_SQL)
+
+
 def _diff(spark, sf_dir):
     """Two results that differ on purpose: rows of one priority are missing on the right."""
     left = inputs.monthly_facts(spark, sf_dir).select("origin", "year", "label")
@@ -145,6 +181,7 @@ QUERIES = {
             inputs.LEGS_SQL,
         ),
     ),
+    "workload_digests": (_workload_digests, _workload_sql()),
     "result_diff": (
         _diff,
         with_ctes(
