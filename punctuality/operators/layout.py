@@ -90,9 +90,12 @@ def with_z_key(df: DataFrame, columns: Sequence[str], out: str = "_z", bits: int
         handleInvalid="keep",
     ).transform(ranked)
     key = F.lit(0).cast("bigint")
-    for bit in range(bits + 1):
-        for i in range(len(columns)):
-            one = F.shiftright(F.col(f"_b{i}").cast("bigint"), bit).bitwiseAND(F.lit(1))
+    # A column with few distinct values has fewer buckets: stretched to the same number of
+    # bits, it weighs as much as the others. The bucket for invalid values counts too.
+    ranks = [F.floor(F.col(f"_b{i}") * (1 << bits) / len(splits[i])).cast("bigint") for i in range(len(columns))]
+    for bit in range(bits):
+        for i, rank in enumerate(ranks):
+            one = F.shiftright(rank, bit).bitwiseAND(F.lit(1))
             key = key + F.shiftleft(one, bit * len(columns) + i)
     spare = [f"_{p}{i}" for p in "ob" for i in range(len(columns))]
     return ranked.withColumn(out, F.coalesce(key, F.lit(-1))).drop(*spare)

@@ -52,12 +52,15 @@ def _lineitem(spark, sf_dir):
 def _found(rows, label):
     return rows.agg(
         F.lit(label).alias("wanted"), F.count(F.lit(1)).alias("rows"),
-        F.sum("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("mean_price"),
+        F.sum("l_quantity").alias("quantity"),
+        # Whole cents, so that the sum is exact in any order of the rows.
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.count(F.lit(1)) / 100.0).alias("mean_price"),
     )
 
 
 _FOUND_SQL = """SELECT '{label}' AS wanted, count(*) AS rows, round(sum(l_quantity), 6) AS quantity,
-    round(avg(l_extendedprice), 6) AS mean_price FROM lineitem WHERE {where}"""
+    round(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0, 6) AS mean_price
+    FROM lineitem WHERE {where}"""
 
 
 def _pruned(spark, sf_dir):
