@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import packing, word_counts
+from punctuality.llm import fertility, packing, substrings, word_counts
 from punctuality.llm.texts import table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -20,11 +24,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
+        op2_tokeniser_fertility,
         op4_token_counts,
         op5_best_fit_packing,
+        op6_substring_dedup,
     )
 }
 #: SQL of the queries that DuckDB can express.

@@ -7,6 +7,7 @@ texts at a time, and their caches are emptied when full: they speed up, they dec
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType
 
 #: Rows that go to Python at once, and rows that are decoded at once.
 BATCH_ROWS, SLICE_ROWS = 1000, 200
@@ -92,7 +93,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
     row and yields tuples of ``schema``.
     """
     small_batches(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
@@ -112,7 +113,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
 def map_blocks(df: DataFrame, start: Callable[[], Callable[[list], dict | None]], schema: str) -> DataFrame:
     """As ``map_rows``, for a function of a slice's columns that gives whole arrays."""
     small_batches(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
@@ -128,9 +129,9 @@ def map_blocks(df: DataFrame, start: Callable[[], Callable[[list], dict | None]]
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """A key of 128 bits for a row's id and text, so that rows that share an id stay apart."""
-    told = [F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))]
-    return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit(1), *reversed(told)).alias("b"))
+    """A key of a row's id and text: rows that share an id, or have none, stay apart."""
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    return F.struct(own.alias("a"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("b"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,14 +139,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder all executors share, lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        # Spark reads spark.checkpoint.dir itself; only a session without it gets here.
-        context.setCheckpointDir(_own_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back: lineage cut, safe from lost executors.
 
-
-def _own_folder(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts"
+    The folder lies in ``spark.checkpoint.dir``, in the warehouse where that is unset, and is
+    deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cuts"
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
