@@ -5,10 +5,10 @@ characters per token (prose in a known script has several; symbol noise and cut-
 few, a repeated common word has many), the share of tokens that are single raw bytes because
 no piece fits, and the entropy of the token distribution (low where few tokens repeat).
 
-Each measure has a rejection band per language. Bands are centred on the corpus: median and
-interquartile range per language over all documents that pass the base rules, widened by
-``REACH`` ranges and by a term that shrinks with the number of tokens, as short texts scatter.
-A language with fewer than ``LEAST_DOCS`` such documents takes the bands of all languages.
+Each measure has a rejection band per language and size class (powers of two of tokens, as
+entropy grows with length). Bands are centred on the corpus: the median over all documents that
+pass the base rules, plus and minus ``REACH`` interquartile ranges. A language with fewer than
+``LEAST_DOCS`` such documents in a class takes the bands of all languages.
 """
 
 from __future__ import annotations
@@ -19,22 +19,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctuality.llm.texts import Remembered, WordHashes, map_rows, row_key, shared, words_of
+from punctuality.llm.texts import Remembered, WordHashes, map_rows, shared, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "[#*$%&|<>]"
-#: Interquartile ranges that a band reaches to either side of the median.
-REACH = 3.0
-#: At a text of n tokens, a band is wider by this share of the median, over the root of n.
-SHORT = 2.0
+#: Interquartile ranges that a band reaches from the median; too few characters per token and
+#: too many, too many raw bytes, too little entropy are rejected.
+REACH = {"chars_per_token": 4.0, "byte_share": 4.0, "entropy": 2.5}
+#: Least interquartile range that counts, as a share of the median and absolute.
+LEAST_SPREAD = (0.02, 0.005)
+#: Texts of 2**14 tokens or more are one class.
+LARGEST_CLASS = 14
 LEAST_DOCS = 50
 MIN_WORDS, REPEAT_WORDS, REPEAT_SHARE = 10, 5, 20
-MEASURES = ("chars_per_token", "byte_share", "entropy_gap")
 
 _COUNTS = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, "
-    "byte_share double, entropy double, entropy_gap double"
+    "byte_share double, entropy double, size int"
 )
 
 
@@ -90,7 +92,7 @@ def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield (
                 doc_id, lang, n, chars, sum(map(text.count, symbols)), duplicate_lines(text), repeats,
                 n < MIN_WORDS or 100 * repeats > REPEAT_SHARE * n, t, chars / t if t else 0.0,
-                float(counts[byte].sum() / t) if t else 0.0, entropy, _expected(t) - entropy if t else 0.0,
+                float(counts[byte].sum() / t) if t else 0.0, entropy, min(t.bit_length(), LARGEST_CLASS),
             )
 
         return each
@@ -98,52 +100,37 @@ def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", "lang"), start, _COUNTS)
 
 
-def _expected(n_tokens: int) -> float:
-    """Entropy grows with the length of a text, by some bits per doubling until common tokens
-    have all come up; the gap to this curve is comparable between lengths."""
-    return min(math.log2(n_tokens), 4 + 0.45 * math.log2(n_tokens))
-
-
-def bands(counts: DataFrame) -> DataFrame:
-    """Median and interquartile range of each measure, per language and for all (null)."""
-    good = counts.where(~F.col("base_failed"))
+def bands(counts: DataFrame, *keys: str) -> DataFrame:
+    """Quartiles of each measure over documents that pass the base rules, per key."""
     at = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])
-    quarts = [F.percentile_approx(m, at, 2000).alias(m) for m in MEASURES]
-    return good.rollup("lang").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_docs"), *quarts)
+    quarts = [F.percentile_approx(m, at, 2000).alias(m) for m in REACH]
+    return counts.where(~F.col("base_failed")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), *quarts)
 
 
-def _outside(measure: str, lo: bool, hi: bool) -> Column:
-    """Whether a measure lies outside the band ``q`` (quartiles), on the sides that count."""
+def _outside(measure: str) -> Column:
+    """Whether a measure leaves its band, on the side that counts."""
     q = F.coalesce(F.col(f"own_{measure}"), F.col(f"all_{measure}"))
-    mid, spread = q[1], q[2] - q[0]
-    slack = REACH * spread + SHORT * F.abs(mid) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1))) + 0.02
-    out = F.lit(False)
-    if lo:
-        out = out | (F.col(measure) < mid - slack)
-    if hi:
-        out = out | (F.col(measure) > mid + slack)
-    return F.coalesce(out, F.lit(False))
+    share, least = LEAST_SPREAD
+    slack = REACH[measure] * F.greatest(q[2] - q[0], F.abs(q[1]) * share, F.lit(least))
+    low, high = F.col(measure) < q[1] - slack, F.col(measure) > q[1] + slack
+    sides = {"chars_per_token": low | high, "byte_share": high, "entropy": low}
+    return F.coalesce(sides[measure], F.lit(False))
 
 
 def fertility_rules(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Base counts, fertility and a verdict for every row of ``docs`` (doc_id, text, lang).
 
     A null or empty text has no words and fails the base rule. A null language takes the bands
-    of all languages, and so does a rare one. Repeated rows come out one for one. With no
-    document that passes the base rules there are no bands, and the base rule alone decides.
+    of all languages, and so does a rare one. Repeated rows come out one for one. Where no
+    document passes the base rules there are no bands, and the base rule alone decides.
     """
     counts = shared(measured(docs, path))
-    quarts = shared(bands(counts))  # one row per language
-    own = quarts.where((F.col("level") == 0) & F.col("lang").isNotNull() & (F.col("n_docs") >= LEAST_DOCS)).select(
-        "lang", *[F.col(m).alias(f"own_{m}") for m in MEASURES]
-    )
-    whole = quarts.where(F.col("level") == 1).select(F.lit(1).alias("one"), *[F.col(m).alias(f"all_{m}") for m in MEASURES])
-    judged = counts.withColumn("one", F.lit(1)).join(own, "lang", "left").join(whole, "one", "left")
-    rejected = (
-        _outside("chars_per_token", lo=True, hi=True)
-        | _outside("byte_share", lo=False, hi=True)
-        | _outside("entropy_gap", lo=False, hi=True)
-    )
+    # A row per language and size class: Spark broadcasts them by their size, or does not.
+    own = bands(counts, "lang", "size").where(F.col("n_docs") >= LEAST_DOCS)
+    own = own.select("lang", "size", *[F.col(m).alias(f"own_{m}") for m in REACH])
+    whole = bands(counts, "size").select("size", *[F.col(m).alias(f"all_{m}") for m in REACH])
+    judged = counts.join(own, ["lang", "size"], "left").join(whole, "size", "left")
+    rejected = _outside("chars_per_token") | _outside("byte_share") | _outside("entropy")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~rejected).alias("kept"),
