@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import fertility, packing, substrings, word_counts
+from punctuality.llm import chosen_paths, fertility, packing, substrings, word_counts
 from punctuality.llm.texts import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,12 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_paths.near_duplicates(table(spark, sf_dir, "documents"), k=2).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,7 @@ QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
         op2_tokeniser_fertility,
+        op3_chosen_path_near_dedup,
         op4_token_counts,
         op5_best_fit_packing,
         op6_substring_dedup,
