@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import chosen_paths, fertility, packing, substrings, word_counts
+from punctuality.llm import byte_cnn, chosen_paths, fertility, packing, substrings, toxic_chain, word_counts
 from punctuality.llm.texts import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.score(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxic_chain.fit(toxic_chain.toxic_labels(docs, table(spark, sf_dir, "labels")))
+    return toxic_chain.score(docs, chain)
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
@@ -42,6 +53,8 @@ QUERIES: dict[str, Run] = {
         op4_token_counts,
         op5_best_fit_packing,
         op6_substring_dedup,
+        op8_byte_cnn_quality,
+        op10_toxicity_chain,
     )
 }
 #: SQL of the queries that DuckDB can express.
