@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import byte_cnn, chosen_paths, fertility, packing, substrings, toxic_chain, word_counts
+from punctuality.llm import byte_cnn, chosen_paths, fertility, licenses, main_text, packing, substrings, toxic_chain, word_counts
 from punctuality.llm.texts import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_cnn.score(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_flat_block_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxic_chain.fit(toxic_chain.toxic_labels(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +61,9 @@ QUERIES: dict[str, Run] = {
         op4_token_counts,
         op5_best_fit_packing,
         op6_substring_dedup,
+        op7_license_scan,
         op8_byte_cnn_quality,
+        op9_flat_block_main_text,
         op10_toxicity_chain,
     )
 }
