@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import byte_cnn, chosen_paths, fertility, licenses, main_text, packing, substrings, toxic_chain, word_counts
+from punctuality.llm import byte_cnn, chosen_paths, fertility, latent, licenses, main_text, packing, substrings, toxic_chain, word_counts
 from punctuality.llm.texts import table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("a", "b")
+
+
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
+        op1_latent_decontamination,
         op2_tokeniser_fertility,
         op3_chosen_path_near_dedup,
         op4_token_counts,
