@@ -4,7 +4,7 @@ For a difference cover D modulo v, any two positions i and j have a shift below
 both onto D (modulo v). Two equal runs of ``window`` words therefore hold a pair of equal
 anchors, of ``window - v + 1`` words, both at cover positions of their documents: only those,
 |D| / v of all positions, are hashed and shuffled. Anchors that occur once end there. A
-repeated one is extended: every whole window that contains it is hashed in full (128 bits), and
+repeated one is extended: every whole window that contains it is hashed in full (96 bits), and
 the windows whose hash occurs twice cover the words to remove.
 """
 
@@ -13,14 +13,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctuality.llm.texts import WordHashes, map_blocks, map_rows, row_key, shared, words_of
+from punctuality.llm.texts import KEY, WordHashes, keyed, map_blocks, map_rows, mixed, row_key, shared, sieve, sifted, words_of
 
 WINDOW = 35
 #: A perfect difference set: each difference modulo 21 occurs.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+#: Anchors are hashed to 48 bits: a chance match costs a few windows more, no wrong removal.
+ANCHOR_SHIFT = np.uint64(16)
 
 
 def check_cover(period: int, cover: tuple[int, ...]) -> None:
@@ -29,11 +32,12 @@ def check_cover(period: int, cover: tuple[int, ...]) -> None:
 
 
 def _anchor_starts(n: int, length: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
-    starts = np.arange(max(0, n - length + 1))
-    return starts[np.isin(starts % period, cover)]
+    last = max(0, n - length + 1)
+    starts = (np.arange(0, last, period)[:, None] + np.array(cover)).ravel()
+    return starts[starts < last]
 
 
-def _anchors(keyed: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+def _anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     length = window - period + 1
 
     def start():
@@ -42,11 +46,11 @@ def _anchors(keyed: DataFrame, window: int, period: int, cover: tuple[int, ...])
         def each(columns):
             found = []
             for text, a, b in zip(*columns, strict=True):
-                words = words_of(text)
-                if len(words) < window:
+                own = hashes.of(text)
+                if len(own) < window:
                     continue
-                at = _anchor_starts(len(words), length, period, cover)
-                found.append((hashes.windows(hashes.of(words), length)[at], a, b, at))
+                at = _anchor_starts(len(own), length, period, cover)
+                found.append((hashes.windows(own, length)[at] >> ANCHOR_SHIFT, a, b, at))
             if not found:
                 return None
             sizes = [len(x[0]) for x in found]
@@ -59,7 +63,7 @@ def _anchors(keyed: DataFrame, window: int, period: int, cover: tuple[int, ...])
 
         return each
 
-    return map_blocks(keyed.select("text", "key.a", "key.b"), start, "anchor long, a long, b int, at int")
+    return map_blocks(texts.select("text", "a", "b"), start, "anchor long, a long, b int, at int")
 
 
 def _starts_near(anchors: np.ndarray, n: int, window: int, period: int) -> np.ndarray:
@@ -74,21 +78,22 @@ def _starts_near(anchors: np.ndarray, n: int, window: int, period: int) -> np.nd
 
 def _windows(near: DataFrame, window: int, period: int) -> DataFrame:
     def start():
-        one, two = WordHashes(1), WordHashes(2)
+        hashes = WordHashes()
 
         def each(columns):
             found = []
             for text, a, b, anchors in zip(*columns, strict=True):
-                words = words_of(text)
-                at = _starts_near(np.array(anchors, np.int64), len(words), window, period)
+                own = hashes.of(text)
+                at = _starts_near(np.array(anchors, np.int64), len(own), window, period)
                 if len(at):
-                    found.append((one.windows(one.of(words), window)[at], two.windows(two.of(words), window)[at], a, b, at))
+                    other = mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+                    found.append((hashes.windows(own, window)[at], hashes.windows(other, window)[at] >> np.uint64(32), a, b, at))
             if not found:
                 return None
             sizes = [len(x[0]) for x in found]
             return {
                 "w1": np.concatenate([x[0] for x in found]).view(np.int64),
-                "w2": np.concatenate([x[1] for x in found]).view(np.int64),
+                "w2": np.concatenate([x[1] for x in found]).astype(np.uint32).view(np.int32),
                 "a": np.repeat(np.array([x[2] for x in found], np.int64), sizes),
                 "b": np.repeat(np.array([x[3] for x in found], np.int32), sizes),
                 "at": np.concatenate([x[4] for x in found]).astype(np.int32),
@@ -96,7 +101,7 @@ def _windows(near: DataFrame, window: int, period: int) -> DataFrame:
 
         return each
 
-    return map_blocks(near, start, "w1 long, w2 long, a long, b int, at int")
+    return map_blocks(near, start, "w1 long, w2 int, a long, b int, at int")
 
 
 def covered(n: int, starts, window: int) -> np.ndarray:
@@ -114,16 +119,15 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     check_cover(period, cover)
     if window < period:
         raise ValueError("a window must be at least as long as the period")
-    keyed = docs.select("text", row_key().alias("key"))
-    anchors = _anchors(keyed, window, period, cover)
-    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    near = (
-        anchors.join(twice, "anchor").groupBy("a", "b").agg(F.collect_set("at").alias("anchors"))
-    )
-    texts = keyed.select("text", "key.a", "key.b")
+    rows = docs.select("text", row_key().alias("key")).select("text", "key.*")
+    anchors = _anchors(rows, window, period, cover)
+    twice = shared(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    some = sifted(anchors, sieve(twice, "anchor"), "anchor")
+    near = shared(some.join(twice, "anchor").groupBy("a", "b").agg(F.collect_set("at").alias("anchors")))
+    texts = sifted(rows, sieve(near, "a", "b"), "a", "b")
     whole = shared(_windows(texts.join(near, ["a", "b"]).select("text", "a", "b", "anchors"), window, period))
     again = whole.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return whole.join(again, ["w1", "w2"]).groupBy("a", "b").agg(F.collect_set("at").alias("starts"))
+    return shared(whole.join(again, ["w1", "w2"]).groupBy("a", "b").agg(F.collect_set("at").alias("starts")))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,10 +148,35 @@ def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated windows cut from ``text``; other columns and rows as they are.
+
+    A text that loses words becomes the words left, joined by one space; others stay untouched.
+    """
+    starts = repeated_starts(docs, window)
+    rows, bits = keyed(docs), sieve(starts, "a", "b")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _cut(words_of(t), s, window).decode() for t, s in zip(text, at, strict=True)])
+
+    touched = sifted(rows, bits, *KEY).join(starts.toDF(*KEY, "__starts"), [*KEY], "left")
+    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(cut("text", "__starts"))
+    changed = touched.withColumn("text", text).select(*docs.columns)
+    return sifted(rows, bits, *KEY, inside=False).select(*docs.columns).unionByName(changed)
+
+
+def _cut(words: list[bytes], starts, window: int) -> bytes:
+    gone = covered(len(words), starts, window)
+    return b" ".join([w for w, out in zip(words, gone.tolist(), strict=True) if not out])
+
+
 def _left(docs: DataFrame, window: int, schema: str, told) -> DataFrame:
     starts = repeated_starts(docs, window)
-    keyed = docs.select("doc_id", "text", row_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
-    joined = keyed.join(starts, ["a", "b"], "left").select("doc_id", "text", "starts")
+    rows = docs.select("doc_id", "text", row_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
+    bits = sieve(starts, "a", "b")
+    hit = sifted(rows, bits, "a", "b").join(starts, ["a", "b"], "left").select("doc_id", "text", "starts")
+    rest = sifted(rows, bits, "a", "b", inside=False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
 
     def start():
         def each(doc_id, text, at):
@@ -161,4 +190,4 @@ def _left(docs: DataFrame, window: int, schema: str, told) -> DataFrame:
 
         return each
 
-    return map_rows(joined, start, schema)
+    return map_rows(hit.unionByName(rest), start, schema)

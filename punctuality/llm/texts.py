@@ -7,12 +7,12 @@ texts at a time, and their caches are emptied when full: they speed up, they dec
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,9 +21,11 @@ from pyspark.sql.types import StructType
 #: Rows that go to Python at once, and rows that are decoded at once.
 BATCH_ROWS, SLICE_ROWS = 1000, 200
 #: Words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Bytes of a text that are hashed at once.
+PIECE_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 Rows = Iterator[tuple]
 
@@ -33,42 +35,74 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Remembered(dict):
-    """A bounded memo of a function of a word."""
+    """A bounded memo of a function of a word: two generations, of which the older is dropped."""
 
     def __init__(self, make: Callable[[bytes], object], most: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, word: bytes):
-        if len(self) >= self.most:
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        self[word] = value
         return value
 
 
 class WordHashes:
-    """64-bit hashes of words, and of windows of words by prefix sums modulo 2**64."""
+    """64-bit hashes of the words of a text, and of windows of words.
 
-    def __init__(self, seed: int = 0):
-        self.memo = Remembered(lambda w: xxhash.xxh3_64_intdigest(w, seed))
-        self.up = self.down = np.ones(1, np.uint64)
+    Both are polynomials modulo 2**64 with an odd base, taken as differences of prefix sums and
+    brought back to position 0 by the base's inverse, so a whole text takes a few array steps.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
-        n = 2 * n + 16
+        if n < len(self.up):
+            return
+        n = 2 * n + 4096
         inverse = pow(_ODD, -1, 1 << 64)
         self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, _ODD, np.uint64)])
         self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, inverse, np.uint64)])
 
+    def of(self, text: str | None, lower: bool = False) -> np.ndarray:
+        """Hashes of a text's words in order; ``lower`` folds A-Z only."""
+        raw = (text or "").encode("utf-8", "replace")
+        return self.of_plain(raw.lower() if lower else raw)
+
+    def of_plain(self, raw: bytes) -> np.ndarray:
+        found, at = [], 0
+        while at < len(raw):
+            end = at + PIECE_BYTES
+            if end < len(raw):  # a piece ends with a word
+                gap = _SPACE.search(raw, end)
+                end = gap.start() if gap else len(raw)
+            found.append(self._piece(np.frombuffer(raw[at:end], np.uint8)))
+            at = end
+        return found[0] if len(found) == 1 else np.concatenate([np.empty(0, np.uint64), *found])
+
+    def _piece(self, b: np.ndarray) -> np.ndarray:
+        n = len(b)
+        self._powers(n)
+        space = np.ones(n + 2, bool)
+        space[1:-1] = (b == 32) | ((b >= 9) & (b <= 13))
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        first, last = edges[0::2], edges[1::2]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * self.up[:n], out=total[1:])
+        return mixed((total[last] - total[first]) * self.down[first])
+
     def windows(self, hashes: np.ndarray, k: int) -> np.ndarray:
         """Hash of each run of ``k`` consecutive words, by its start."""
         n = len(hashes)
         if n < k:
             return np.empty(0, np.uint64)
-        if n >= len(self.up):
-            self._powers(n)
+        self._powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * self.up[:n], out=total[1:])
         return mixed((total[k:] - total[:-k]) * self.down[: n - k + 1])
@@ -134,6 +168,83 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.struct(own.alias("a"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("b"))
 
 
+#: Slots of a sieve: one mebibyte of bits, whatever the data.
+SIEVE_SLOTS, _SIEVE_BLOCK = 1 << 23, 1 << 15
+
+
+def sieve(keys: DataFrame, *columns: str) -> np.ndarray:
+    """A Bloom filter of fixed size over the integer ``columns`` of ``keys``, as packed bits.
+
+    It only spares shuffles: rows whose slot is empty have no partner. With more keys than
+    slots it lets everything pass and the joins behind it do the same work on all rows.
+    """
+    slot = F.pmod(F.xxhash64(*[F.col(c).cast("long") for c in columns]), F.lit(SIEVE_SLOTS))
+    slots = keys.select(slot.alias("slot")).distinct()
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        bits = np.zeros(_SIEVE_BLOCK, bool)
+        bits[group["slot"].to_numpy() % _SIEVE_BLOCK] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    block = F.floor(F.col("slot") / _SIEVE_BLOCK).alias("block")
+    made = slots.withColumn("block", block).groupBy("block").applyInArrow(run, "block long, bits binary")
+    out = np.zeros(SIEVE_SLOTS // 8, np.uint8)
+    for row in made.collect():  # SIEVE_SLOTS bits in all
+        at = row["block"] * _SIEVE_BLOCK // 8
+        out[at : at + _SIEVE_BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def sifted(df: DataFrame, bits: np.ndarray, *columns: str, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose integer ``columns`` may be among the sieve's keys, or surely are not."""
+    small_batches(df.sparkSession)
+    names = df.columns
+    slot = F.pmod(F.xxhash64(*[F.col(c).cast("long") for c in columns]), F.lit(SIEVE_SLOTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy()
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield batch.select(names).filter(pa.array(hit == int(inside)))
+
+    return df.withColumn("sieve slot", slot).mapInArrow(run, df.schema)
+
+
+KEY = ("__row_a", "__row_b")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the two parts of each row's key as last columns, ``KEY``."""
+    key = row_key()
+    return docs.select("*", key["a"].alias(KEY[0]), key["b"].alias(KEY[1]))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``gone`` (a, b), all columns as they are.
+
+    Only rows that the sieve cannot clear are shuffled.
+    """
+    gone = shared(gone.select("a", "b").distinct())
+    rows, bits = keyed(docs), sieve(gone, "a", "b")
+    asked = sifted(rows, bits, *KEY).join(gone.toDF(*KEY), [*KEY], "left_anti").select(*rows.columns)
+    return sifted(rows, bits, *KEY, inside=False).unionByName(asked).drop(*KEY)
+
+
+def kept_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Rows for which a function of some ``columns`` is true, all columns as they are."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                told = zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+                yield part.filter(pa.array([keep(*row) for row in told], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
