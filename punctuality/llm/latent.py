@@ -45,6 +45,11 @@ LEAKS = (
 )
 
 
+def folded(text: str | None) -> bytes:
+    """A text's words in lower case, ASCII punctuation taken as gaps."""
+    return plain(text.lower() if text else None)
+
+
 @dataclass
 class Terms:
     """Sorted hashes of a vocabulary, and lookups of a text's words in it."""
@@ -90,7 +95,7 @@ def _frequencies(texts: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
         counts, total = np.zeros(size + 1, np.int64), 0
 
         def each(text):
-            words = hashes.of_plain(plain(text))
+            words = hashes.of_plain(folded(text))
             counts[size] += -(-len(words) // PASSAGE)
             at, k = terms.find(words)
             once = np.unique(at // PASSAGE * size + k)
@@ -148,7 +153,7 @@ def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray)
             held[0] = 0
 
         def each(text):
-            words = hashes.of_plain(plain(text))
+            words = hashes.of_plain(folded(text))
             at, k = terms.find(words)
             if len(at):
                 passages.append(at // PASSAGE + held[1])
@@ -304,7 +309,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _leaks_of(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     hashes = WordHashes()
-    words = [(i, hashes.of_plain(plain(text))) for i, text in block]
+    words = [(i, hashes.of_plain(folded(text))) for i, text in block]
     words = [(i, own) for i, own in words if len(own)]
     none = docs.sparkSession.createDataFrame([], LEAKS)
     if not words:
@@ -327,7 +332,7 @@ def _leaks_of(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         hashes, items = WordHashes(), told.value
 
         def each(doc_id, text, a, b):
-            for leak in confirmed(hashes.of_plain(plain(text)), items):
+            for leak in confirmed(hashes.of_plain(folded(text)), items):
                 yield doc_id, a, b, *leak
 
         return each

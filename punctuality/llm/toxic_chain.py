@@ -14,6 +14,7 @@ over the training rows. Training rows are a documented bounded sample of the lab
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctuality.llm.texts import Remembered, map_rows, shared, words_of
+from punctuality.llm.texts import Remembered, kept_rows, map_rows, shared, words_of
 
 TRAIN_ROWS, FEATURES, FOLDS, LEAST_POSITIVE = 20_000, 384, 5, 4
-GRAM, PENALTY, STEPS = 4, 2e-4, 300
+GRAM, PENALTY, STEPS = 4, 3e-6, 25
 #: Words whose presence in a text labelled toxic makes it an example of a category.
 CATEGORY_TERMS = {
     "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool", "imbecile", "dumb"),
@@ -122,25 +123,29 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, n_feature
         return each
 
     rows = map_rows(labelled, each_row, "doc_id long, present array<int>, marks array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["present"], r["marks"]))
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["present"]] = 1
-    y = np.array([r["marks"] for r in rows], np.float32)
-    fold = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"]).encode()) % FOLDS for r in rows])
-    return Chain(categories, features, fit_chain(x, y, fold))
-
-
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    weights, earlier = [], np.zeros((len(x), 0), np.float32)
+    # Rows alike in features, marks and fold are one row with a weight.
+    alike = Counter(
+        (xxhash.xxh3_64_intdigest(str(r["doc_id"]).encode()) % FOLDS, tuple(r["present"]), tuple(r["marks"])) for r in rows
+    )
+    x = np.zeros((len(alike), len(features)))
+    for i, (_, present, _) in enumerate(order := sorted(alike)):
+        x[i, list(present)] = 1
+    y = np.array([marks for _, _, marks in order], float)
+    fold = np.array([f for f, _, _ in order])
+    return Chain(categories, features, fit_chain(x, y, fold, np.array([alike[key] for key in order], float)))
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Weights of each category's model, the later ones over out-of-fold earlier probabilities."""
+    weights, earlier = [], np.zeros((len(x), 0))
     for k in range(y.shape[1]):
-        inputs = np.hstack([x, earlier, np.ones((len(x), 1), np.float32)])
-        unseen = np.zeros(len(x), np.float32)
+        inputs = np.hstack([x, earlier, np.ones((len(x), 1))])
+        unseen = np.zeros(len(x))
         for f in range(FOLDS):
             out = fold == f
             if out.any():
-                unseen[out] = _sigmoid(inputs[out] @ logistic(inputs[~out], y[~out, k]))
-        weights.append(logistic(inputs, y[:, k]).astype(np.float64))
+                unseen[out] = _sigmoid(inputs[out] @ logistic(inputs[~out], y[~out, k], weight[~out]))
+        weights.append(logistic(inputs, y[:, k], weight))
         earlier = np.hstack([earlier, unseen[:, None]])
     return weights
 
@@ -149,27 +154,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by accelerated gradient steps; the last column is the intercept."""
-    w = np.zeros(x.shape[1], np.float32)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        w[-1] = np.log((share + 1e-6) / (1 - share + 1e-6))
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last column is the intercept."""
+    w, total = np.zeros(x.shape[1]), weight.sum()
+    share = float((y * weight).sum() / total) if total else 0.0
+    w[-1] = np.log((share + 1e-6) / (1 - share + 1e-6))
+    if share in (0.0, 1.0):
         return w
-    n, ridge = len(y), np.full(x.shape[1], PENALTY, np.float32)
-    ridge[-1] = 0
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(12):
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v)
-    rate = 1 / (0.25 * np.linalg.norm(x @ v) ** 2 / n * 1.05 + PENALTY)
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
-    ahead, t = w.copy(), 1.0
+    ridge = np.full(x.shape[1], PENALTY)
+    ridge[-1] = 1e-9
     for _ in range(STEPS):
-        new = ahead - rate * (x.T @ (_sigmoid(x @ ahead) - y) / n + ridge * ahead)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / t_new * (new - w)
-        w, t = new, t_new
+        p = _sigmoid(x @ w)
+        slope = x.T @ (weight * (p - y)) / total + ridge * w
+        bend = (x * (weight * p * (1 - p) / total)[:, None]).T @ x
+        step = np.linalg.solve(bend + np.diag(ridge), slope)
+        w -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-4:
+            break
     return w
 
 
@@ -202,3 +203,19 @@ def toxic_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     both = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     marks = weak_labels(F.coalesce(F.col("text"), F.lit("")), F.col("toxic"))
     return both.select("doc_id", "text", *[mark.alias(name) for name, mark in marks.items()])
+
+
+def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that the last category's model does not reject, all columns as they are."""
+
+    def start():
+        features = chain.features
+        known = Remembered(lambda w: tuple(features[g] for g in grams(w) if g in features))
+
+        def keep(text):
+            present = sorted(set().union(*filter(None, map(known.__getitem__, words_of(text)))))
+            return chain.probabilities(present)[-1] < threshold
+
+        return keep
+
+    return kept_rows(docs, ["text"], start)
