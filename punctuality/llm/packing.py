@@ -15,14 +15,20 @@ pieces of their length; ranks come from counts per hash cell, so no task sees a
 
 from __future__ import annotations
 
+import functools
+import json
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctuality.llm.texts import Remembered, map_rows, shared, words_of
+from punctuality.llm.word_counts import byte_symbols
 
 CAPACITY = 4096
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -40,16 +46,9 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     def start():
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        tokenizer.encode_special_tokens = True
         end = np.array([end_id], "<u4").tobytes()
-
-        def encode(word: bytes) -> bytes:
-            return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-        known = Remembered(encode)
+        known = _known_words(path or public_tokenizers.path(TOKENIZER))
 
         def each(doc_id, text):
             ids = b"".join(map(known.__getitem__, words_of(text))) + end
@@ -62,6 +61,63 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return map_rows(docs.select("doc_id", "text"), start, PIECES)
 
 
+@functools.cache
+def _known_words(path: str) -> Remembered:
+    """One memo for all tasks of a Python worker."""
+    return Remembered(word_encoder(path))
+
+
+def word_encoder(path: str) -> Callable[[bytes], bytes]:
+    """Ids of a word, as bytes of little-endian 32-bit numbers.
+
+    Where the file splits by one pattern and then works on bytes (and lower-cases after NFC),
+    Latin words are split here and their parts, of which there are far fewer than words, are
+    remembered; anything else goes through the tokenizer as it is.
+    """
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+
+    def whole(word: bytes) -> bytes:
+        return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    splitters = (content.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    normal = [x["type"] for x in (content.get("normalizer") or {}).get("normalizers", [])]
+    simple = [x["type"] for x in splitters] == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]
+    if not (simple and splitters[0]["invert"] and not splitters[1]["use_regex"] and not splitters[1]["add_prefix_space"]):
+        return whole
+    pattern = regex.compile(splitters[0]["pattern"]["Regex"])
+    symbols = {b: c for c, b in byte_symbols().items()}
+
+    def part(text: str) -> bytes:
+        said = text.encode().decode("latin-1").translate(symbols)
+        ids = [x.id for x in tokenize(said)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    parts, tokenize = Remembered(part), tokenizer.model.tokenize
+
+    def encode(word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            if max(text) >= "\u0250":
+                return whole(word)
+            text = "".join(map(str.lower, text))
+        if text.isalpha():
+            return parts[text]
+        if not text.isprintable():
+            return whole(word)
+        return b"".join(map(parts.__getitem__, pattern.findall(text)))
+
+    return encode
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Shapes ``(repeats, [(length, how many in a row), ...])`` that hold all pieces."""
     left = {n: c for n, c in counts.items() if c > 0}
