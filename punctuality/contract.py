@@ -16,31 +16,58 @@ SCHEDULED, DEPARTED, ARRIVED, LABEL = "scheduled", "departed", "arrived", "label
 STAGES = (SCHEDULED, DEPARTED, ARRIVED, LABEL)
 
 # Column names, order, types and stages of the public on-time feed.
-_FEED = """
-scheduled  int     Year Quarter Month DayofMonth DayOfWeek
-scheduled  date    FlightDate
-scheduled  string  Reporting_Airline
-scheduled  int     DOT_ID_Reporting_Airline
-scheduled  string  Flight_Number_Reporting_Airline Tail_Number
-scheduled  int     OriginAirportID
-scheduled  string  Origin OriginCityName OriginState
-scheduled  int     DestAirportID
-scheduled  string  Dest DestCityName DestState
-scheduled  string  CRSDepTime DepTimeBlk CRSArrTime ArrTimeBlk
-scheduled  double  CRSElapsedTime Distance
-scheduled  int     DistanceGroup
-scheduled  double  Flights
-departed   string  DepTime
-departed   double  DepDelay DepDelayMinutes DepDel15 DepartureDelayGroups TaxiOut
-departed   string  WheelsOff
-arrived    string  WheelsOn
-arrived    double  TaxiIn
-arrived    string  ArrTime
-arrived    double  ArrDelay ArrDelayMinutes ArrivalDelayGroups ActualElapsedTime AirTime Cancelled
-arrived    string  CancellationCode
-arrived    double  Diverted CarrierDelay WeatherDelay NASDelay SecurityDelay LateAircraftDelay
-label      double  ArrDel15
-"""
+_FEED = (
+    ("Year", "int", SCHEDULED),
+    ("Quarter", "int", SCHEDULED),
+    ("Month", "int", SCHEDULED),
+    ("DayofMonth", "int", SCHEDULED),
+    ("DayOfWeek", "int", SCHEDULED),
+    ("FlightDate", "date", SCHEDULED),
+    ("Reporting_Airline", "string", SCHEDULED),
+    ("DOT_ID_Reporting_Airline", "int", SCHEDULED),
+    ("Flight_Number_Reporting_Airline", "string", SCHEDULED),
+    ("Tail_Number", "string", SCHEDULED),
+    ("OriginAirportID", "int", SCHEDULED),
+    ("Origin", "string", SCHEDULED),
+    ("OriginCityName", "string", SCHEDULED),
+    ("OriginState", "string", SCHEDULED),
+    ("DestAirportID", "int", SCHEDULED),
+    ("Dest", "string", SCHEDULED),
+    ("DestCityName", "string", SCHEDULED),
+    ("DestState", "string", SCHEDULED),
+    ("CRSDepTime", "string", SCHEDULED),
+    ("DepTimeBlk", "string", SCHEDULED),
+    ("CRSArrTime", "string", SCHEDULED),
+    ("ArrTimeBlk", "string", SCHEDULED),
+    ("CRSElapsedTime", "double", SCHEDULED),
+    ("Distance", "double", SCHEDULED),
+    ("DistanceGroup", "int", SCHEDULED),
+    ("Flights", "double", SCHEDULED),
+    ("DepTime", "string", DEPARTED),
+    ("DepDelay", "double", DEPARTED),
+    ("DepDelayMinutes", "double", DEPARTED),
+    ("DepDel15", "double", DEPARTED),
+    ("DepartureDelayGroups", "double", DEPARTED),
+    ("TaxiOut", "double", DEPARTED),
+    ("WheelsOff", "string", DEPARTED),
+    ("WheelsOn", "string", ARRIVED),
+    ("TaxiIn", "double", ARRIVED),
+    ("ArrTime", "string", ARRIVED),
+    ("ArrDelay", "double", ARRIVED),
+    ("ArrDelayMinutes", "double", ARRIVED),
+    ("ArrivalDelayGroups", "double", ARRIVED),
+    ("ActualElapsedTime", "double", ARRIVED),
+    ("AirTime", "double", ARRIVED),
+    ("Cancelled", "double", ARRIVED),
+    ("CancellationCode", "string", ARRIVED),
+    ("Diverted", "double", ARRIVED),
+    ("CarrierDelay", "double", ARRIVED),
+    ("WeatherDelay", "double", ARRIVED),
+    ("NASDelay", "double", ARRIVED),
+    ("SecurityDelay", "double", ARRIVED),
+    ("LateAircraftDelay", "double", ARRIVED),
+    ("ArrDel15", "double", LABEL),
+)
 
 # Partition columns of the fact table, and the feature names of the two scenarios.
 PARTITION_COLUMNS = ("Year", "Month")
@@ -74,15 +101,7 @@ _TYPES = {
 }
 
 
-def _fields() -> list[T.StructField]:
-    fields = []
-    for line in _FEED.strip().splitlines():
-        stage, kind, *names = line.split()
-        fields += [T.StructField(n, _TYPES[kind], True, {"availability": stage}) for n in names]
-    return fields
-
-
-FLIGHTS = T.StructType(_fields())
+FLIGHTS = T.StructType([T.StructField(name, _TYPES[kind], True, {"availability": stage}) for name, kind, stage in _FEED])
 
 
 def raw_schema(header: Sequence[str]) -> T.StructType:
@@ -123,5 +142,5 @@ def in_training_order(df: DataFrame, features: Sequence[str], keep: Sequence[str
     have = set(df.columns) - set(keep)
     missing, extra = sorted(set(features) - have), sorted(have - set(features))
     if missing or extra:
-        raise ValueError(f"features drifted from training: missing={missing} extra={extra}")
+        raise ValueError(f"not the columns of the fit: {missing} are absent, {extra} were not there")
     return df.select(*keep, *features)

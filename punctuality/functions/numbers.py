@@ -14,8 +14,19 @@ def or_base_rate(prior: Column, base_rate: Column) -> Column:
     return F.coalesce(prior, base_rate)
 
 
+def within(x: Column, low: float, high: float) -> Column:
+    """``x`` moved into [low, high]; null and NaN stay what they are."""
+    inside = F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    return F.when(x.isNotNull() & ~F.isnan(x), inside).otherwise(x)
+
+
 def clip_probability(p: Column) -> Column:
-    return F.greatest(F.least(p, F.lit(1 - PROBABILITY_FLOOR)), F.lit(PROBABILITY_FLOOR))
+    return within(p, PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
+
+
+def sound_probability(p: Column) -> Column:
+    """``p``, or an error where it is null or NaN: such a score has no rank and no loss."""
+    return F.when(p.isNull() | F.isnan(p), F.raise_error(F.lit("a probability is null or NaN"))).otherwise(p)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

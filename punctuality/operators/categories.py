@@ -34,14 +34,15 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def top_levels(counts: DataFrame, max_levels: int = MAX_LEVELS, min_count: int = 0) -> DataFrame:
+def top_levels(counts: DataFrame, max_levels: int | None = MAX_LEVELS, min_count: int = 0) -> DataFrame:
     """The most frequent levels per column, the smaller name first on a tie.
 
     The filter on the row number lets every task keep only its own best rows before the
     shuffle, so the group that is ranked is bounded by tasks times ``max_levels``.
     """
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "level"))
-    return counts.where(F.col("n") >= min_count).withColumn("rank", rank).where(F.col("rank") <= max_levels)
+    ranked = counts.where(F.col("n") >= min_count).withColumn("rank", rank)
+    return ranked if max_levels is None else ranked.where(F.col("rank") <= max_levels)
 
 
 def grouped(df: DataFrame, kept: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -71,7 +72,7 @@ def coverage(df: DataFrame, kept: Mapping[str, Sequence[str]]) -> DataFrame:
 
 
 class _RareParams(HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    maxLevels = Param(Params._dummy(), "maxLevels", "most levels kept per column", TypeConverters.toInt)
+    maxLevels = Param(Params._dummy(), "maxLevels", "most levels kept per column, 0 for all", TypeConverters.toInt)
     minCount = Param(Params._dummy(), "minCount", "fewest training rows of a kept level", TypeConverters.toInt)
     kept = Param(Params._dummy(), "kept", "kept levels per column as JSON", TypeConverters.toString)
 
@@ -87,9 +88,10 @@ class RareLevels(Estimator, _RareParams):
     def _fit(self, dataset):
         columns = [c for c in self.getInputCols() if c in dataset.columns]
         top = top_levels(
-            level_counts(dataset, columns), self.getOrDefault("maxLevels"), self.getOrDefault("minCount")
+            level_counts(dataset, columns), self.getOrDefault("maxLevels") or None, self.getOrDefault("minCount")
         )
-        # At most maxLevels short strings per column come to the driver.
+        # The kept levels come to the driver, as the labels of an indexer and the coefficients of
+        # a one-hot model do.
         kept: dict[str, list[str]] = {c: [] for c in columns}
         for row in top.select("column", "level").orderBy("column", "rank").collect():
             kept[row["column"]].append(row["level"])

@@ -12,8 +12,7 @@ from punctuality.operators.skew import hash_rank
 from punctuality.operators.splits import exact_sample
 from punctuality.session import materialised
 
-# Size of the sample, repeats per feature, and the fall that counts as none.
-SAMPLE_ROWS = 200_000
+# Repeats per feature, and the fall that counts as none.
 REPEATS = 3
 NOTHING = 1e-5
 _BASELINE = "(none)"
@@ -51,13 +50,14 @@ def permutation_importance(
     features: Sequence[str],
     *,
     repeats: int = REPEATS,
-    sample: int | None = SAMPLE_ROWS,
+    sample: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Mean and spread of the fall per feature, biggest first, and its share of the baseline.
 
-    ``predict`` adds ``prob``. All variants are scored by one job. The sample is written to
-    the shared folder first, since it is read once per repeat.
+    ``predict`` adds ``prob``. All variants are scored by one job. All rows take part unless the
+    caller asks for a ``sample``; they are written to the shared folder first, since they are
+    read once per repeat.
     """
     picked = rows.select(key, "label", *features)
     picked = exact_sample(picked, key, sample, seed) if sample else picked

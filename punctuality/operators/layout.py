@@ -1,20 +1,14 @@
-"""How files are laid out, what a query reads of them, and how far a feed would grow."""
+"""How files are laid out, what they hold, and how a feed grows by months."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows per file of the layout experiment, month slices of the scale series, and
-# the factor between Parquet on disk and the working set of the window workload.
-MAX_RECORDS_PER_FILE = 50_000
+# Month slices of the scale series.
 SCALES = (1, 3, 6, 12, 24)
-WORKING_SET_EXPANSION = 3.0
-_Z_BITS = 8
 
 
 def delta_available(spark: SparkSession) -> bool:
@@ -60,69 +54,6 @@ def write_layout(
     writer.save(path)
 
 
-def _orderable(df: DataFrame, column: str) -> Column:
-    """A number that never falls along the column: text by its first six bytes."""
-    kind = dict(df.dtypes)[column]
-    c = F.col(column)
-    if kind == "string":
-        head = F.rpad(F.substring(c, 1, 6), 6, " ")
-        return F.conv(F.substring(F.hex(head), 1, 12), 16, 10).cast("double")
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.unix_seconds(c.cast("timestamp")).cast("double")
-    return c.cast("double")
-
-
-def with_z_key(df: DataFrame, columns: Sequence[str], out: str = "_z", bits: int = _Z_BITS) -> DataFrame:
-    """Add a key that interleaves the bits of each column's quantile rank.
-
-    One aggregate finds all quantiles; what comes to the driver is 2**bits numbers per column.
-    """
-    ranked = df.withColumns({f"_o{i}": _orderable(df, c) for i, c in enumerate(columns)})
-    at = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = ranked.agg(
-        *[F.percentile_approx(f"_o{i}", at, 10_000).alias(f"q{i}") for i in range(len(columns))]
-    ).first()
-    splits = [[float("-inf"), *sorted(set(cuts[i] or [])), float("inf")] for i in range(len(columns))]
-    ranked = Bucketizer(
-        splitsArray=splits,
-        inputCols=[f"_o{i}" for i in range(len(columns))],
-        outputCols=[f"_b{i}" for i in range(len(columns))],
-        handleInvalid="keep",
-    ).transform(ranked)
-    key = F.lit(0).cast("bigint")
-    # A column with few distinct values has fewer buckets: stretched to the same number of
-    # bits, it weighs as much as the others. The bucket for invalid values counts too.
-    ranks = [F.floor(F.col(f"_b{i}") * (1 << bits) / len(splits[i])).cast("bigint") for i in range(len(columns))]
-    for bit in range(bits):
-        for i, rank in enumerate(ranks):
-            one = F.shiftright(rank, bit).bitwiseAND(F.lit(1))
-            key = key + F.shiftleft(one, bit * len(columns) + i)
-    spare = [f"_{p}{i}" for p in "ob" for i in range(len(columns))]
-    return ranked.withColumn(out, F.coalesce(key, F.lit(-1))).drop(*spare)
-
-
-def write_z_ordered(
-    df: DataFrame,
-    path: str,
-    columns: Sequence[str],
-    *,
-    partition_by: Sequence[str] = (),
-    files: int | None = None,
-    max_records_per_file: int | None = None,
-) -> None:
-    """Compact a table so that its files are narrow in every one of ``columns``."""
-    spread = F.xxhash64(*df.columns)
-    keyed = with_z_key(df, columns)
-    keys = [*partition_by, "_z"]
-    ranged = keyed.repartitionByRange(files, *keys, spread) if files else keyed.repartitionByRange(*keys, spread)
-    writer = ranged.sortWithinPartitions(*keys).drop("_z").write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    writer.parquet(path)
-
-
 def table_detail(spark: SparkSession, path: str, partition_columns: Sequence[str] = ()) -> DataFrame:
     """Files, bytes and partition columns, from the file listing; no data is read."""
     listed = (
@@ -136,92 +67,11 @@ def table_detail(spark: SparkSession, path: str, partition_columns: Sequence[str
     ).withColumn("partition_columns", F.lit(",".join(partition_columns)))
 
 
-def file_manifest(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(path, rows, min and max per column): one row per file, one pass over the columns."""
-    stats = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))]
-    return (
-        table.select("*", F.col("_metadata.file_path").alias("path"))
-        .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("rows"), *stats)
-    )
-
-
-def may_contain(wanted: Mapping[str, Sequence]) -> Column:
-    """Whether a file can hold a row whose every named column has one of the given values."""
-    test = F.lit(True)
-    for column, values in wanted.items():
-        hit = F.lit(False)
-        for v in values:
-            hit = hit | F.lit(v).between(F.col(f"min_{column}"), F.col(f"max_{column}"))
-        test = test & hit
-    return test
-
-
-def read_pruned(table: DataFrame, root: str, manifest: DataFrame, wanted: Mapping[str, Sequence]) -> DataFrame:
-    """Rows with the wanted values, opening only the files that can hold them.
-
-    Only file names reach the driver, which plans every scan from file names anyway.
-    """
-    spark = table.sparkSession
-    paths = [r["path"] for r in manifest.where(may_contain(wanted)).select("path").collect()]
-    rows = (
-        spark.read.option("basePath", root).schema(table.schema).parquet(*paths)
-        if paths
-        else spark.createDataFrame([], table.schema)
-    )
-    for column, values in wanted.items():
-        rows = rows.where(F.col(column).isin(list(values)))
-    return rows
-
-
-class NothingScanned(RuntimeError):
-    """The plan read no file, so there is nothing to measure."""
-
-
-def measure(label: str, df: DataFrame) -> dict:
-    """Run ``df`` and report files, bytes, rows and partitions its scans read.
-
-    Pass an aggregate over a real column: the result comes to the driver, and a bare count
-    may be answered without opening a file.
-    """
-    start = time.perf_counter()
-    answer = [tuple(r) for r in df.collect()]
-    seconds = time.perf_counter() - start
-    totals = {"numFiles": 0, "filesSize": 0, "numOutputRows": 0, "numPartitions": 0}
-    scans, todo = 0, [df._jdf.queryExecution().executedPlan()]
-    while todo:
-        node = todo.pop()
-        name = node.nodeName()
-        if name.startswith("AdaptiveSparkPlan"):
-            todo.append(node.executedPlan())
-            continue
-        if "QueryStage" in name:
-            todo.append(node.plan())
-            continue
-        metrics = node.metrics()
-        if metrics.contains("numFiles"):
-            scans += 1
-            for metric in totals:
-                if metrics.contains(metric):
-                    totals[metric] += metrics.apply(metric).value()
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    if not scans:
-        raise NothingScanned(f"{label}: aggregate over a column so that files are read")
-    return {
-        "label": label,
-        "files": totals["numFiles"],
-        "bytes": totals["filesSize"],
-        "rows": totals["numOutputRows"],
-        "partitions": totals["numPartitions"],
-        "seconds": seconds,
-        "answer": answer,
-    }
-
-
-def skipped_share(bytes_read: Column, baseline_bytes: Column) -> Column:
-    """Share of the baseline's bytes that were not read; zero for an empty baseline."""
-    return F.when(baseline_bytes > 0, 1 - bytes_read / baseline_bytes).otherwise(F.lit(0.0))
+def files_holding(table: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """One row: the files of a table, and of those the ones with a row of each wanted kind."""
+    path = F.col("_metadata.file_path")
+    held = [F.count_distinct(F.when(test, path)).alias(name) for name, test in wanted.items()]
+    return table.agg(F.count_distinct(path).alias("files"), *held)
 
 
 def month_slice(first: tuple[int, int], n_months: int, longest: int = 24) -> Column:
@@ -258,31 +108,3 @@ def manifest_summary(manifest: DataFrame, first_year: int, last_year: int) -> Da
         F.min(month).alias("first_month"),
         F.max(month).alias("last_month"),
     ).withColumn("absent_years", absent)
-
-
-def capacity_projection(
-    measured: DataFrame, *, machine_bytes: int, expansion: float = WORKING_SET_EXPANSION
-) -> DataFrame:
-    """Scale a measured slice to the whole feed and say whether one machine could hold it.
-
-    ``measured`` has rows_measured, compressed_bytes_measured, parquet_bytes_measured and
-    feed_compressed_bytes.
-    """
-    c = F.col
-    per_byte = F.try_divide("rows_measured", "compressed_bytes_measured")
-    per_row = F.try_divide("parquet_bytes_measured", "rows_measured")
-    whole = lambda x: F.round(x).cast("bigint")
-    return (
-        measured.withColumn("estimated_feed_rows", whole(c("feed_compressed_bytes") * per_byte))
-        .withColumn("estimated_feed_parquet_bytes", whole(c("estimated_feed_rows") * per_row))
-        .withColumns(
-            {
-                "rows_per_compressed_gigabyte": whole(per_byte * 1e9),
-                "parquet_bytes_per_row": F.round(per_row, 2),
-                "multiple_of_measured": F.round(F.try_divide("estimated_feed_rows", "rows_measured"), 2),
-                "estimated_working_set_bytes": whole(c("estimated_feed_parquet_bytes") * expansion),
-                "fits": c("estimated_feed_parquet_bytes") * expansion < machine_bytes,
-                "rows_that_fit": whole(F.try_divide(F.lit(machine_bytes), per_row * expansion)),
-            }
-        )
-    )

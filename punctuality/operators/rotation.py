@@ -15,16 +15,12 @@ from punctuality.operators.skew import HOT_ROWS, lag_by_key
 # after which a previous leg no longer counts as the inbound one.
 CUTOFF_HOURS = 2
 MAX_TURNAROUND_HOURS = 24
-# Total order of the legs of one vehicle after its departure time, and the
-# labels of the inbound buckets.
+# Total order of the legs of one vehicle after its departure time, and the names of the
+# states of its inbound leg by the most minutes late.
 TIEBREAKERS = ("Flight_Number_Reporting_Airline", "Origin", "Dest")
-INBOUND_BUCKETS = (
-    "not known at cutoff",
-    "landed on time or early",
-    "landed 1-15 min late",
-    "landed 16-60 min late",
-    "landed 60+ min late",
-)
+UNKNOWN_INBOUND = "inbound open"
+INBOUND_LIMITS = {"inbound punctual": 0, "inbound slightly late": 15, "inbound late": 60}
+LATEST_INBOUND = "inbound very late"
 
 
 def with_previous_leg(
@@ -81,14 +77,10 @@ def inbound_features(usable: Column, delay: Column, previous_arrival: Column, de
 
 
 def inbound_bucket(delay: Column) -> Column:
-    unknown, on_time, short, medium, long = (F.lit(b) for b in INBOUND_BUCKETS)
-    return (
-        F.when(delay.isNull(), unknown)
-        .when(delay <= 0, on_time)
-        .when(delay <= 15, short)
-        .when(delay <= 60, medium)
-        .otherwise(long)
-    )
+    named = F.when(delay.isNull(), F.lit(UNKNOWN_INBOUND))
+    for name, limit in INBOUND_LIMITS.items():
+        named = named.when(delay <= limit, F.lit(name))
+    return named.otherwise(F.lit(LATEST_INBOUND))
 
 
 def inbound_bucket_report(model_table: DataFrame) -> DataFrame:

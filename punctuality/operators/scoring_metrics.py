@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctuality.functions.numbers import clip_probability, ratio
+from punctuality.functions.numbers import clip_probability, ratio, sound_probability
 
-#: A cell is a slice of the score range [0, 1] this many times finer than the whole. The
-#: table of cell totals is bounded by it for each key, whatever the number of rows.
-CELLS = 1 << 20
+#: Cells per key, cut at quantiles of the distinct scores, so that they are even however the
+#: scores lie. The table of cell totals is bounded by it for each key.
+CELLS = 1 << 10
 
 # Thresholds of the sweep, costs of a missed delay relative to a false alarm,
 # calibration bins, and the fall in a mapped score that is taken as rounding.
@@ -33,12 +33,37 @@ def bin_edges(bins: int = BINS) -> list[float]:
 
 
 def score_histogram(scored: DataFrame, keys: Sequence[str] = (), *, label: str = "label", prob: str = "prob") -> DataFrame:
-    """(keys, score, n, pos): rows and positives per distinct clipped score."""
-    return scored.groupBy(*keys, clip_probability(F.col(prob)).alias("score")).agg(
+    """(keys, score, n, pos): labelled rows and positives per distinct clipped score.
+
+    Rows without a label are left out; a labelled row without a probability is an error.
+    """
+    labelled = scored.where(F.col(label).isNotNull())
+    return labelled.groupBy(*keys, clip_probability(sound_probability(F.col(prob))).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )
 
 
+def celled(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_cell``, never falling along the score: the number of quantile cuts at or below it.
+
+    The cuts are one row per key. Equal scores share a cell.
+    """
+    at = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    cuts = F.percentile_approx("score", at, 10 * CELLS).alias("_cuts")
+    # Halving steps through the sorted cuts.
+    steps = F.array(*[F.lit(1 << b) for b in range(CELLS.bit_length() - 2, -1, -1)])
+
+    def step(found: Column, size: Column) -> Column:
+        ahead = found + size
+        return F.when(F.try_element_at("_cuts", ahead) <= F.col("score"), ahead).otherwise(found)
+
+    if keys:
+        joined = histogram.join(histogram.groupBy(*keys).agg(cuts), list(keys))
+    else:
+        joined = histogram.withColumn("_cuts", histogram.agg(cuts).scalar())
+    return joined.withColumn("_cell", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
+
+
 def with_sums_above(histogram: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``above_<c>``, the total of ``c`` over strictly higher scores of the same keys.
 
@@ -46,14 +71,14 @@ def with_sums_above(histogram: DataFrame, keys: Sequence[str], sums: Sequence[st
     running sum inside the cell already includes it and no join is needed.
     """
     keys = list(keys)
-    celled = histogram.withColumn("_cell", F.floor(F.col("score") * CELLS))
+    cells = celled(histogram, keys)
     higher = (
         Window.partitionBy(*(keys or [F.lit(0)]))
         .orderBy(F.col("_cell").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        celled.groupBy(*keys, "_cell")
+        cells.groupBy(*keys, "_cell")
         .agg(*[F.sum(c).alias(c) for c in sums])
         .select(
             *keys,
@@ -68,7 +93,7 @@ def with_sums_above(histogram: DataFrame, keys: Sequence[str], sums: Sequence[st
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        celled.withColumn("_offset", F.lit(False))
+        cells.withColumn("_offset", F.lit(False))
         .unionByName(offsets, allowMissingColumns=True)
         .withColumns({f"above_{c}": F.sum(c).over(before) for c in sums})
         .where(~F.col("_offset"))
@@ -144,7 +169,10 @@ def losses(histogram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def evaluate(
     scored: DataFrame, keys: Sequence[str] = ("model",), *, label: str = "label", prob: str = "prob", bins: int = BINS
 ) -> DataFrame:
-    """All metrics, one row per keys (for instance scenario and model)."""
+    """All metrics, one row per keys (for instance scenario and model); one row without keys."""
+    if not keys:
+        one = scored.withColumn("_all", F.lit(0))
+        return evaluate(one, ["_all"], label=label, prob=prob, bins=bins).drop("_all")
     keys = list(keys)
     histogram = score_histogram(scored, keys, label=label, prob=prob)
     gaps = calibration(histogram, keys, bins).groupBy(*keys).agg(F.max(F.abs("gap")).alias("max_calibration_gap"))
@@ -167,8 +195,9 @@ def operating_points(
 ) -> DataFrame:
     """Confusion counts and rates per threshold; a score equal to the threshold is flagged.
 
-    One pass and one aggregate for all thresholds.
+    One pass and one aggregate for all thresholds. Rows without a label are left out.
     """
+    scored = scored.where(F.col(label).isNotNull())
     late = F.col(label) == 1
     sums = []
     for i, t in enumerate(thresholds):
@@ -239,10 +268,8 @@ def ranking_preserved(
     value of a cell is carried into the next cell as one row.
     """
     keys = list(keys)
-    spans = (
-        pairs.groupBy(*keys, F.col(before).alias("score"))
-        .agg(F.min(after).alias("low"), F.max(after).alias("high"))
-        .withColumn("_cell", F.floor(F.col("score") * CELLS))
+    spans = celled(
+        pairs.groupBy(*keys, F.col(before).alias("score")).agg(F.min(after).alias("low"), F.max(after).alias("high")), keys
     )
     over_cells = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell")
     carried = (

@@ -80,7 +80,7 @@ def weekday_profile(series: DataFrame) -> DataFrame:
 
 def lag_names(horizon: int, lags: Sequence[int] = LAGS, rolling: Sequence[int] = ROLLING) -> list[str]:
     if horizon < 1:
-        raise ValueError(f"horizon must be at least 1, got {horizon}")
+        raise ValueError(f"cannot forecast {horizon} days ahead: one day is the least")
     return [f"lag_{n}" for n in lags if n >= horizon] + [f"roll_mean_{w}" for w in rolling]
 
 

@@ -57,7 +57,7 @@ def month_blocks(frame: DataFrame, first_test_date: date) -> list[date]:
         .collect()
     )
     if not months:
-        raise ValueError(f"no rows on or after {first_test_date}")
+        raise ValueError(f"nothing to forecast from {first_test_date} on")
     return [r["block"] for r in months]
 
 

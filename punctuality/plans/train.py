@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctuality.contract import CATEGORICAL, SCENARIOS
-from punctuality.functions.numbers import or_base_rate
+from punctuality.functions.numbers import or_base_rate, within
 from punctuality.operators.categories import MAX_LEVELS, RareLevels
 from punctuality.operators.rates import recent_prior_rates
 from punctuality.operators.scoring_metrics import (
@@ -70,7 +69,7 @@ def build_logistic(features: Sequence[str], *, rows: int | None = None, max_iter
     values, flags = [f"{c}_value" for c in numbers], [f"{c}_missing" for c in numbers]
     filled = [f"{c}_filled" for c in numbers]
     stages = [
-        RareLevels(inputCols=levels, minCount=MIN_LEVEL_ROWS, maxLevels=(1 << 20)),
+        RareLevels(inputCols=levels, minCount=MIN_LEVEL_ROWS, maxLevels=0),
         _indexer(levels),
         OneHotEncoder(inputCols=[f"{c}_index" for c in levels], outputCols=[f"{c}_hot" for c in levels], dropLast=False),
         _missing_flags(numbers, None),
@@ -175,36 +174,26 @@ def best_model(metrics: DataFrame) -> DataFrame:
     )
 
 
-#: Points the isotonic fit is given at most. It pools violators in tasks, but ends on the
-#: driver, and so does its model.
-MAX_ISOTONIC_POINTS = 1_000_000
-
-
-def isotonic_points(scored: DataFrame, max_points: int = MAX_ISOTONIC_POINTS) -> DataFrame:
+def isotonic_points(scored: DataFrame) -> DataFrame:
     """(score, rate, weight): rows with equal scores as one weighted point, which leaves the
-    fit unchanged. Only if there are more distinct scores than ``max_points``, scores closer
-    than 1/max_points are merged at their weighted mean; every row keeps its weight."""
-    histogram = score_histogram(scored).persist(StorageLevel.MEMORY_AND_DISK)
-    if histogram.count() > max_points:
-        histogram = histogram.groupBy(F.floor(F.col("score") * max_points)).agg(
-            (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"), F.sum("pos").alias("pos"), F.sum("n").alias("n")
-        )
-    return histogram.select(
+    fit unchanged. The fit itself pools violators within score ranges on the executors, and
+    only the pooled blocks meet."""
+    return score_histogram(scored).select(
         "score", (F.col("pos") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight")
     )
 
 
-def fit_isotonic(scored: DataFrame, max_points: int = MAX_ISOTONIC_POINTS) -> IsotonicRegressionModel:
+def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
     """Monotone map of ``prob`` to the observed rate."""
     return IsotonicRegression(
         featuresCol="score", labelCol="rate", weightCol="weight", predictionCol="mapped"
-    ).fit(isotonic_points(scored, max_points))
+    ).fit(isotonic_points(scored))
 
 
 def isotonic_scores(model: IsotonicRegressionModel, scored: DataFrame) -> DataFrame:
     """``scored`` with ``mapped``, clipped to [0, 1]."""
     mapped = model.transform(scored.withColumn("score", F.col("prob"))).drop("score")
-    return mapped.withColumn("mapped", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mapped"))))
+    return mapped.withColumn("mapped", within(F.col("mapped"), 0.0, 1.0))
 
 
 def calibration_comparison(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from punctuality.operators import layout
 from punctuality.plans import inputs
-from punctuality.plans.layout_experiment import layout_experiment
 from punctuality.registry.shared import comparable, with_ctes
 from punctuality.session import shared_folder
 
@@ -63,42 +62,31 @@ _FOUND_SQL = """SELECT '{label}' AS wanted, count(*) AS rows, round(sum(l_quanti
     FROM lineitem WHERE {where}"""
 
 
-def _pruned(spark, sf_dir):
-    path = shared_folder(spark, "clustered")
-    layout.write_layout(_lineitem(spark, sf_dir), path, cluster_by=["l_suppkey"], files=TEST_FILES)
-    table = spark.read.parquet(path)
-    manifest = layout.file_manifest(table, ["l_suppkey"])
-    rows = layout.read_pruned(table, path, manifest, {"l_suppkey": [50, 7]})
-    return comparable(_found(rows, "suppliers"))
+def _clustered(spark, sf_dir, name, columns):
+    path = shared_folder(spark, name)
+    layout.write_layout(_lineitem(spark, sf_dir), path, cluster_by=columns, files=TEST_FILES)
+    return spark.read.parquet(path)
+
+
+def _by_supplier(spark, sf_dir):
+    table = _clustered(spark, sf_dir, "clustered", ["l_suppkey"])
+    return comparable(_found(table.where(F.col("l_suppkey").isin(50, 7)), "suppliers"))
 
 
-def _z_ordered(spark, sf_dir):
-    path = shared_folder(spark, "z-ordered")
-    layout.write_z_ordered(_lineitem(spark, sf_dir), path, ["l_suppkey", "l_partkey"], files=TEST_FILES)
-    table = spark.read.parquet(path)
-    manifest = layout.file_manifest(table, ["l_suppkey", "l_partkey"]).persist()
-    by_part = layout.read_pruned(table, path, manifest, {"l_partkey": [1000]})
-    by_supplier = layout.read_pruned(table, path, manifest, {"l_suppkey": [50]})
+def _by_either(spark, sf_dir):
+    table = _clustered(spark, sf_dir, "clustered-twice", ["l_suppkey", "l_partkey"])
+    by_part, by_supplier = table.where("l_partkey = 1000"), table.where("l_suppkey = 50")
     return comparable(_found(by_part, "part").unionByName(_found(by_supplier, "supplier")))
 
 
-def _z_order_report(spark, sf_dir):
-    """Files that each single value needs, in a plain sort and in the z-order."""
-    lines = _lineitem(spark, sf_dir)
-    plain, z = shared_folder(spark, "plain"), shared_folder(spark, "z")
-    layout.write_layout(lines, plain, cluster_by=["l_suppkey"], files=TEST_FILES)
-    layout.write_z_ordered(lines, z, ["l_suppkey", "l_partkey"], files=TEST_FILES)
-    out = None
-    for name, path in (("sorted", plain), ("z_ordered", z)):
-        manifest = layout.file_manifest(spark.read.parquet(path), ["l_suppkey", "l_partkey"])
-        one = manifest.agg(
-            F.lit(name).alias("layout"),
-            F.count(F.lit(1)).alias("files"),
-            F.count_if(layout.may_contain({"l_suppkey": [50]})).alias("files_for_supplier"),
-            F.count_if(layout.may_contain({"l_partkey": [1000]})).alias("files_for_part"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+def _files_per_value(spark, sf_dir):
+    """Files that hold one supplier, rows as they come and rows clustered."""
+    wanted = {"files_for_supplier": F.col("l_suppkey") == 50}
+    plain = shared_folder(spark, "plain")
+    layout.write_layout(_lineitem(spark, sf_dir), plain, files=TEST_FILES)
+    tables = {"as_it_comes": spark.read.parquet(plain), "clustered": _clustered(spark, sf_dir, "sorted", ["l_suppkey"])}
+    parts = [layout.files_holding(t, wanted).select(F.lit(n).alias("layout"), "*") for n, t in tables.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def _detail(spark, sf_dir):
@@ -108,28 +96,6 @@ def _detail(spark, sf_dir):
     return layout.table_detail(spark, path, ["Year"])
 
 
-def _experiment(spark, sf_dir):
-    return layout_experiment(
-        _facts_by_month(spark, sf_dir).drop("Month"),
-        shared_folder(spark, "experiment"),
-        partition_by=["Year"],
-        cluster_by=["origin"],
-        pruning=["Year = 1997"],
-        clustering=[{"origin": ["N05"]}, {"origin": ["N17"]}, {"origin": ["N05", "N17"]}],
-        aggregates=[F.count(F.lit(1)).alias("n"), F.sum("distance").alias("distance")],
-        files=TEST_FILES,
-    )
-
-
-def _scan_report(spark, sf_dir):
-    table = _partitioned(spark, sf_dir)
-    found = []
-    for p in ("Year >= 0", *_PREDICATES[:2]):
-        m = layout.measure(p, table.where(p).agg(F.count(F.lit(1)), F.avg("distance")))
-        found.append((m["label"], m["files"], m["bytes"], m["rows"], m["partitions"]))
-    return spark.createDataFrame(found, "predicate string, files bigint, bytes bigint, rows bigint, partitions bigint")
-
-
 def _slices(spark, sf_dir):
     return layout.rows_per_scale(_facts_by_month(spark, sf_dir), FIRST_MONTH)
 
@@ -142,18 +108,6 @@ def _manifest(spark, sf_dir):
 _MANIFEST_SQL = "manifest AS (SELECT year, month, count(*) * 1000 AS bytes FROM facts GROUP BY 1, 2)"
 
 
-def _projection(spark, sf_dir):
-    """The first two years as the measured slice of the whole feed."""
-    early = F.col("year") <= 1996
-    measured = _manifest(spark, sf_dir).agg(
-        F.sum(F.when(early, F.col("bytes") / 1000)).cast("bigint").alias("rows_measured"),
-        F.sum(F.when(early, F.col("bytes"))).alias("compressed_bytes_measured"),
-        (F.sum(F.when(early, F.col("bytes") / 1000)) * 23).cast("bigint").alias("parquet_bytes_measured"),
-        F.sum("bytes").alias("feed_compressed_bytes"),
-    )
-    return comparable(layout.capacity_projection(measured, machine_bytes=1_000_000))
-
-
 QUERIES = {
     "partition_predicates": (
         _partition_predicates,
@@ -166,17 +120,15 @@ QUERIES = {
             _M,
         ),
     ),
-    "pruned_by_manifest": (_pruned, _FOUND_SQL.format(label="suppliers", where="l_suppkey IN (50, 7)")),
-    "zorder_same_answer": (
-        _z_ordered,
+    "clustered_lookup": (_by_supplier, _FOUND_SQL.format(label="suppliers", where="l_suppkey IN (50, 7)")),
+    "clustered_two_columns": (
+        _by_either,
         _FOUND_SQL.format(label="part", where="l_partkey = 1000")
         + " UNION ALL "
         + _FOUND_SQL.format(label="supplier", where="l_suppkey = 50"),
     ),
-    "zorder_report": (_z_order_report, None),
+    "files_per_value": (_files_per_value, None),
     "table_detail": (_detail, None),
-    "layout_experiment": (_experiment, None),
-    "scan_report": (_scan_report, None),
     "month_slice_counts": (
         _slices,
         with_ctes(
@@ -199,23 +151,4 @@ QUERIES = {
             _MANIFEST_SQL,
         ),
     ),
-    "capacity_projection": (
-        _projection,
-        with_ctes(
-            """SELECT *, CAST(round(rows_measured / compressed_bytes_measured * 1e9) AS BIGINT) AS rows_per_compressed_gigabyte,
-            round(parquet_bytes_measured / rows_measured, 2) AS parquet_bytes_per_row,
-            round(estimated_feed_rows / rows_measured, 2) AS multiple_of_measured,
-            CAST(round(estimated_feed_parquet_bytes * 3.0) AS BIGINT) AS estimated_working_set_bytes,
-            CAST(estimated_feed_parquet_bytes * 3.0 < 1000000 AS INTEGER) AS fits,
-            CAST(round(1000000 / (parquet_bytes_measured / rows_measured * 3.0)) AS BIGINT) AS rows_that_fit FROM (
-                SELECT *, CAST(round(estimated_feed_rows * (parquet_bytes_measured / rows_measured)) AS BIGINT) AS estimated_feed_parquet_bytes
-                FROM (SELECT *, CAST(round(feed_compressed_bytes * (rows_measured / compressed_bytes_measured)) AS BIGINT) AS estimated_feed_rows
-                    FROM (SELECT CAST(sum(bytes) FILTER (WHERE year <= 1996) // 1000 AS BIGINT) AS rows_measured,
-                        CAST(sum(bytes) FILTER (WHERE year <= 1996) AS BIGINT) AS compressed_bytes_measured,
-                        CAST(sum(bytes) FILTER (WHERE year <= 1996) // 1000 * 23 AS BIGINT) AS parquet_bytes_measured,
-                        CAST(sum(bytes) AS BIGINT) AS feed_compressed_bytes FROM manifest) a) b) c""",
-            _M,
-            _MANIFEST_SQL,
-        ),
-    ),
 }

@@ -120,12 +120,12 @@ def _workload_sql():
         last = FIRST_MONTH[0] * 12 + months - 1
         where = f'"Year" * 100 + "Month" <= {last // 12 * 100 + last % 12 + 1}'
         parts.append(
-            f"""SELECT 'daily_rate_by_origin' AS workload, {months} AS months, count(*) AS rows, round(sum(n + r + d), 3) AS digest
+            f"""SELECT 'daily_rate_by_origin' AS workload, {months} AS months, count(*) AS rows, round(coalesce(sum(n + coalesce(r, 0) + coalesce(d, 0)), 0), 3) AS digest
             FROM (SELECT count(*) AS n, round(avg("ArrDel15"), 6) AS r, round(avg("ArrDelay"), 6) AS d FROM labelled
                 WHERE {where} AND "ArrDel15" IS NOT NULL GROUP BY "Origin", "FlightDate") q"""
         )
         parts.append(
-            f"""SELECT 'inbound_leg_delay', {months}, count(*), round(sum(n + r + d), 3)
+            f"""SELECT 'inbound_leg_delay', {months}, count(*), round(coalesce(sum(n + coalesce(r, 0) + d), 0), 3)
             FROM (SELECT count(*) AS n, round(avg(prev), 6) AS r, count(prev) AS d FROM (SELECT lag("ArrDelay") OVER (
                 PARTITION BY "Tail_Number" ORDER BY "FlightDate", "CRSDepTime", "Flight_Number_Reporting_Airline", "Origin", "Dest") AS prev
                 FROM labelled WHERE {where}) w) q"""
@@ -175,7 +175,7 @@ QUERIES = {
     "result_digest": (
         _digest,
         with_ctes(
-            """SELECT count(*) AS rows, round(sum(flights + rate + delay), 3) AS digest FROM (
+            """SELECT count(*) AS rows, round(coalesce(sum(flights + coalesce(rate, 0) + coalesce(delay, 0)), 0), 3) AS digest FROM (
             SELECT count(*) AS flights, round(avg("ArrDel15"), 6) AS rate, round(avg("ArrDelay"), 6) AS delay
             FROM legs WHERE "ArrDel15" IS NOT NULL GROUP BY "Origin", "FlightDate") q""",
             inputs.LEGS_SQL,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +41,16 @@ def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that every executor can reach.
 
-    It lies below ``spark.checkpoint.dir``. Only a local session without that setting gets
-    a temporary folder of this machine; on a cluster the missing setting is an error.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is unset, and is
+    deleted when the session's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="punctuality-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cuts"
+    own = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(folder)  # only what exists can be marked
+    files.deleteOnExit(folder)
+    return f"{own}/{name}"
 
 
 def materialised(df: DataFrame, name: str = "cut") -> DataFrame:

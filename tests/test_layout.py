@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from punctuality.operators import layout
-from punctuality.plans.layout_experiment import layout_experiment
 
 
 @pytest.fixture(scope="module")
@@ -22,75 +21,21 @@ def test_clustered_files_are_narrow_and_capped(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     layout.write_layout(rows, path, partition_by=["Year"], cluster_by=["Origin"], max_records_per_file=500, files=8)
     table = spark.read.parquet(path)
-    manifest = layout.file_manifest(table, ["Origin"])
-    stats = manifest.agg(F.max("rows").alias("most"), F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows")).first()
-    assert stats.rows == 8_000 and stats.most <= 500
-    hits = manifest.where(layout.may_contain({"Origin": ["X42"]})).count()
-    assert hits <= 4 < stats.files
+    per_file = table.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    assert per_file.rows == 8_000 and per_file.most <= 500
+    held = layout.files_holding(table, {"x42": F.col("Origin") == "X42"}).first()
+    assert 0 < held.x42 <= 4 < held.files
     detail = layout.table_detail(spark, path, ["Year"]).first()
-    assert (detail.num_files, detail.partition_columns) == (stats.files, "Year") and detail.size_bytes > 0
+    assert (detail.num_files, detail.partition_columns) == (held.files, "Year") and detail.size_bytes > 0
 
 
 def test_a_hot_value_is_spread_over_files(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     layout.write_layout(rows, path, cluster_by=["Origin"], files=8)
-    most = layout.file_manifest(spark.read.parquet(path), ["Origin"]).agg(F.max("rows")).first()[0]
+    most = spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0]
     assert most < 2_500  # "ATL" alone has 4,000 rows
 
 
-def test_pruned_read_gives_the_same_answer(spark, rows, tmp_path):
-    path = str(tmp_path / "t")
-    layout.write_z_ordered(rows, path, ["a", "b"], partition_by=["Year"], files=16)
-    table = spark.read.parquet(path)
-    manifest = layout.file_manifest(table, ["a", "b"])
-    files = manifest.count()
-    for wanted in ({"a": [5]}, {"b": [7, 900]}, {"a": [5, 6], "b": [7]}, {"a": [5000]}):
-        full = rows
-        for c, v in wanted.items():
-            full = full.where(F.col(c).isin(v))
-        pruned = layout.read_pruned(table, path, manifest, wanted)
-        same = [x.select("Origin", "a", "b", "Year") for x in (full, pruned)]
-        assert same[0].exceptAll(same[1]).count() == 0 and same[1].exceptAll(same[0]).count() == 0
-    for column in ("a", "b"):  # narrow in both columns, which a plain sort cannot be
-        assert manifest.where(layout.may_contain({column: [500]})).count() < files * 0.7
-
-
-def test_z_key_of_text_keeps_order(spark):
-    df = spark.createDataFrame([("ATL",), ("JFK",), ("SEA",), ("SEATTLE",)], "o string")
-    keys = [r[0] for r in df.orderBy("o").select(layout._orderable(df, "o")).collect()]
-    assert keys == sorted(keys) and keys[0] < keys[1] < keys[2] < keys[3]
-
-
-def test_measure(spark, rows, tmp_path):
-    path = str(tmp_path / "t")
-    layout.write_layout(rows, path, partition_by=["Year"])
-    table = spark.read.parquet(path)
-    full = layout.measure("all", table.agg(F.sum("ArrDelay")))
-    one = layout.measure("one", table.where("Year = 2024").agg(F.sum("ArrDelay")))
-    assert 0 < one["files"] < full["files"] and one["bytes"] < full["bytes"] and full["rows"] == 8_000
-    twice = layout.measure("join", table.join(table.select("a").distinct(), "a").agg(F.sum("ArrDelay")))
-    assert twice["files"] >= full["files"]
-    with pytest.raises(layout.NothingScanned):
-        layout.measure("none", spark.range(3).agg(F.sum("id")))
-
-
-def test_experiment_answers_match(spark, rows, tmp_path):
-    out = layout_experiment(
-        rows, str(tmp_path), partition_by=["Year"], cluster_by=["Origin"], pruning=["Year = 2024"],
-        clustering=[{"Origin": ["X42"]}, {"Origin": ["ATL", "X42"]}],
-        aggregates=[F.count(F.lit(1)), F.sum("ArrDelay")], files=8, max_records_per_file=200,
-    ).collect()
-    assert all(r.answers_match for r in out) and len(out) == 6
-    clustered = [r for r in out if r.layout == "clustered" and "ATL" not in r.predicate]
-    assert clustered[0].bytes_skipped > 0.5
-
-
-def test_skipped_share(spark):
-    df = spark.createDataFrame([(79.5, 444.7), (1.0, 0.0)], "b double, base double")
-    got = [round(r[0], 3) for r in df.select(layout.skipped_share(F.col("b"), F.col("base"))).collect()]
-    assert got == [0.821, 0.0]
-
-
 def test_month_slices(spark):
     months = [(2023, 1)] * 3 + [(2023, 2)] + [(2023, 3)] * 2
     df = spark.createDataFrame(months, "Year int, Month int")
@@ -101,12 +46,7 @@ def test_month_slices(spark):
             layout.month_slice((2023, 1), n)
 
 
-def test_manifest_and_projection(spark):
+def test_manifest_summary(spark):
     manifest = spark.createDataFrame([(2023, m, 1000) for m in range(1, 13)] + [(2024, 1, 0)], "year int, month int, bytes bigint")
     r = layout.manifest_summary(manifest, 2023, 2024).first()
     assert (r.probed, r.found, r.compressed_bytes, r.first_month, r.last_month, r.absent_years) == (24, 12, 12_000, 202301, 202312, "2024")
-    measured = spark.createDataFrame([(1_000_000, 100_000_000, 20_000_000, 1_000_000_000)],
-        "rows_measured bigint, compressed_bytes_measured bigint, parquet_bytes_measured bigint, feed_compressed_bytes bigint")
-    p = layout.capacity_projection(measured, machine_bytes=500_000_000).first()
-    assert (p.estimated_feed_rows, p.estimated_feed_parquet_bytes, p.multiple_of_measured) == (10_000_000, 200_000_000, 10.0)
-    assert (p.estimated_working_set_bytes, p.fits) == (600_000_000, False)

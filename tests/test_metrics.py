@@ -105,3 +105,35 @@ def test_ranking_preserved(spark):
     assert preserved([(0.1, 0.2), (0.5, 0.2), (0.9, 0.2)])
     assert preserved([(0.5, 0.2), (0.5, 0.1), (0.9, 0.3)])  # equal inputs have no order
     assert not preserved([(0.5, 0.2), (math.nextafter(0.5, 1), 0.1)])  # inside one cell
+
+
+def test_missing_probability_is_an_error(spark):
+    for bad in (None, float("nan")):
+        rows = spark.createDataFrame([("m", 1.0, 0.5), ("m", 0.0, bad)], "model string, label double, prob double")
+        with pytest.raises(Exception, match="null or NaN"):
+            sm.evaluate(rows).collect()
+
+
+def test_unlabelled_rows_are_left_out(spark):
+    rows = spark.createDataFrame(
+        [("m", 1.0, 0.9), ("m", 0.0, 0.2), ("m", None, 0.95), ("m", None, None)], "model string, label double, prob double"
+    )
+    got = sm.evaluate(rows).first()
+    assert (got.n, got.pr_auc, got.positive_rate) == (2, 1.0, 0.5)
+    assert [r.false_positive for r in sm.operating_points(rows, [], [0.9]).collect()] == [0]
+
+
+def test_evaluate_without_keys(spark):
+    got = sm.evaluate(scored(spark, [(1, 0.9), (0, 0.2), (0, 0.9)]), []).collect()
+    assert len(got) == 1 and "_all" not in got[0] and got[0].n == 3
+
+
+def test_tiny_scores_fall_into_many_cells(spark):
+    rows = spark.range(20_000).select(
+        (F.col("id") % 7 == 0).cast("double").alias("label"), (F.col("id") / 20_000 * 1e-6).alias("prob")
+    )
+    histogram = sm.score_histogram(rows)
+    cells = sm.celled(histogram, []).groupBy("_cell").count()
+    assert cells.count() > sm.CELLS // 2 and cells.agg(F.max("count")).first()[0] < 200
+    falls = sm.celled(histogram, []).orderBy("score").select("_cell").collect()
+    assert all(a[0] <= b[0] for a, b in zip(falls, falls[1:]))

@@ -115,9 +115,24 @@ def test_isotonic_keeps_order_and_fits(years, boosted):
 
 def test_isotonic_points_keep_every_row(spark):
     rows = spark.range(500).select((F.col("id") % 3 == 0).cast("double").alias("label"), (F.col("id") / 500).alias("prob"))
-    for most, points in ((1000, 500), (10, 10)):
-        got = train.isotonic_points(rows, most).agg(F.count("*"), F.sum("weight"), F.sum(F.col("rate") * F.col("weight"))).first()
-        assert tuple(got) == (points, 500.0, pytest.approx(167.0))
+    got = train.isotonic_points(rows).agg(F.count("*"), F.sum("weight"), F.sum(F.col("rate") * F.col("weight"))).first()
+    assert tuple(got) == (500, 500.0, pytest.approx(167.0))
+
+
+@pytest.mark.parametrize("n", [200, 5_000])
+def test_isotonic_map_of_rare_events(spark, n):
+    """Scores in [0, 0.01] get the exact monotone map, whatever their number."""
+    i = F.col("id")
+    rows = spark.range(n).select((F.pmod(F.xxhash64(i), F.lit(97)) < 1 + i * 20 / n).cast("double").alias("label"), (i / n / 100).alias("prob"))
+    mapped = train.isotonic_scores(train.fit_isotonic(rows), rows).orderBy("prob").collect()
+    blocks = []
+    for r in mapped:
+        blocks.append([r.label, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, size = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + size]
+    wanted = [total / size for total, size in blocks for _ in range(size)]
+    assert [r.mapped for r in mapped] == pytest.approx(wanted, abs=1e-9)
 
 
 def test_best_model(spark):
