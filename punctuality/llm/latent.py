@@ -28,11 +28,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from punctuality.llm.licenses import plain
-from punctuality.llm.texts import SLICE_ROWS, WordHashes, map_rows, row_key, small_batches
+from punctuality.llm.texts import SLICE_ROWS, WordHashes, map_blocks, row_key, small_batches, word_edges, word_values
 
-PASSAGE, RANK, EXTRA, STEP = 32, 112, 16, 4
+PASSAGE, RANK, EXTRA, STEP = 32, 64, 16, 4
 #: Terms in more than this share of passages say nothing about an item.
-STOP_SHARE = 0.05
+STOP_SHARE = 0.01
 COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.5, 0.8
 BLOCK_ITEMS = 2000
 #: Words of an item's answer: this share of it, from the end.
@@ -57,20 +57,40 @@ class Terms:
     hashes: np.ndarray
 
     def __post_init__(self):
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.slots = np.zeros(1 << 18, np.int32)  # a term of the slot, and whether others share it
+        slot = (self.hashes & np.uint64(0x3FFFF)).astype(np.int64)
+        self.slots[slot] = np.arange(1, len(slot) + 1)
+        self.crowded = np.bincount(slot, minlength=1 << 18) > 1
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, term numbers) of the words that are terms."""
-        at = np.flatnonzero(self.seen[(words & np.uint64(0xFFFF)).astype(np.int64)])
-        own = words[at]
-        k = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        slot = (words & np.uint64(0x3FFFF)).astype(np.int64)
+        k = self.slots[slot]
+        at = np.flatnonzero(k)
+        k, own = k[at] - 1, words[at]
+        crowd = np.flatnonzero(self.crowded[slot[at]])
+        k[crowd] = np.minimum(np.searchsorted(self.hashes, own[crowd]), len(self.hashes) - 1)
         hit = self.hashes[k] == own
-        return at[hit], k[hit]
+        return at[hit], k[hit].astype(np.int64)
+
+
+class Reader:
+    """Words of several texts at once: hashes, and the text and place in it of each."""
+
+    def __init__(self):
+        self.hashes = WordHashes()
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, where each text begins among them, and the end)."""
+        raws = [folded(t) for t in texts]
+        b = np.frombuffer(b" ".join(raws), np.uint8)
+        first, last = word_edges(b)
+        begin = np.cumsum([0] + [len(r) + 1 for r in raws])
+        return word_values(b, first, last), np.searchsorted(first, begin)
 
 
 def _summed(texts: DataFrame, start: Callable, schema: str) -> DataFrame:
-    """One block of rows per task: ``start`` gives a function of a text and one of the end."""
+    """One block of rows per task: ``start`` gives a function of some texts and one of the end."""
     small_batches(texts.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -78,8 +98,7 @@ def _summed(texts: DataFrame, start: Callable, schema: str) -> DataFrame:
         each, end = start()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    each(text)
+                each(batch.column(0).slice(at, SLICE_ROWS).to_pylist())
         made = end()
         if made is not None:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, target, strict=True)], schema=target)
@@ -87,18 +106,30 @@ def _summed(texts: DataFrame, start: Callable, schema: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, schema)
 
 
+def passages_of(begin: np.ndarray) -> tuple[np.ndarray, int]:
+    """Number of the passage of each word, and of all passages; a passage lies within a text."""
+    sizes = np.diff(begin)
+    many = -(-sizes // PASSAGE)
+    before = np.cumsum(many) - many
+    place = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
+    return np.repeat(before, sizes) + place // PASSAGE, int(many.sum())
+
+
 def _frequencies(texts: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     """In how many passages each term occurs, and the number of passages."""
 
     def start():
-        hashes, size = WordHashes(), len(terms.hashes)
-        counts, total = np.zeros(size + 1, np.int64), 0
+        reader, size = Reader(), len(terms.hashes)
+        counts = np.zeros(size + 1, np.int64)
 
-        def each(text):
-            words = hashes.of_plain(folded(text))
-            counts[size] += -(-len(words) // PASSAGE)
+        def each(some):
+            words, begin = reader.read(some)
+            passage, total = passages_of(begin)
+            counts[size] += total
             at, k = terms.find(words)
-            once = np.unique(at // PASSAGE * size + k)
+            key = passage[at] * size + k
+            key.sort()
+            once = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
             counts[:size] += np.bincount(once % size, minlength=size)
 
         def end():
@@ -120,7 +151,7 @@ def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray)
     idf, thin = idf.astype(np.float32), thin.astype(np.float32)
 
     def start():
-        hashes = WordHashes()
+        reader = Reader()
         out = np.zeros((size, width), np.float64)
         passages: list[np.ndarray] = []
         found: list[np.ndarray] = []
@@ -152,14 +183,15 @@ def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray)
             found.clear()
             held[0] = 0
 
-        def each(text):
-            words = hashes.of_plain(folded(text))
+        def each(some):
+            words, begin = reader.read(some)
+            passage, total = passages_of(begin)
             at, k = terms.find(words)
             if len(at):
-                passages.append(at // PASSAGE + held[1])
+                passages.append(passage[at] + held[1])
                 found.append(k)
                 held[0] += len(at)
-            held[1] += len(words) // PASSAGE + 1
+            held[1] += total
             if held[0] >= AT_ONCE:
                 multiply()
 
@@ -213,6 +245,9 @@ def window_of(n: int) -> int:
     return -(-size // STEP) * STEP
 
 
+_NAMES = [part.split()[0] for part in LEAKS.split(", ")]
+
+
 @dataclass
 class Items:
     ids: list[int]
@@ -235,47 +270,82 @@ def index(ids: list[int], words: list[np.ndarray], terms: Terms, idf: np.ndarray
     return Items(ids, words, terms, weighted, latent)
 
 
-def candidates(words: np.ndarray, items: Items) -> Iterator[tuple[int, float, int, int]]:
-    """(item number, cosine, start, size) of the windows close to an item."""
-    at, k = items.terms.find(words)
+def segments(begin: np.ndarray, most: int, reach: int) -> list[tuple[int, int, int]]:
+    """(text, first word, end) of parts of texts of at most ``most`` words; a part of a longer
+    text begins ``reach`` words before the end of the one before, so no window is split."""
+    out = []
+    for text, (low, high) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        while high - low > most:
+            out.append((text, low, low + most))
+            low += most - reach
+        if high > low:
+            out.append((text, low, high))
+    return out
+
+
+def candidates(words: np.ndarray, begin: np.ndarray, items: Items) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, item number, cosine, start, size) of the windows close to an item.
+
+    Texts lie one after the other with empty blocks between them, as many as the longest window
+    has, so a window never sees two.
+    """
+    reach = max(items.latent, default=0)
+    waiting: list[tuple[int, int, int]] = []
+    held = 0
+    for part in segments(begin, AT_ONCE, reach):
+        waiting.append(part)
+        held += part[2] - part[1] + reach
+        if held >= AT_ONCE:
+            yield from _close(words, begin, waiting, items)
+            waiting, held = [], 0
+    if waiting:
+        yield from _close(words, begin, waiting, items)
+
+
+def _close(words: np.ndarray, begin: np.ndarray, parts: list[tuple[int, int, int]], items: Items):
+    reach, rank = max(items.latent, default=0) // STEP, items.weighted.shape[1]
+    low = np.array([p[1] for p in parts])
+    sizes = np.array([p[2] for p in parts]) - low
+    first = np.cumsum(-(-sizes // STEP) + reach)
+    total_blocks = int(first[-1])
+    first = np.r_[0, first[:-1]]  # first block of each part
+    own = np.concatenate([words[a:b] for _, a, b in parts])
+    at, k = items.terms.find(own)
     if not len(at):
         return
-    n_blocks, rank = -(-len(words) // STEP), items.weighted.shape[1]
-    block = at // STEP
+    ends = np.cumsum(sizes)
+    part = np.searchsorted(ends, at, side="right")
+    block = first[part] + (at - (ends - sizes)[part]) // STEP
     edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    reach = max(items.latent, default=0) // STEP
-    for low in range(0, n_blocks, AT_ONCE // 2):
-        high = min(n_blocks, low + AT_ONCE // 2 + reach)
-        some = slice(*np.searchsorted(block[edge], (low, high)))
-        total = np.zeros((high - low + 1, rank), np.float32)
-        if some.stop > some.start:
-            first, last = edge[some.start], edge[some.stop] if some.stop < len(edge) else len(at)
-            total[block[edge[some]] - low + 1] = np.add.reduceat(items.weighted[k[first:last]], edge[some] - first, axis=0)
-        np.cumsum(total, axis=0, out=total)
-        for size, (numbers, vectors) in items.latent.items():
-            wide = size // STEP
-            begin = np.arange(0, max(1, high - low - wide + 1), max(1, wide // 4))
-            if begin[-1] + wide < high - low:
-                begin = np.r_[begin, high - low - wide]
-            windows = total[np.minimum(begin + wide, high - low)] - total[begin]
-            norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
-            close = windows @ vectors.T
-            i, j = np.nonzero(close >= COSINE * np.maximum(norm, 1e-6)[:, None])
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                yield int(numbers[y]), float(close[x, y] / norm[x]), int(low + begin[x]) * STEP, size
-
-
-def confirmed(words: np.ndarray, items: Items) -> list[tuple]:
-    """(item id, cosine, share of common words, share of the answer, start, kind) of the leaks."""
-    by_item: dict[int, list] = defaultdict(list)
-    for number, cosine, start, size in candidates(words, items):
-        by_item[number].append((-cosine, start, size))
-    out = []
-    for number, places in by_item.items():
+    total = np.zeros((total_blocks + 1, rank), np.float32)
+    total[block[edge] + 1] = np.add.reduceat(items.weighted[k], edge, axis=0)
+    np.cumsum(total, axis=0, out=total)
+    for size, (numbers, vectors) in items.latent.items():
+        wide = size // STEP
+        start = np.arange(0, max(1, total_blocks - wide + 1), max(1, wide // 3))
+        windows = total[np.minimum(start + wide, total_blocks)] - total[start]
+        norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+        close = windows @ vectors.T
+        i, j = np.nonzero(close >= COSINE * np.maximum(norm, 1e-3)[:, None])
+        which = np.searchsorted(first, start[i], side="right") - 1
+        for x, y, p in zip(i.tolist(), j.tolist(), which.tolist(), strict=True):
+            text = parts[p][0]
+            yield text, int(numbers[y]), float(close[x, y] / norm[x]), int((start[x] - first[p]) * STEP + low[p] - begin[text]), size
+
+
+def confirmed(texts: list[str | None], items: Items, reader: Reader) -> list[list[tuple]]:
+    """Per text, (item id, cosine, share of common words, share of the answer, start, kind)."""
+    words, begin = reader.read(texts)
+    places: dict[tuple[int, int], list] = defaultdict(list)
+    for text, number, cosine, start, size in candidates(words, begin, items):
+        places[text, number].append((-cosine, start, size))
+    out: list[list[tuple]] = [[] for _ in texts]
+    for (text, number), windows in sorted(places.items()):
         item, best = items.words[number], None
+        own = words[begin[text] : begin[text + 1]]
         answer = item[-max(1, round(ANSWER_WORDS * len(item))) :]
-        for cosine, start, size in sorted(places):
-            region = words[max(0, start - size // 2) : start + size + size // 2]
+        for cosine, start, size in sorted(windows):
+            region = own[max(0, start - size // 2) : start + size + size // 2]
             share = common_length(item, region) / len(item)
             if share < PARAPHRASE:
                 continue
@@ -286,8 +356,8 @@ def confirmed(words: np.ndarray, items: Items) -> list[tuple]:
             if kind == "copy":
                 break
         if best:
-            out.append(best)
-    return sorted(out)
+            out[text].append(best)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -329,13 +399,15 @@ def _leaks_of(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(items)  # vocabulary x rank, see BLOCK_ITEMS
 
     def start():
-        hashes, items = WordHashes(), told.value
+        reader, items = Reader(), told.value
 
-        def each(doc_id, text, a, b):
-            for leak in confirmed(hashes.of_plain(folded(text)), items):
-                yield doc_id, a, b, *leak
+        def each(columns):
+            ids, texts, a, b = columns
+            found = confirmed(texts, items, reader)
+            rows = [(i, x, y, *leak) for i, x, y, of in zip(ids, a, b, found, strict=True) for leak in of]
+            return dict(zip(_NAMES, zip(*rows, strict=True), strict=True)) if rows else None
 
         return each
 
     rows = docs.select("doc_id", "text", row_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
-    return map_rows(rows, start, LEAKS)
+    return map_blocks(rows, start, LEAKS)

@@ -55,8 +55,9 @@ class Remembered(dict):
 class WordHashes:
     """64-bit hashes of the words of a text, and of windows of words.
 
-    Both are polynomials modulo 2**64 with an odd base, taken as differences of prefix sums and
-    brought back to position 0 by the base's inverse, so a whole text takes a few array steps.
+    A word is hashed by its eight-byte parts. A window's hash is a polynomial of its words'
+    modulo 2**64 with an odd base, taken as a difference of prefix sums and brought back to
+    position 0 by the base's inverse. So a whole text takes a few array steps.
     """
 
     def __init__(self):
@@ -87,15 +88,7 @@ class WordHashes:
         return found[0] if len(found) == 1 else np.concatenate([np.empty(0, np.uint64), *found])
 
     def _piece(self, b: np.ndarray) -> np.ndarray:
-        n = len(b)
-        self._powers(n)
-        space = np.ones(n + 2, bool)
-        space[1:-1] = (b == 32) | ((b >= 9) & (b <= 13))
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        first, last = edges[0::2], edges[1::2]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((b + np.uint64(1)) * self.up[:n], out=total[1:])
-        return mixed((total[last] - total[first]) * self.down[first])
+        return word_values(b, *word_edges(b))
 
     def windows(self, hashes: np.ndarray, k: int) -> np.ndarray:
         """Hash of each run of ``k`` consecutive words, by its start."""
@@ -108,6 +101,35 @@ class WordHashes:
         return mixed((total[k:] - total[:-k]) * self.down[: n - k + 1])
 
 
+#: Keeps the first k bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in the bytes of a text."""
+    space = np.ones(len(b) + 2, bool)
+    np.less(b - np.uint8(9), 5, out=space[1:-1])
+    space[1:-1] |= b == 32
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[0::2], edges[1::2]
+
+
+def word_values(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    room = np.zeros(len(b) + 8, np.uint8)
+    room[: len(b)] = b
+    eight = np.ndarray((len(b) + 1,), "<u8", room, strides=(1,))  # the eight bytes from each on
+    left = last - first
+    out = mixed((eight[first] & _FIRST[np.minimum(left, 8)]) + left.astype(np.uint64) * np.uint64(_ODD))
+    part = 8
+    long = np.flatnonzero(left > part)
+    while len(long):
+        more = eight[first[long] + part] & _FIRST[np.minimum(left[long] - part, 8)]
+        out[long] = mixed(out[long] * np.uint64(_ODD) + more)
+        part += 8
+        long = long[left[long] > part]
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -162,6 +184,34 @@ def map_blocks(df: DataFrame, start: Callable[[], Callable[[list], dict | None]]
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, key: str, made: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Batches made from whole groups of ``df``; a call gets the rows of some groups, side by side.
+
+    Groups are bounded by the caller; a task holds one batch and the group at its end.
+    """
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            keys = rows[key].combine_chunks()
+            end = len(keys) - 1  # the last group may go on
+            last = keys[end]
+            while end and keys[end - 1] == last:
+                end -= 1
+            if end:
+                yield made(rows.slice(0, end))
+            rest = rows.slice(end)
+        if rest is not None and len(rest):
+            yield made(rest)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """A key of a row's id and text: rows that share an id, or have none, stay apart."""
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
