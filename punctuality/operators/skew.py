@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,27 +119,6 @@ def lag_by_key(
     )
 
 
-#: A reduced table is broadcast up to this many rows; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_up_to(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df``, which has been counted to ``rows``, unless that is too many.
-
-    The other way is the shuffle join, where the adaptive planner splits skewed keys.
-    """
-    return F.broadcast(df) if rows <= limit else df
-
-
-def measured(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Keep and count a reduced table, and broadcast it if it is small enough.
-
-    The kept blocks are only a cache: lost ones are computed again.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return broadcast_up_to(kept, kept.count(), limit)
-
-
 #: Cells of a hash: the high 20 bits, so a cell holds about a millionth of a stratum.
 _HASH_CELL_SHIFT = 44
 
@@ -176,7 +154,7 @@ def hash_threshold(
         (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))).orderBy("_hash", "_key")
     )
     return (
-        celled.join(measured(cut), [*strata, "_cell"])
+        celled.join(cut, [*strata, "_cell"])
         .withColumn("_at", rank)
         .where(F.col("_at") == F.col("_rank"))
         .select(*strata, F.struct("_hash", "_key").alias("_threshold"))
@@ -190,7 +168,7 @@ def mark_exact_share(
 
     The rows themselves are not shuffled: each is compared with its stratum's threshold.
     """
-    threshold = measured(hash_threshold(df, strata, key, target, seed))
+    threshold = hash_threshold(df, strata, key, target, seed)
     own = F.struct(F.xxhash64(key, F.lit(seed)).alias("_hash"), F.col(key).alias("_key"))
     if strata:
         joined = df.join(threshold, list(strata), "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from punctuality.functions.calendar import day_index, is_weekend, month_index
 from punctuality.functions.clock import actual_arrival, clock_minutes, local_timestamp
 from punctuality.operators.rates import period_cube, rolled_rate
 from punctuality.operators.rotation import inbound_features, inbound_usable, with_previous_leg
-from punctuality.operators.skew import HOT_ROWS, broadcast_up_to
+from punctuality.operators.skew import HOT_ROWS
 
 # Columns of the model table, in order.
 COLUMNS = (
@@ -74,16 +73,10 @@ def parsed(flights: DataFrame, *, period: str = "month", keep: tuple[str, ...] =
 def with_priors(rows: DataFrame, source: DataFrame) -> DataFrame:
     """Rates of the period before, by origin and by carrier.
 
-    Both roll up from one kept aggregate of ``source``, so the facts are scanned once for
-    them. One job fills it and counts both roll-ups; each is broadcast only if its count
-    allows, else joined by a shuffle.
+    Both roll up from one aggregate of ``source``, whose shuffle they share. Nothing runs here
+    and nothing is pinned: the adaptive planner broadcasts a roll-up by its bytes, or does not.
     """
-    cube = period_cube(
-        source.select("origin", "carrier", "period", "label"), ["origin", "carrier"], F.col("period")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = cube.agg(
-        F.count_distinct("origin", "period").alias("origin"), F.count_distinct("carrier", "period").alias("carrier")
-    ).first()
+    cube = period_cube(source.select("origin", "carrier", "period", "label"), ["origin", "carrier"], F.col("period"))
     # Shifting the small side by one turns "the period before" into an equality.
     next_period = (F.col("period") + 1).alias("period")
     by_origin = rolled_rate(cube, "origin").select(
@@ -92,9 +85,7 @@ def with_priors(rows: DataFrame, source: DataFrame) -> DataFrame:
     by_carrier = rolled_rate(cube, "carrier").select(
         "carrier", next_period, F.col("rate").alias("carrier_prior_rate")
     )
-    return rows.join(broadcast_up_to(by_origin, sizes["origin"]), ["origin", "period"], "left").join(
-        broadcast_up_to(by_carrier, sizes["carrier"]), ["carrier", "period"], "left"
-    )
+    return rows.join(by_origin, ["origin", "period"], "left").join(by_carrier, ["carrier", "period"], "left")
 
 
 def model_table(

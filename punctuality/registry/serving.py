@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from punctuality.functions.clock import arrival_clock
 from punctuality.operators import rates, requests
-from punctuality.operators.skew import measured
 from punctuality.plans import inputs
 from punctuality.registry.rates import RECENT_SQL
 from punctuality.registry.shared import comparable, with_ctes
@@ -88,7 +87,7 @@ def _validation(spark, sf_dir):
 
 def _features(spark, sf_dir):
     good, _ = requests.good_and_bad(_requests(spark, sf_dir))
-    lookups = [measured(p) for p in requests.split_priors(_priors(spark, sf_dir))]
+    lookups = requests.split_priors(_priors(spark, sf_dir))
     return comparable(requests.request_features(good, *lookups, keep=("row_key",)))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctuality.operators.requests import decide, good_and_bad, request_features, split_priors
-from punctuality.operators.skew import measured
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -31,12 +30,12 @@ def prior_predictor(base_rate: float) -> Predict:
 
 
 def score_requests(requests: DataFrame, priors: DataFrame, predict: Predict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Answers for the good requests, in one pass without a shuffle while the priors are small.
+    """Answers for the good requests.
 
-    ``priors`` is the static long table. Its two lookups are counted before they are broadcast.
+    ``priors`` is the static long table; the planner joins its two lookups by their size.
     """
     good, _ = good_and_bad(requests)
-    by_origin, by_carrier = (measured(p) for p in split_priors(priors))
+    by_origin, by_carrier = split_priors(priors)
     keep = (*keep, "threshold")
     return decide(predict(request_features(good, by_origin, by_carrier, keep)))
 

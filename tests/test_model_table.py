@@ -140,3 +140,23 @@ def test_leg_delay_and_ties(spark):
 def test_period_is_checked(spark):
     with pytest.raises(ValueError):
         model_table(flights(spark), period="week")
+
+
+def test_building_plans_starts_no_job(spark, sf_dir):
+    from punctuality.plans import inputs
+    from punctuality.plans.model_table import model_table
+    from punctuality.registry import all_queries
+
+    flights = inputs.yearly_flights(spark, sf_dir)
+    spark.sparkContext.setJobGroup("lazy", "nothing should run")
+    try:
+        model_table(flights)
+        queries = all_queries()
+        before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy"))
+        queries["request_decisions"][0](spark, sf_dir)
+        after = set(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading a Parquet footer for its schema is a job of one task; nothing else may run.
+    tracker = spark.sparkContext.statusTracker()
+    assert all(len(tracker.getJobInfo(j).stageIds) == 1 for j in before | after if tracker.getJobInfo(j))
