@@ -14,17 +14,26 @@ over the training rows. Training rows are a documented bounded sample of the lab
 
 from __future__ import annotations
 
+import functools
+import string
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from punctuality.llm.texts import Remembered, kept_rows, map_rows, shared, words_of
+from punctuality.llm.texts import Remembered, kept_rows, map_rows, shared, small_batches, words_of
 
-TRAIN_ROWS, FEATURES, FOLDS, LEAST_POSITIVE = 20_000, 384, 5, 4
+TRAIN_ROWS, FEATURES, FOLDS = 20_000, 384, 5
+#: Of the rows that hold a feature, so many must be of a category; and the least gain in log
+#: likelihood, which keeps out what some hundred thousand grams do by chance.
+LEAST_SHARE, LEAST_GAIN = 0.5, 12.0
 GRAM, PENALTY, STEPS = 4, 3e-6, 25
 #: Words whose presence in a text labelled toxic makes it an example of a category.
 CATEGORY_TERMS = {
@@ -34,24 +43,37 @@ CATEGORY_TERMS = {
 CATEGORIES = (*CATEGORY_TERMS, "toxic")
 
 
-def grams(word: bytes) -> set[int]:
-    """Hashes of a word and of its runs of ``GRAM`` characters, edges marked; case is folded."""
-    core = word.decode("utf-8", "replace").lower()
-    while core and not core[0].isalnum():
-        core = core[1:]
-    while core and not core[-1].isalnum():
-        core = core[:-1]
+_EDGES = string.punctuation + "«»…“”‘’„¿¡–—"
+
+
+def grams(word: bytes) -> tuple[str, ...]:
+    """A word and its runs of ``GRAM`` characters, edges marked; case is folded."""
+    core = word.decode("utf-8", "replace").lower().strip(_EDGES)
     if not core:
-        return set()
+        return ()
     core = f"^{core}$"
-    found = {core[i : i + GRAM] for i in range(max(1, len(core) - GRAM + 1))} | {core + "="}
-    return {xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in found}
+    return (core + "=", *{core[i : i + GRAM] for i in range(max(1, len(core) - GRAM + 1))})
+
+
+@functools.lru_cache(maxsize=2)
+def _features_of_words(chosen: tuple[str, ...]) -> Remembered:
+    """Numbers of the chosen grams in a word; one memo for all tasks of a Python worker."""
+    features = {gram: i for i, gram in enumerate(chosen)}
+
+    def of(word: bytes) -> tuple[int, ...]:
+        return tuple([features[g] for g in grams(word) if g in features])
+
+    return Remembered(of)
+
+
+def features_in(text: str | None, known: Remembered) -> list[int]:
+    return sorted(set().union(*filter(None, map(known.__getitem__, words_of(text)))))
 
 
 @dataclass
 class Chain:
     categories: tuple[str, ...]
-    features: dict[int, int]
+    features: tuple[str, ...]
     weights: list[np.ndarray]  # per category: features, earlier probabilities, intercept
 
     def probabilities(self, present: list[int]) -> list[float]:
@@ -88,37 +110,28 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, n_feature
     """
     labelled = shared(labelled.select("doc_id", "text", F.array(*[F.col(c).cast("int") for c in categories]).alias("marks")))
 
-    def each_grams():
-        known = Remembered(grams)
-
-        def each(text, marks):
-            for gram in set().union(*map(known.__getitem__, set(words_of(text)))):
-                yield gram, marks
-
-        return each
-
-    held = map_rows(labelled.select("text", "marks"), each_grams, "gram long, marks array<int>")
+    held = _gram_counts(labelled, len(categories))
     sums = [F.sum(F.col("marks")[k]).alias(f"n{k}") for k in range(len(categories))]
-    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counts = held.groupBy("gram").agg(F.sum("n").alias("n"), *[F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(len(categories))])
     whole = labelled.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     if not whole["n"]:
-        return Chain(categories, {}, [np.array([0.0] * k + [-np.inf]) for k in range(len(categories))])
+        return Chain(categories, (), [np.array([0.0] * k + [-np.inf]) for k in range(len(categories))])
     scores = []
     for k in range(len(categories)):
         total, hits = float(whole["n"]), float(whole[f"n{k}"] or 0)
         rate = (F.col(f"n{k}") + 0.5) / (F.col("n") + 1.0)
         base = (hits + 0.5) / (total + 1)
         gain = F.col(f"n{k}") * F.log(rate / base) + (F.col("n") - F.col(f"n{k}")) * F.log((1 - rate) / (1 - base))
-        scores.append(F.when((F.col(f"n{k}") >= LEAST_POSITIVE) & (rate > 2 * base), gain).otherwise(0.0))
-    best = counts.select("gram", F.greatest(*scores, F.lit(0.0)).alias("score")).where("score > 4")
+        scores.append(F.when((rate >= LEAST_SHARE) & (rate > 2 * base), gain).otherwise(0.0))
+    best = counts.select("gram", F.greatest(*scores, F.lit(0.0)).alias("score")).where(F.col("score") > LEAST_GAIN)
     chosen = [r["gram"] for r in best.orderBy(F.desc("score"), "gram").limit(n_features).collect()]
-    features = {g: i for i, g in enumerate(sorted(chosen))}
+    features = tuple(sorted(chosen))
 
     def each_row():
-        known = Remembered(lambda w: tuple(features[g] for g in grams(w) if g in features))
+        known = _features_of_words(features)
 
         def each(doc_id, text, marks):
-            yield doc_id, sorted(set().union(*map(known.__getitem__, set(words_of(text))))), marks
+            yield doc_id, features_in(text, known), marks
 
         return each
 
@@ -135,6 +148,43 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, n_feature
     return Chain(categories, features, fit_chain(x, y, fold, np.array([alike[key] for key in order], float)))
 
 
+#: Grams that a task counts before it hands them on.
+_COUNTED = 400_000
+
+
+def _gram_counts(labelled: DataFrame, n_categories: int) -> DataFrame:
+    """(gram, n, counts): in how many rows, and in how many of each category; partial sums."""
+    schema = "gram string, n long, counts array<long>"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(grams, 100_000)
+        rows, hits = Counter(), [Counter() for _ in range(n_categories)]
+
+        def counted() -> pa.RecordBatch:
+            names = list(rows)
+            by_category = [[h[g] for h in hits] for g in names]
+            made = [pa.array(names, pa.string()), pa.array([rows[g] for g in names], pa.int64()), pa.array(by_category, target.field(2).type)]
+            for c in (rows, *hits):
+                c.clear()
+            return pa.RecordBatch.from_arrays(made, schema=target)
+
+        for batch in batches:
+            for text, marks in zip(batch["text"].to_pylist(), batch["marks"].to_pylist(), strict=True):
+                own = set().union(*map(known.__getitem__, set(words_of(text))))
+                rows.update(own)
+                for k, mark in enumerate(marks):
+                    if mark:
+                        hits[k].update(own)
+                if len(rows) >= _COUNTED:
+                    yield counted()
+        if rows:
+            yield counted()
+
+    small_batches(labelled.sparkSession)
+    return labelled.select("text", "marks").mapInArrow(run, schema)
+
+
 def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Weights of each category's model, the later ones over out-of-fold earlier probabilities."""
     weights, earlier = [], np.zeros((len(x), 0))
@@ -183,12 +233,10 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     names = [f"p_{c}" for c in chain.categories]
 
     def start():
-        features = chain.features
-        known = Remembered(lambda w: tuple(features[g] for g in grams(w) if g in features))
+        known = _features_of_words(chain.features)
 
         def each(doc_id, text):
-            present = sorted(set().union(*filter(None, map(known.__getitem__, words_of(text)))))
-            p = chain.probabilities(present)
+            p = chain.probabilities(features_in(text, known))
             yield doc_id, *p, p[-1] >= threshold
 
         return each
@@ -209,12 +257,10 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that the last category's model does not reject, all columns as they are."""
 
     def start():
-        features = chain.features
-        known = Remembered(lambda w: tuple(features[g] for g in grams(w) if g in features))
+        known = _features_of_words(chain.features)
 
         def keep(text):
-            present = sorted(set().union(*filter(None, map(known.__getitem__, words_of(text)))))
-            return chain.probabilities(present)[-1] < threshold
+            return chain.probabilities(features_in(text, known))[-1] < threshold
 
         return keep
 
