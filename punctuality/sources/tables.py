@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -90,15 +91,19 @@ def curate(
     shuffles rows, each task writes the partitions it reads. An observation on the write
     would save the first pass, but it leaves the session unable to run ML transformers
     (its manager cannot be serialised with their closures). What was written is counted from
-    the files; ``path`` is expected to hold nothing but this table.
+    the files of the partitions that ``raw`` has; others, from earlier loads, do not count.
     """
     counts = raw.agg(*cast_counts(types))
     seen = counts.first()
     spark = raw.sparkSession
-    write_table(typed_select(raw, types), path, partition_by)
+    rows = typed_select(raw, types)
+    write_table(rows, path, partition_by)
+    table = spark.read.parquet(path)
+    loaded = rows.select(*[F.col(c).alias(f"_{c}") for c in partition_by]).distinct()
+    same = reduce(lambda a, b: a & b, [table[c].eqNullSafe(loaded[f"_{c}"]) for c in partition_by])
     return Curation(
         int(seen["row_count"]),
-        spark.read.parquet(path).count(),
+        table.join(loaded, same, "left_semi").count(),
         cast_report(spark.createDataFrame([seen], counts.schema), types),
     )
 

@@ -72,6 +72,9 @@ def test_extract_stage_and_curate(spark, tmp_path):
     report = {r.column: (r.present, r.failed) for r in done.cast_report.collect()}
     assert report["ArrDel15"] == (5, 1) and report["Origin"] == (6, 0)
     assert spark.read.parquet(out).where("Month = 2").agg({"ArrDel15": "sum"}).first()[0] == 3.0
+    # A later load into the same table counts its own months.
+    later = tables.curate(text.where("Month = '3'"), out, types)
+    assert later.reconciled and later.rows_written == 1 and spark.read.parquet(out).count() == 6
 
 
 def test_inventory(spark, tmp_path):
