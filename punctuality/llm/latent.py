@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval (operator 1).
 
-Documents are read as passages of ``PASSAGE`` words over the benchmark's vocabulary, weighted
+Documents are read as passages of ``PASSAGE`` words over the benchmark's weighted
 by TF-IDF over all passages of the corpus. A randomised SVD of that matrix is taken without
 building it: each task adds up its part of (A^T A) times a thin matrix, which is as high as the
 vocabulary, and Spark sums the parts; two such passes give the leading singular vectors. Every
@@ -30,9 +30,7 @@ from pyspark.sql.types import StructType
 from punctuality.llm.licenses import plain
 from punctuality.llm.texts import SLICE_ROWS, WordHashes, map_blocks, row_key, small_batches, word_edges, word_values
 
-PASSAGE, RANK, EXTRA, STEP = 32, 64, 16, 4
-#: Terms in more than this share of passages say nothing about an item.
-STOP_SHARE = 0.01
+PASSAGE, RANK, EXTRA, STEP = 32, 112, 16, 4
 COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.5, 0.8
 BLOCK_ITEMS = 2000
 #: Words of an item's answer: this share of it, from the end.
@@ -257,6 +255,11 @@ class Items:
     latent: dict[int, tuple[np.ndarray, np.ndarray]]  # window size -> (item numbers, unit vectors)
 
 
+def weights(counts: np.ndarray, passages: int) -> np.ndarray:
+    """Weights of terms by the number of passages that hold them: low for common ones, never 0."""
+    return np.log(1 + passages / counts) ** 2
+
+
 def index(ids: list[int], words: list[np.ndarray], terms: Terms, idf: np.ndarray, vectors: np.ndarray) -> Items:
     weighted = (idf[:, None] * vectors).astype(np.float32)
     groups: dict[int, list] = defaultdict(list)
@@ -322,7 +325,7 @@ def _close(words: np.ndarray, begin: np.ndarray, parts: list[tuple[int, int, int
     np.cumsum(total, axis=0, out=total)
     for size, (numbers, vectors) in items.latent.items():
         wide = size // STEP
-        start = np.arange(0, max(1, total_blocks - wide + 1), max(1, wide // 3))
+        start = np.arange(0, max(1, total_blocks - wide + 1), max(1, wide // 4))
         windows = total[np.minimum(start + wide, total_blocks)] - total[start]
         norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
         close = windows @ vectors.T
@@ -344,8 +347,13 @@ def confirmed(texts: list[str | None], items: Items, reader: Reader) -> list[lis
         item, best = items.words[number], None
         own = words[begin[text] : begin[text + 1]]
         answer = item[-max(1, round(ANSWER_WORDS * len(item))) :]
+        known = np.sort(item)
+        held = np.r_[0, np.cumsum(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)]
         for cosine, start, size in sorted(windows):
-            region = own[max(0, start - size // 2) : start + size + size // 2]
+            low, high = min(len(own), max(0, start - size // 2)), min(len(own), start + size + size // 2)
+            if held[high] - held[low] < PARAPHRASE * len(item):
+                continue  # no subsequence is longer than the words in common
+            region = own[low:high]
             share = common_length(item, region) / len(item)
             if share < PARAPHRASE:
                 continue
@@ -363,9 +371,9 @@ def confirmed(texts: list[str | None], items: Items, reader: Reader) -> list[lis
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs`` and item found in it; (a, b) is the row's key.
 
-    Null and empty texts and items give none. Items that consist of terms of more than
-    ``STOP_SHARE`` of all passages have no place in the latent space and cannot be found.
-    Repeated rows are found each; extra columns are ignored.
+    Null and empty texts and items give none. Common terms weigh little, but none is left out, so
+    an item that very many documents hold is found in each. Repeated rows are found each; extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     usable = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
@@ -387,13 +395,11 @@ def _leaks_of(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     texts = docs.select("text")
     terms = Terms(np.unique(np.concatenate([own for _, own in words])))
     counts, passages = _frequencies(texts, terms)
-    kept = (counts > 0) & (counts <= max(1.0, STOP_SHARE * passages))
-    if not kept.any():
-        kept = counts > 0
+    kept = counts > 0
     if not kept.any():
         return none
     terms = Terms(terms.hashes[kept])
-    idf = np.log(1 + passages / counts[kept])
+    idf = weights(counts[kept], passages)
     vectors = singular_vectors(texts, terms, idf)
     items = index([i for i, _ in words], [own for _, own in words], terms, idf, vectors)
     told = docs.sparkSession.sparkContext.broadcast(items)  # vocabulary x rank, see BLOCK_ITEMS

@@ -214,6 +214,23 @@ def test_leaks(spark):
     assert latent.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    pick = random.Random(20)
+    items = [(1, prose(pick, 30)), (2, prose(pick, 30))]
+    rows, planted = [], {(300, 2)}
+    for k in range(301):
+        words = prose(pick, pick.randrange(20, 60)).split()
+        if k % 3 == 1 or k == 300:
+            words[7:7] = items[k == 300][1].split()
+        if k % 3 == 1:
+            planted.add((k, 1))
+        rows.append((k, " ".join(words)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in latent.leaks(table(spark, rows), benchmark).collect()} == planted
+    few = [row for row in rows if row[0] < 12 or row[0] == 300]  # less than 100 passages
+    assert {(r.doc_id, r.item_id) for r in latent.leaks(table(spark, few), benchmark).collect()} == {x for x in planted if x[0] < 12 or x[0] == 300}
+
+
 # ---- main text
 
 
