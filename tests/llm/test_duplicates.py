@@ -77,6 +77,22 @@ def test_near_duplicates(spark, corpus, k, bounds, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_large_group_around_one_text(spark, monkeypatch):
+    """Copies 0.85 to one text and 0.72 to each other; the group is above the bound."""
+    monkeypatch.setattr(chosen_paths, "GROUP", 300)
+    monkeypatch.setattr(chosen_paths, "BLOCK", 100)
+    pick = random.Random(6)
+    base = prose(pick, 200)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1201):
+        words = list(base)
+        for at in pick.sample(range(1, 198, 2), 8):
+            words[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(words)))
+    got = chosen_paths.near_duplicates(table(spark, rows), k=2).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 def test_one_of_each(spark, corpus):
     docs = table(spark, corpus)
     left = chosen_paths.one_of_each(docs)
