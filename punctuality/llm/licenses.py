@@ -145,13 +145,16 @@ def scan(raw: bytes, hashes: WordHashes, known: Index, coverage: float = COVERAG
     hit = known.keys[slot] == prints
     places = sorted({(t, int(p) - q) for p, s in zip(at[hit], slot[hit], strict=True) for t, q in known.where[s]})
     found, last = [], (-1, 0)
+    # Room on the left: a notice at the head of a text may have lost words. 0 is no word's hash there.
+    room = BAND + max(map(len, known.words), default=0)
+    padded = np.r_[np.zeros(room, np.uint64), own]
     for t, begin in places:
         if last[0] == t and begin - last[1] <= BAND // 2:
             continue  # the band of the place before covers it
         last = (t, begin)
         template = known.words[t]
-        low = max(0, begin - BAND)
-        matched, start, end = align(template, own[low : begin + len(template) + BAND + 1])
+        low = begin - BAND
+        matched, start, end = align(template, padded[low + room : begin + len(template) + BAND + 1 + room])
         if matched >= coverage * len(template):
             found.append((matched, known.names[t], matched / len(template), low + start, low + end))
     # Longest first; a place belongs to one template.

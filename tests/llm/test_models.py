@@ -316,6 +316,20 @@ def test_license_scan(spark):
     assert licenses.license_scan(table(spark, rows).limit(0)).count() == 0
 
 
+def test_license_at_the_head_of_a_text():
+    pick, hashes = random.Random(21), WordHashes()
+    known = licenses.index(hashes)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            words = licenses.plain(text).split()
+            for lost in ([7], [0], [0, 1], [5, 9]):
+                if len(words) < 15:
+                    continue
+                left = [w for i, w in enumerate(words) if i not in lost]
+                found = licenses.scan(b" ".join(left) + b" " + prose(pick, 20).encode(), hashes, known)
+                assert [(x[0], x[2], x[3], x[4]) for x in found] == [(name, len(left), 0, len(left))], (name, lost)
+
+
 # ---- pipeline
 
 
