@@ -21,7 +21,7 @@ from punctuality.llm.texts import map_rows
 #: Elements whose content is never text of the page.
 _SILENT = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|audio|video|title"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})(?![\w:-])[^>]*?(?:/>|>.*?(?:</(?P=silent)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>"
     r"|<[!?/][^>]*>|<[a-zA-Z][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -44,8 +44,15 @@ _HINT = re.compile(
     re.I,
 )
 _HEADER = re.compile(r"(?<![a-z])(?:header|masthead|topbar)(?![a-z])", re.I)
-_COMMENT = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?![a-z])", re.I)
+#: A whole name of a comment container; names of a state ("comments-open", "no-comments") are none.
+_COMMENT = re.compile(
+    r"(?<!\S)(?:(?!(?:no|has|have|with|without|show|hide|allow)[-_])[a-z0-9]+[-_]+)*(?:comments?|comment-?lists?|disqus|repl(?:y|ies)|respond|discussion)"
+    r"(?:[-_]+(?:[a-z]?\d+|area|author|block|body|box|container|content|feed|form|inner|item|list|main|meta|reply|respond|root|section|"
+    r"text|thread|title|widget|wrap|wrapper))*(?!\S)",
+    re.I,
+)
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _CLOSE_P = frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article aside nav footer header form blockquote pre".split())
 
@@ -144,8 +151,16 @@ def grow(rows: np.ndarray, depth: int = 8) -> Node:
     return node
 
 
-def _kind(tag: str, rest: str) -> str:
-    """What an element means for its text: main, comment, furniture or nothing."""
+def _kind(tag: str, rest: str, first: bool = False) -> str:
+    """What an element means for its text: main, comment, furniture or nothing.
+
+    Names say nothing of a body, a main or the ``first`` article.
+    """
+    if tag == "body":
+        return ""
+    if tag == "main" or tag == "article" and first:
+        gone = _HIDDEN.search(_QUOTED.sub("''", rest)) or re.search(r"display\s*:\s*none", rest, re.I)
+        return "furniture" if gone else "main"
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
     if _COMMENT.search(names):
         return "comment"
@@ -164,6 +179,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     holders: list[tuple[str, str]] = []  # open elements with a meaning or that hold others
     link = heading = False
     main = furniture = False
+    articles = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -224,7 +240,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 settle()
         if rest.endswith("/"):
             continue
-        kind = _kind(tag, rest) if rest or tag in _FURNITURE or tag in ("article", "main", "header") else ""
+        articles += tag == "article"
+        kind = _kind(tag, rest, articles == 1) if rest or tag in _FURNITURE or tag in ("article", "main", "header") else ""
         if kind:
             flush()
         holders.append((tag, kind))

@@ -260,6 +260,23 @@ def test_main_text_of(tree, page, wanted):
     assert main_text.content(page, tree) == wanted
 
 
+STATES = [
+    ("<body class='single comments-open has-sidebar'><article class='post comments-closed'><p>one two</p></article></body>", "one two"),
+    ("<main class='hidden-nav no-comments'><p>one two</p></main>", "one two"),
+    ("<article id=discussion class='respond'><p>one two</p></article><article class=comment><p>me too</p></article>", "one two"),
+    ("<article><p>one</p><div class='post-comments'><p>nice</p></div><ol class='comment-list'><li>so so</ol></article>", "one"),
+    ("<article><p>one</p><div class='comments-area'><p>nice</p></div><p id='comment-12'>so so</p></article>", "one"),
+    ("<article hidden><p>one</p></article>", ""),
+    ("<article><p>one <svg width='3'/> two</p><math/><p>three</p><svg><text>no</text></svg><p>four</p></article>", "one two\nthree\nfour"),
+    ("<article><p>one</p><video-player src=x></video-player><select-menu>two</select-menu><p>three</p></article>", "one\ntwo\nthree"),
+]
+
+
+@pytest.mark.parametrize("page, wanted", STATES)
+def test_states_and_silent_elements(tree, page, wanted):
+    assert main_text.content(page, tree) == wanted
+
+
 def test_generated_pages(tree):
     pick = random.Random(11)
     for _ in range(60):
