@@ -6,10 +6,10 @@ gets the probabilities of the categories before it. In training those are out-of
 fold's come from a model that never saw the fold, so that later models learn how far earlier
 ones can be trusted on unseen text.
 
-Features are chosen by their association with a category (a likelihood ratio), counted by Spark
-over the training rows. Training rows are a documented bounded sample of the labelled rows
-(``TRAIN_ROWS``), drawn by a hash of the id; the models are fitted in numpy on the driver, on
-``FEATURES`` columns. Scoring reads every whole text.
+Features are all grams of two or more rows of a category that are mostly of it, counted by Spark
+over the training rows; the ridge penalty deals with those that are so by chance. Training rows
+are a documented bounded sample of the labelled rows (``TRAIN_ROWS``), drawn by a hash of the id;
+the models are fitted in numpy on the driver. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ from pyspark.sql.types import StructType
 
 from punctuality.llm.texts import Remembered, kept_rows, map_rows, shared, small_batches, words_of
 
-TRAIN_ROWS, FEATURES, FOLDS = 20_000, 384, 5
-#: Of the rows that hold a feature, so many must be of a category; and the least gain in log
-#: likelihood, which keeps out what some hundred thousand grams do by chance.
-LEAST_SHARE, LEAST_GAIN = 0.5, 12.0
-GRAM, PENALTY, STEPS = 4, 3e-6, 25
+TRAIN_ROWS, FOLDS = 20_000, 5
+#: Of the rows that hold a feature, this share must be of a category, and so many rows at least.
+LEAST_SHARE, LEAST_ROWS = 0.5, 2
+GRAM, PENALTY, STEPS = 4, 3e-7, 50
 #: Words whose presence in a text labelled toxic makes it an example of a category.
 CATEGORY_TERMS = {
     "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool", "imbecile", "dumb"),
@@ -102,7 +101,7 @@ def sampled(labels: DataFrame, rows: int, *columns: str) -> DataFrame:
     return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, n_features: int = FEATURES) -> Chain:
+def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Chain:
     """Chain over ``labelled`` (doc_id, text, one 0/1 column per category), in that order.
 
     Rows with a null text count as empty. A category with one value only is predicted as its
@@ -116,15 +115,12 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, n_feature
     whole = labelled.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     if not whole["n"]:
         return Chain(categories, (), [np.array([0.0] * k + [-np.inf]) for k in range(len(categories))])
-    scores = []
+    telling = F.lit(False)
     for k in range(len(categories)):
-        total, hits = float(whole["n"]), float(whole[f"n{k}"] or 0)
         rate = (F.col(f"n{k}") + 0.5) / (F.col("n") + 1.0)
-        base = (hits + 0.5) / (total + 1)
-        gain = F.col(f"n{k}") * F.log(rate / base) + (F.col("n") - F.col(f"n{k}")) * F.log((1 - rate) / (1 - base))
-        scores.append(F.when((rate >= LEAST_SHARE) & (rate > 2 * base), gain).otherwise(0.0))
-    best = counts.select("gram", F.greatest(*scores, F.lit(0.0)).alias("score")).where(F.col("score") > LEAST_GAIN)
-    chosen = [r["gram"] for r in best.orderBy(F.desc("score"), "gram").limit(n_features).collect()]
+        base = (float(whole[f"n{k}"] or 0) + 0.5) / (float(whole["n"]) + 1)
+        telling |= (F.col(f"n{k}") >= LEAST_ROWS) & (rate >= LEAST_SHARE) & (rate > 2 * base)
+    chosen = [r["gram"] for r in counts.where(telling).select("gram").collect()]  # bounded by TRAIN_ROWS
     features = tuple(sorted(chosen))
 
     def each_row():
@@ -140,7 +136,7 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, n_feature
     alike = Counter(
         (xxhash.xxh3_64_intdigest(str(r["doc_id"]).encode()) % FOLDS, tuple(r["present"]), tuple(r["marks"])) for r in rows
     )
-    x = np.zeros((len(alike), len(features)))
+    x = np.zeros((len(alike), len(features)), np.float32)
     for i, (_, present, _) in enumerate(order := sorted(alike)):
         x[i, list(present)] = 1
     y = np.array([marks for _, _, marks in order], float)
@@ -205,7 +201,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column is the intercept."""
+    """Ridge logistic regression by Newton steps over the cells that are not 0; the last column is the intercept."""
     w, total = np.zeros(x.shape[1]), weight.sum()
     share = float((y * weight).sum() / total) if total else 0.0
     w[-1] = np.log((share + 1e-6) / (1 - share + 1e-6))
@@ -213,17 +209,52 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         return w
     ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 1e-9
+    row, column = np.nonzero(x)
+    value = x[row, column].astype(float)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, value * v[column], len(x))
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.bincount(column, value * u[row], x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = times(v)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() / total + (ridge * v * v).sum() / 2)
+
+    now = loss(w)
     for _ in range(STEPS):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (weight * (p - y)) / total + ridge * w
-        bend = (x * (weight * p * (1 - p) / total)[:, None]).T @ x
-        step = np.linalg.solve(bend + np.diag(ridge), slope)
-        w -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-4:
+        p = _sigmoid(times(w))
+        slope = back(weight * (p - y) / total) + ridge * w
+        if np.abs(slope).max() < 1e-8:
             break
+        bend = weight * p * (1 - p) / total
+        step, part = _solved(lambda v: back(bend * times(v)) + ridge * v, slope, np.bincount(column, value**2 * bend[row], x.shape[1]) + ridge), 1.0
+        while (then := loss(w - part * step)) > now and part > 1e-6:
+            part /= 2
+        w -= part * step
+        now = then
     return w
 
 
+def _solved(bend, slope: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Solution of ``bend`` (x) = slope by conjugate gradients, scaled by the diagonal."""
+    x, left = np.zeros_like(slope), slope.copy()
+    move = scaled = left / diagonal
+    size = left @ scaled
+    for _ in range(300):
+        image = bend(move)
+        rate = size / (move @ image)
+        x += rate * move
+        left -= rate * image
+        if np.abs(left).max() < 1e-4 * np.abs(slope).max():
+            break
+        scaled = left / diagonal
+        size, old = left @ scaled, size
+        move = scaled + size / old * move
+    return x
+
+
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text_hash, one probability per category, rejected) for every row.
 

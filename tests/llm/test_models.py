@@ -68,6 +68,23 @@ def test_chain_without_labels(spark, toxic):
     assert toxic_chain.clean(docs.limit(0), chain).count() == 0
 
 
+def test_chain_on_a_language_with_five_toxic_rows(spark):
+    pick, rows, labels, terms = random.Random(22), [], [], ("gruzzwort", "flimmpo")
+    for k in range(600):
+        words = prose(pick, 30).split()
+        bad = k < 5
+        if bad:
+            words[5] = terms[k % len(terms)]
+        elif k % 6 == 0:
+            bad, words[5] = True, "moron"
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, int(bad)))
+    chain = toxic_chain.fit(toxic_chain.toxic_labels(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    unseen = [(1000 + k, " ".join([*prose(pick, 30).split(), *([terms[k % len(terms)]] if k < 30 else [])])) for k in range(90)]
+    got = toxic_chain.score(table(spark, unseen), chain).collect()
+    assert {r.doc_id for r in got if r.rejected} == set(range(1000, 1030))
+
+
 def test_out_of_fold_inputs():
     """The second model is fitted on probabilities that its rows did not shape."""
     pick = np.random.default_rng(0)
