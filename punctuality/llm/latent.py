@@ -38,7 +38,7 @@ ANSWER_WORDS = 0.25
 #: Terms of passages that are multiplied at once.
 AT_ONCE = 20_000
 LEAKS = (
-    "doc_id long, a long, b int, item_id long, cosine double, common_share double, answer_share double, "
+    "doc_id long, a long, b long, item_id long, cosine double, common_share double, answer_share double, "
     "start_word long, kind string"
 )
 

@@ -57,13 +57,13 @@ def _anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...])
             return {
                 "anchor": np.concatenate([x[0] for x in found]).view(np.int64),
                 "a": np.repeat(np.array([x[1] for x in found], np.int64), sizes),
-                "b": np.repeat(np.array([x[2] for x in found], np.int32), sizes),
+                "b": np.repeat(np.array([x[2] for x in found], np.int64), sizes),
                 "at": np.concatenate([x[3] for x in found]).astype(np.int32),
             }
 
         return each
 
-    return map_blocks(texts.select("text", "a", "b"), start, "anchor long, a long, b int, at int")
+    return map_blocks(texts.select("text", "a", "b"), start, "anchor long, a long, b long, at int")
 
 
 def _starts_near(anchors: np.ndarray, n: int, window: int, period: int) -> np.ndarray:
@@ -95,13 +95,13 @@ def _windows(near: DataFrame, window: int, period: int) -> DataFrame:
                 "w1": np.concatenate([x[0] for x in found]).view(np.int64),
                 "w2": np.concatenate([x[1] for x in found]).astype(np.uint32).view(np.int32),
                 "a": np.repeat(np.array([x[2] for x in found], np.int64), sizes),
-                "b": np.repeat(np.array([x[3] for x in found], np.int32), sizes),
+                "b": np.repeat(np.array([x[3] for x in found], np.int64), sizes),
                 "at": np.concatenate([x[4] for x in found]).astype(np.int32),
             }
 
         return each
 
-    return map_blocks(near, start, "w1 long, w2 int, a long, b int, at int")
+    return map_blocks(near, start, "w1 long, w2 int, a long, b long, at int")
 
 
 def covered(n: int, starts, window: int) -> np.ndarray:

@@ -215,7 +215,7 @@ def map_groups(df: DataFrame, key: str, made: Callable[[pa.Table], pa.RecordBatc
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """A key of a row's id and text: rows that share an id, or have none, stay apart."""
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    return F.struct(own.alias("a"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("b"))
+    return F.struct(own.alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)).alias("b"))
 
 
 #: Slots of a sieve: one mebibyte of bits, whatever the data.

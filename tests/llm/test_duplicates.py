@@ -108,6 +108,16 @@ def test_one_of_each(spark, corpus):
     assert {str(r.doc_id) for r in kept if r.doc_id is not None} >= {g for g in groups if g != "None"}
 
 
+def test_texts_of_one_short_hash_without_ids(spark):
+    """Texts that share a 32-bit hash are different rows still."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(300_000).select(F.concat(F.lit("text "), F.col("id")).alias("text"))
+    same = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").first().texts
+    left = chosen_paths.one_of_each(table(spark, [(None, same[0]), (None, same[1]), (None, same[0])]), k=1)
+    assert sorted(r.text for r in left.collect()) == sorted(same[:2])
+
+
 def test_empty_tables(spark):
     none = table(spark, []).limit(0)
     assert chosen_paths.near_duplicates(none).count() == 0
