@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctuality.llm import byte_cnn, chosen_paths, fertility, latent, licenses, main_text, packing, substrings, toxic_chain, word_counts
+from punctuality.llm import (
+    byte_cnn,
+    chosen_paths,
+    conversations,
+    fertility,
+    latent,
+    licenses,
+    main_text,
+    packing,
+    substrings,
+    token_alignment,
+    toxic_chain,
+    vantage,
+    word_counts,
+)
 from punctuality.llm.texts import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +71,18 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_chain.score(docs, chain)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
     for f in (
@@ -70,6 +96,9 @@ QUERIES: dict[str, Run] = {
         op8_byte_cnn_quality,
         op9_flat_block_main_text,
         op10_toxicity_chain,
+        op11_token_alignment,
+        op12_conversation_repair,
+        op13_vantage_neighbours,
     )
 }
 #: SQL of the queries that DuckDB can express.
