@@ -11,7 +11,9 @@ from Spark, one pass for all nodes that may be split next; the driver only sees
   the order of rows: the same trees come out for any partitioning and after any retry.
 * Of two sibling nodes the smaller is summed, the other is the difference to the parent.
 * Nulls take the side of a split that lowers the loss more; where a node has none, the larger.
-* ``fit_many`` fits models for all values of a key column in the same passes.
+* ``fit_many`` fits models for all values of a key column in the same passes. A fit of few cells
+  (``LOCAL_CELLS``, one task's share) is not worth a job per pass: its rows meet in one task,
+  which makes the same passes over them. Sums are exact, so the trees are the same either way.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from __future__ import annotations
 import base64
 import io
 import json
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -43,6 +46,9 @@ MISSING = BINS - 1
 #: Rows that are packed together, rounds between checkpoints of the scores, and the bytes of
 #: sums that tasks may send to the driver as they are. More are added up by a shuffle first.
 PACK_ROWS, CHECKPOINT, DIRECT_BYTES = 16_384, 20, 64 << 20
+#: Cells (rows x features) of a task, cells up to which a fit goes into one task as a whole, and
+#: bytes of scores that a Python worker remembers.
+TASK_CELLS, LOCAL_CELLS, MEMO_BYTES = 1 << 21, 1 << 21, 256 << 20
 _ONE = 1 << 30
 
 
@@ -65,6 +71,7 @@ class Bins:
     """Cuts of numbers and bins of levels, per feature."""
 
     features: list[str]
+    rows: int = 0
     cuts: dict[str, list[float]] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
 
@@ -115,7 +122,7 @@ def learn_bins(rows: DataFrame, fit: str, numeric: Sequence[str], categorical: S
     out = {}
     for row in cuts.collect():  # one row per fit
         own = {c: sorted(set(row[c] or ())) for c in numeric}
-        out[row[fit]] = Bins(features, own)
+        out[row[fit]] = Bins(features, row["_n"], own)
     if categorical:
         pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in categorical]))
         counts = rows.select(fit, pairs).where(F.col("level").isNotNull()).groupBy(fit, "column", "level").count()
@@ -127,7 +134,7 @@ def learn_bins(rows: DataFrame, fit: str, numeric: Sequence[str], categorical: S
     return out
 
 
-_PACKED = "fit string, bins binary, label binary, raw binary"
+_PACKED = "fit string, bins binary, label binary, raw binary, pack long"
 
 
 def _pack(rows: DataFrame, fit: str, label: str, bins: Mapping[str, Bins], starts: Mapping[str, float]) -> DataFrame:
@@ -135,6 +142,7 @@ def _pack(rows: DataFrame, fit: str, label: str, bins: Mapping[str, Bins], start
     features = next(iter(bins.values())).features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             frame = batch.to_pandas()
             for name, own in frame.groupby("_fit", sort=True):
@@ -142,8 +150,12 @@ def _pack(rows: DataFrame, fit: str, label: str, bins: Mapping[str, Bins], start
                     part = own.iloc[at : at + PACK_ROWS]
                     cut = bins[name].of([part[f] for f in features])
                     labels = part["_label"].to_numpy(np.float64)
-                    packed = [name], [cut.tobytes()], [labels.tobytes()], [np.full(len(part), starts[name]).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array(packed[0]), *(pa.array(x, pa.binary()) for x in packed[1:])], names=["fit", "bins", "label", "raw"])
+                    packed = [cut.tobytes()], [labels.tobytes()], [np.full(len(part), starts[name]).tobytes()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]), *(pa.array(x, pa.binary()) for x in packed), pa.array([number])],
+                        names=["fit", "bins", "label", "raw", "pack"],
+                    )
+                    number += 1
 
     levels = next(iter(bins.values())).levels
     typed = [F.col(f).cast("string" if f in levels else "double").alias(f) for f in features]
@@ -202,10 +214,11 @@ class _Growing:
                 self.taken.add(best)
                 self.leaves = (self.leaves - {best}) | set(self.made[best])
                 continue
-            # Only so many of them can still be split; they are all summed in the next pass.
-            for _, node in able[: self.settings.leaves - len(self.leaves)]:
-                if node not in self.made:
-                    self._open(node)
+            # So many can still be split, of these leaves or of those that were opened ahead of
+            # them; the best are all summed in the next pass.
+            ends = [(-split[0], n) for n, split in self.splits.items() if split is not None and n not in self.made]
+            for node in dict.fromkeys([best, *(n for _, n in sorted(ends)[: self.settings.leaves - len(self.leaves)])]):
+                self._open(node)
             return True
         return False
 
@@ -216,21 +229,24 @@ class _Growing:
         self.nodes += 2
 
     def _tree(self, inner: Sequence[int]) -> Tree:
-        feature, goes_left = np.zeros(self.nodes, np.int32), np.zeros((self.nodes, BINS), bool)
-        children = np.full((self.nodes, 2), -1, np.int32)
+        """The opened nodes below ``inner``, numbered anew in the order in which they came."""
+        nodes = [0, *sorted(c for n in inner for c in self.made[n])]
+        self.number = {n: i for i, n in enumerate(nodes)}
+        feature, goes_left = np.zeros(len(nodes), np.int32), np.zeros((len(nodes), BINS), bool)
+        children = np.full((len(nodes), 2), -1, np.int32)
         for node in inner:
-            _, feature[node], goes_left[node], _, _ = self.splits[node]
-            children[node] = self.made[node]
-        return Tree(feature, goes_left, children, np.zeros(self.nodes))
+            _, feature[self.number[node]], goes_left[self.number[node]], _, _ = self.splits[node]
+            children[self.number[node]] = [self.number[c] for c in self.made[node]]
+        return Tree(feature, goes_left, children, np.zeros(len(nodes)))
 
     def opened(self) -> Tree:
-        return self._tree(list(self.made))
+        return self._tree(list(self.made))  # all nodes: numbers stay as they are
 
     def done(self) -> Tree:
         tree = self._tree(sorted(self.taken))
         for node in self.leaves:
             g, h, _ = self.sums[node][0].sum(0) / self.units
-            tree.value[node] = -self.settings.rate * g / (h + self.settings.penalty) if h > 0 else 0.0
+            tree.value[self.number[node]] = -self.settings.rate * g / (h + self.settings.penalty) if h > 0 else 0.0
         return tree
 
 
@@ -282,10 +298,45 @@ def best_splits(sums: Sequence[np.ndarray], categories: np.ndarray, settings: Se
     return out
 
 
+def _node_sums(tree: Tree, nodes: Sequence[int], bins: np.ndarray, label: np.ndarray, raw: np.ndarray, loss: str, scale: float) -> np.ndarray:
+    """Sums of some rows per wanted node, feature and bin. Wanted nodes have no children yet."""
+    places = np.full(len(tree.feature), -1)
+    places[nodes] = np.arange(len(nodes))
+    place = places[tree.leaf(bins)]
+    inside = place >= 0
+    g, h = _slopes(loss, label[inside], raw[inside], scale)
+    size, place = len(nodes) * BINS, place[inside] * BINS
+    total = np.zeros((len(nodes), len(bins), BINS, 3), np.int64)
+    for f in range(len(bins)):
+        slot = place + bins[f, inside]
+        for k, weight in enumerate((g, h, None)):
+            total[:, f, :, k] = np.bincount(slot, weight, size).astype(np.int64).reshape(-1, BINS)
+    return total
+
+
 _SUMS = pa.schema([("fit", pa.string()), ("node", pa.int32()), ("sums", pa.binary())])
 
 
-def _added(packs: DataFrame, trees: Mapping[str, Sequence[Tree]], growing: Mapping[str, _Growing], loss: str, scales: Mapping[str, float], tasks: int) -> dict[str, dict[int, np.ndarray]]:
+#: (run, pack) -> trees that are in, scores. A worker that has seen a pack before adds only the
+#: trees since; the memo is emptied when full and decides nothing.
+_MEMO: dict[tuple, tuple[int, np.ndarray]] = {}
+
+
+def _scores(key: tuple, raw: bytes, bins: np.ndarray, kept: int, trees: Sequence[Tree]) -> np.ndarray:
+    """Scores of a pack after ``kept`` stored trees and the ``trees`` since."""
+    done, scores = _MEMO.get(key, (-1, None))
+    if not kept <= done <= kept + len(trees):
+        done, scores = kept, np.frombuffer(raw)
+    scores = scores.copy()
+    for tree in trees[done - kept :]:
+        scores += tree.value[tree.leaf(bins)]
+    if sum(len(x) for _, x in _MEMO.values()) * 8 > MEMO_BYTES:
+        _MEMO.clear()
+    _MEMO[key] = kept + len(trees), scores
+    return scores
+
+
+def _added(packs: DataFrame, run_id: str, kept: Mapping[str, int], trees: Mapping[str, Sequence[Tree]], growing: Mapping[str, _Growing], loss: str, scales: Mapping[str, float], tasks: int) -> dict[str, dict[int, np.ndarray]]:
     """One pass: sums per feature and bin of all wanted nodes of all fits."""
     asked = {fit: (g.opened(), list(g.wanted())) for fit, g in growing.items()}
     features = len(next(iter(growing.values())).categories)
@@ -293,25 +344,13 @@ def _added(packs: DataFrame, trees: Mapping[str, Sequence[Tree]], growing: Mappi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for fit, packed, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for fit, packed, label, raw, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fit not in asked:
                     continue
-                tree, nodes = asked[fit]
-                label, raw = np.frombuffer(label), np.frombuffer(raw).copy()
+                label = np.frombuffer(label)
                 bins = np.frombuffer(packed, np.uint8).reshape(-1, len(label))
-                for earlier in trees[fit]:
-                    raw += earlier.value[earlier.leaf(bins)]
-                places = np.full(len(tree.feature), -1)
-                places[nodes] = np.arange(len(nodes))
-                place = places[tree.leaf(bins)]  # nodes to be summed have no children yet
-                inside = place >= 0
-                g, h = _slopes(loss, label[inside], raw[inside], scales[fit])
-                size = len(nodes) * BINS
-                total = totals.setdefault(fit, np.zeros((len(nodes), features, BINS, 3), np.int64))
-                for f in range(features):
-                    slot = place[inside] * BINS + bins[f, inside]
-                    for k, weight in enumerate((g, h, None)):
-                        total[:, f, :, k] += np.bincount(slot, weight, size).astype(np.int64).reshape(-1, BINS)
+                raw = _scores((run_id, pack), raw, bins, kept[fit], trees[fit])
+                totals[fit] = totals.get(fit, 0) + _node_sums(*asked[fit], bins, label, raw, loss, scales[fit])
         rows = [(fit, node, total[i].tobytes()) for fit, total in totals.items() for i, node in enumerate(asked[fit][1])]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SUMS, strict=True)], schema=_SUMS)
@@ -336,14 +375,14 @@ def _rescored(packs: DataFrame, trees: Mapping[str, Sequence[Tree]]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits, packed, labels, raws = (c.to_pylist() for c in batch.columns)
+            fits, packed, _, raws, _ = (c.to_pylist() for c in batch.columns)
             scores = []
             for fit, own, raw in zip(fits, packed, raws, strict=True):
                 raw = np.frombuffer(raw).copy()
                 for tree in trees[fit]:
                     raw += tree.value[tree.leaf(np.frombuffer(own, np.uint8).reshape(-1, len(raw)))]
                 scores.append(raw.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.binary())], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.binary()), batch.column(4)], names=batch.schema.names)
 
     return packs.mapInArrow(run, _PACKED)
 
@@ -389,7 +428,7 @@ class Boosted:
         for i, fit in enumerate(self.bins):
             own = self.trees[fit]
             bins = self.bins[fit]
-            whole["fits"][fit] = {"features": bins.features, "cuts": bins.cuts, "levels": bins.levels, "start": self.starts[fit], "sizes": [len(t.feature) for t in own]}
+            whole["fits"][fit] = {"features": bins.features, "rows": bins.rows, "cuts": bins.cuts, "levels": bins.levels, "start": self.starts[fit], "sizes": [len(t.feature) for t in own]}
             if own:
                 arrays |= {
                     f"{i}-feature": np.concatenate([t.feature for t in own]),
@@ -407,7 +446,7 @@ class Boosted:
         arrays = np.load(io.BytesIO(base64.b64decode(whole["arrays"])))
         out = Boosted(Settings(**whole["settings"]), {}, {}, {})
         for i, (fit, own) in enumerate(whole["fits"].items()):
-            out.bins[fit] = Bins(own["features"], own["cuts"], own["levels"])
+            out.bins[fit] = Bins(own["features"], own["rows"], own["cuts"], own["levels"])
             out.starts[fit], out.trees[fit] = own["start"], []
             ends = np.cumsum([0, *own["sizes"]])
             if own["sizes"]:
@@ -433,6 +472,44 @@ def _starts(rows: DataFrame, fit: str, label: str, settings: Settings) -> tuple[
     return starts, scales
 
 
+def _fit_here(settings: Settings, categories: np.ndarray, bins: np.ndarray, label: np.ndarray, start: float, scale: float) -> list[Tree]:
+    """All rounds of a fit whose rows lie in one task: the passes without the jobs."""
+    raw, trees = np.full(len(label), start), []
+    for _ in range(settings.rounds):
+        own, going = _Growing(settings, categories, scale), True
+        while going:
+            nodes = list(own.wanted())
+            own.take(dict(zip(nodes, _node_sums(own.opened(), nodes, bins, label, raw, settings.loss, scale), strict=True)))
+            going = own.grow()
+        if not own.taken:
+            break
+        trees.append(own.done())
+        raw += trees[-1].value[trees[-1].leaf(bins)]
+    return trees
+
+
+def _small_fits(packs: DataFrame, model: Boosted, scales: Mapping[str, float]) -> None:
+    """Fits of at most ``LOCAL_CELLS`` cells, each in a task of its own, all at once."""
+    settings, bins, starts = model.settings, model.bins, model.starts
+
+    def fitted(key: tuple, group: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        group = group.sort_by("pack")
+        label = np.concatenate([np.frombuffer(x) for x in group["label"].to_pylist()])
+        cut = np.concatenate([np.frombuffer(x, np.uint8).reshape(len(bins[name].features), -1) for x in group["bins"].to_pylist()], axis=1)
+        trees = _fit_here(settings, bins[name].categories(), cut, label, starts[name], scales[name])
+        one = Boosted(settings, {name: bins[name]}, {name: starts[name]}, {name: trees})
+        return pa.table({"fit": [name], "state": [one.dumps()]})
+
+    for row in packs.groupBy("fit").applyInArrow(fitted, "fit string, state string").collect():
+        model.trees[row["fit"]] = Boosted.loads(row["state"]).trees[row["fit"]]
+
+
+def _held(packs: DataFrame, tasks: int) -> DataFrame:
+    """Packs written to the shared folder and kept in memory, dealt evenly over ``tasks``."""
+    return materialised(packs.repartition(tasks, "pack"), "boosting-packs").coalesce(tasks).persist()
+
+
 def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), settings: Settings = Settings()) -> Boosted:
     """One model for each value of the text column ``fit``, all in the same passes over ``rows``.
 
@@ -446,16 +523,24 @@ def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], cate
         raise ValueError("no rows with a label to fit on")
     starts, scales = _starts(rows, fit, label, settings)
     model = Boosted(settings, bins, starts, {name: [] for name in bins})
-    packs = materialised(_pack(rows, fit, label, bins, starts), "boosting-packs").persist()
-    tasks = packs.rdd.getNumPartitions()
-    kept = {name: 0 for name in bins}  # trees that the stored scores contain
-    live = set(bins)
+    cells = {name: own.rows * len(own.features) for name, own in bins.items()}
+    small = [name for name in bins if cells[name] <= LOCAL_CELLS]
+    packs = _pack(rows, fit, label, bins, starts)
+    if small:
+        _small_fits(packs.where(F.col("fit").isin(small)), model, scales)
+    live = set(bins) - set(small)
+    if not live:
+        return model
+    tasks = 1 + sum(cells[name] for name in live) // TASK_CELLS
+    packs = _held(packs.where(F.col("fit").isin(list(live))), tasks)
+    run_id = uuid.uuid4().hex
+    kept = dict.fromkeys(live, 0)  # trees that the stored scores contain
     for n in range(1, settings.rounds + 1):
         growing = {name: _Growing(settings, bins[name].categories(), scales[name]) for name in live}
-        since = {name: model.trees[name][kept[name] :] for name in bins}
+        since = {name: model.trees[name][kept[name] :] for name in kept}
         open_ = dict(growing)
         while open_:
-            found = _added(packs, since, open_, settings.loss, scales, tasks)
+            found = _added(packs, run_id, kept, since, open_, settings.loss, scales, tasks)
             for name, own in list(open_.items()):
                 own.take(found[name])
                 if not own.grow():
@@ -468,10 +553,10 @@ def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], cate
         if not live:
             break
         if n % CHECKPOINT == 0 and n < settings.rounds:
-            since = {name: model.trees[name][kept[name] :] for name in bins}
-            old, packs = packs, materialised(_rescored(packs, since), "boosting-scores").persist()
+            since = {name: model.trees[name][kept[name] :] for name in kept}
+            old, packs = packs, _held(_rescored(packs, since), tasks)
             old.unpersist()
-            kept = {name: len(model.trees[name]) for name in bins}
+            kept = {name: len(model.trees[name]) for name in kept}
     packs.unpersist()
     return model
 

@@ -111,14 +111,16 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", place int").repartition(parts)
 
 
-@pytest.mark.parametrize("loss", ["logistic", "squared"])
-def test_predictions_are_the_plain_ones(spark, loss, monkeypatch):
+@pytest.mark.parametrize("loss, cells", [("logistic", 0), ("squared", 1500)])
+def test_predictions_are_the_plain_ones(spark, loss, cells, monkeypatch):
+    """With all fits by jobs, and with the smaller one in a task."""
     monkeypatch.setattr(boosting, "CHECKPOINT", 2)
-    s = Settings(loss=loss, rounds=5, leaves=7, leaf_rows=10, rate=0.3, penalty=0.5)
-    one, two = rows_of(1, 300, "one", loss == "squared"), rows_of(2, 200, "two", loss == "squared")
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", cells)
+    s = Settings(loss=loss, rounds=4, leaves=7, leaf_rows=10, rate=0.3, penalty=0.5)
+    one, two = rows_of(1, 240, "one", loss == "squared"), rows_of(2, 200, "two", loss == "squared")
     df = frame(spark, one + two)
     model = fit_many(df, "fit", "label", NUMBERS, LEVELS, s)
-    assert len(model.trees["one"]) == 5 and max(t.children.max() for t in model.trees["one"]) > 2
+    assert len(model.trees["one"]) == 4 and max(t.children.max() for t in model.trees["one"]) > 2
     got = [r["p"] for r in df.withColumn("p", model.column(F.col("fit"))).orderBy("place").collect()]
     assert got == pytest.approx(np.concatenate([plain(one, s), plain(two, s)]).tolist(), abs=1e-9)
 
@@ -127,6 +129,8 @@ def test_same_trees_for_any_partitioning_and_way_of_adding(spark, monkeypatch):
     rows = rows_of(4, 400, "one")
     s = Settings(rounds=4, leaf_rows=5)
     first = fit_many(frame(spark, rows, 1), "fit", "label", NUMBERS, LEVELS, s).dumps()
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 500)
     monkeypatch.setattr(boosting, "DIRECT_BYTES", 0)
     monkeypatch.setattr(boosting, "PACK_ROWS", 37)
     assert fit_many(frame(spark, rows[::-1], 5), "fit", "label", NUMBERS, LEVELS, s).dumps() == first
