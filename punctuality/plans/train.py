@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from punctuality.contract import CATEGORICAL, SCENARIOS
 from punctuality.functions.numbers import or_base_rate, within
+from punctuality.operators.boosting import Boosted, HistogramBoosting, Settings, fit_many
 from punctuality.operators.categories import MAX_LEVELS, RareLevels
 from punctuality.operators.rates import recent_prior_rates
 from punctuality.operators.scoring_metrics import (
@@ -32,8 +34,7 @@ MIN_LEVEL_ROWS = 50
 LOGISTIC_ITERATIONS = 200
 BOOSTING_ROUNDS = 200
 LEARNING_RATE = 0.1
-#: Below any value of the numeric features. Trees put it on its own side of a split; the flag
-#: column says the same to splits that cannot.
+#: Below any value of the numeric features, for trees that know no missing values.
 MISSING = -1e6
 
 
@@ -88,24 +89,33 @@ def build_logistic(features: Sequence[str], *, rows: int | None = None, max_iter
     return Pipeline(stages=stages)
 
 
-def _tree_inputs(features: Sequence[str]) -> tuple[list, list[str]]:
+def build_gradient_boosting(features: Sequence[str], *, max_iter: int = BOOSTING_ROUNDS) -> Pipeline:
+    """Boosted trees on native categories and native missing values, with no early stop."""
+    settings = {"rounds": max_iter, "rate": LEARNING_RATE}
+    return Pipeline(
+        stages=[
+            HistogramBoosting(
+                inputCols=[*_categorical(features), *_numeric(features)],
+                categories=_categorical(features),
+                settings=json.dumps(settings),
+            )
+        ]
+    )
+
+
+def fit_boosted(rows: DataFrame, key: str, features: Sequence[str], *, max_iter: int = BOOSTING_ROUNDS) -> Boosted:
+    """As :func:`build_gradient_boosting`, a model for each value of ``key``, fitted side by side."""
+    settings = Settings(rounds=max_iter, rate=LEARNING_RATE)
+    return fit_many(rows, key, "label", _numeric(features), _categorical(features), settings)
+
+
+def build_mllib_boosting(features: Sequence[str], *, max_iter: int = BOOSTING_ROUNDS, max_depth: int = 5, seed: int = 0) -> Pipeline:
+    """MLlib's boosted trees, which know no missing values: a value below all others and a flag."""
     numbers, levels = _numeric(features), _categorical(features)
     stages = []
     if levels:
         stages += [RareLevels(inputCols=levels, maxLevels=MAX_LEVELS), _indexer(levels)]
-    stages.append(_missing_flags(numbers, MISSING))
     inputs = [f"{c}_index" for c in levels] + [f"{c}_value" for c in numbers] + [f"{c}_missing" for c in numbers]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")], inputs
-
-
-def build_gradient_boosting(
-    features: Sequence[str], *, max_iter: int = BOOSTING_ROUNDS, max_depth: int = 5, seed: int = 0
-) -> Pipeline:
-    """Boosted trees on native categories, with missing values kept apart and no early stop.
-
-    The index columns carry their category metadata, so the trees split them as categories.
-    """
-    stages, _ = _tree_inputs(features)
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -116,7 +126,7 @@ def build_gradient_boosting(
         maxBins=MAX_LEVELS + 2,
         seed=seed,
     )
-    return Pipeline(stages=[*stages, trees])
+    return Pipeline(stages=[*stages, _missing_flags(numbers, MISSING), VectorAssembler(inputCols=inputs, outputCol="features"), trees])
 
 
 def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -137,18 +147,12 @@ def baseline_scores(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def scored_models(
-    train: DataFrame, test: DataFrame, features: Sequence[str], *, max_iter: int = BOOSTING_ROUNDS, logistic_iter: int = LOGISTIC_ITERATIONS
+    train: DataFrame, test: DataFrame, features: Sequence[str], *, logistic_iter: int = LOGISTIC_ITERATIONS
 ) -> DataFrame:
-    """(label, model, prob) of baselines and fitted models over the test rows."""
-    out = baseline_scores(train, test)
-    pipelines = {
-        "logistic regression": build_logistic(features, rows=train.count(), max_iter=logistic_iter),
-        "gradient boosting": build_gradient_boosting(features, max_iter=max_iter),
-    }
-    for name, pipeline in pipelines.items():
-        scored = predicted(pipeline.fit(train), test).select("label", F.lit(name).alias("model"), "prob")
-        out = out.unionByName(scored)
-    return out
+    """(label, model, prob) of baselines and the logistic regression over the test rows."""
+    pipeline = build_logistic(features, rows=train.count(), max_iter=logistic_iter)
+    scored = predicted(pipeline.fit(train), test).select("label", F.lit("logistic regression").alias("model"), "prob")
+    return baseline_scores(train, test).unionByName(scored)
 
 
 def evaluate_scenarios(
@@ -156,15 +160,29 @@ def evaluate_scenarios(
     train_year: int,
     test_year: int,
     scenarios: Mapping[str, Sequence[str]] = SCENARIOS,
-    **iterations: int,
+    *,
+    max_iter: int = BOOSTING_ROUNDS,
+    logistic_iter: int = LOGISTIC_ITERATIONS,
 ) -> DataFrame:
-    """One row of metrics per scenario and model, all models of a scenario in one pass."""
-    out = None
+    """One row of metrics per scenario and model, all scores in one pass.
+
+    The boosted models of all scenarios are fitted side by side; a feature that a scenario does
+    not know is missing in all its rows and splits nothing.
+    """
+    every = list(dict.fromkeys(f for features in scenarios.values() for f in features))
+    types = {f.name: f.dataType for f in table.schema.fields}
+    out = fit_rows = test_rows = None
     for name, features in scenarios.items():
         train, test = train_test(table, features, train_year, test_year)
-        one = scored_models(train, test, features, **iterations).withColumn("scenario", F.lit(name))
+        known = [F.col(f) if f in features else F.lit(None).cast(types[f]).alias(f) for f in every]
+        own = [df.select(F.lit(name).alias("scenario"), "label", *known) for df in (train, test)]
+        one = scored_models(train, test, features, logistic_iter=logistic_iter).withColumn("scenario", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return evaluate(out, ["scenario", "model"])
+        fit_rows = own[0] if fit_rows is None else fit_rows.unionByName(own[0])
+        test_rows = own[1] if test_rows is None else test_rows.unionByName(own[1])
+    model = fit_boosted(fit_rows, "scenario", every, max_iter=max_iter)
+    boosted = test_rows.select("scenario", "label", F.lit("gradient boosting").alias("model"), model.column(F.col("scenario")).alias("prob"))
+    return evaluate(out.unionByName(boosted), ["scenario", "model"])
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
@@ -204,13 +222,16 @@ def calibration_comparison(
     Returns the metrics keyed (holdout, stage), and whether each map kept the ranking.
     """
     holdouts = {"named months": by_month(train), "share of every month": stratified_by_month(train, key)}
+    rows = None
+    for name, (fit, _) in holdouts.items():
+        one = fit.select(F.lit(name).alias("holdout"), "label", *features)
+        rows = one if rows is None else rows.unionByName(one)
+    models = fit_boosted(rows, "holdout", features, max_iter=max_iter)
     scores = None
-    for name, (fit, held) in holdouts.items():
-        model = build_gradient_boosting(features, max_iter=max_iter).fit(fit)
-        isotonic = fit_isotonic(predicted(model, held))
-        one = isotonic_scores(isotonic, predicted(model, test)).select(
-            F.lit(name).alias("holdout"), "label", "prob", "mapped"
-        )
+    for name, (_, held) in holdouts.items():
+        raw = models.column(F.lit(name)).alias("prob")
+        isotonic = fit_isotonic(held.select("label", raw))
+        one = isotonic_scores(isotonic, test.select("label", raw)).select(F.lit(name).alias("holdout"), "label", "prob", "mapped")
         scores = one if scores is None else scores.unionByName(one)
     stages = F.inline(
         F.array(

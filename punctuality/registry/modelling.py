@@ -20,9 +20,7 @@ from punctuality.sources.tables import load_bundle, write_model_table
 
 _M = inputs.MONTHLY_SQL
 TRAIN_YEAR, TEST_YEAR = 1999, 2000
-#: Rounds of the queries with several boosted fits; gbt_scores has the full number.
-ROUNDS = 5
-_MAX_LEVELS = 10
+_MAX_LEVELS = categories.MAX_LEVELS
 _KEY = "row_key"
 
 
@@ -116,13 +114,13 @@ def _scores_of(build):
 
 def _evaluated(spark, sf_dir):
     table = yearly_model_table(spark, sf_dir)
-    return train.evaluate_scenarios(table, TRAIN_YEAR, TEST_YEAR, SCENARIOS, max_iter=ROUNDS)
+    return train.evaluate_scenarios(table, TRAIN_YEAR, TEST_YEAR, SCENARIOS)
 
 
 def _calibrated(spark, sf_dir):
     table = yearly_model_table(spark, sf_dir)
     fit, test = splits.train_test(table, FEATURES_BEFORE_DEPARTURE, TRAIN_YEAR, TEST_YEAR, keep=(_KEY,))
-    metrics, kept = train.calibration_comparison(fit, test, FEATURES_BEFORE_DEPARTURE, _KEY, max_iter=ROUNDS)
+    metrics, kept = train.calibration_comparison(fit, test, FEATURES_BEFORE_DEPARTURE, _KEY)
     return metrics.join(kept, "holdout")
 
 
@@ -148,7 +146,7 @@ _ISOTONIC_SQL = with_ctes(
 def _importance(spark, sf_dir):
     table = yearly_model_table(spark, sf_dir)
     fit, test = splits.train_test(table, FEATURES_BEFORE_DEPARTURE, TRAIN_YEAR, TEST_YEAR, keep=(_KEY,))
-    model = train.build_gradient_boosting(FEATURES_BEFORE_DEPARTURE, max_iter=ROUNDS).fit(fit)
+    model = train.build_gradient_boosting(FEATURES_BEFORE_DEPARTURE).fit(fit)
     return importance.permutation_importance(
         lambda rows: train.predicted(model, rows), test, _KEY, FEATURES_BEFORE_DEPARTURE
     )
@@ -160,7 +158,7 @@ def _exported(spark, sf_dir):
     table = yearly_model_table(spark, sf_dir)
     folder = shared_folder(spark, "bundle")
     routes = rates.routes(flights, min_flights=5)
-    train.export(table, routes, folder, FEATURES_BEFORE_DEPARTURE, TRAIN_YEAR, TEST_YEAR, max_iter=ROUNDS)
+    train.export(table, routes, folder, FEATURES_BEFORE_DEPARTURE, TRAIN_YEAR, TEST_YEAR)
     bundle = load_bundle(spark, folder)
     _, test = splits.train_test(table, FEATURES_BEFORE_DEPARTURE, TRAIN_YEAR, TEST_YEAR, keep=(_KEY,))
     return train.predicted(bundle.model, test).select(_KEY, "label", "prob")
@@ -169,17 +167,11 @@ def _exported(spark, sf_dir):
 _TEST_FROM = date.fromisoformat(FIRST_TEST_DATE)
 
 
-def _regressor(features):
-    return forecast.build_regressor(features, max_iter=ROUNDS, max_depth=3)
-
-
 def _backtest(spark, sf_dir):
     featured = add_calendar_features(national(spark, sf_dir))
     lagged = forecast.add_lags(featured, horizon=7)
     features = [*forecast.CALENDAR_FEATURES, *forecast.lag_names(7)]
-    out = forecast.rolling_origin_backtest(
-        lagged, features, horizon=7, first_test_date=_TEST_FROM, regressor=_regressor
-    )
+    out = forecast.rolling_origin_backtest(lagged, features, horizon=7, first_test_date=_TEST_FROM)
     return out.select("date", F.col("rate").alias("actual"), "predicted")
 
 
@@ -194,7 +186,6 @@ def _report(spark, sf_dir):
         add_calendar_features(national(spark, sf_dir)),
         add_calendar_features(busy(spark, sf_dir)),
         date(2001, 10, 1),
-        regressor=_regressor,
     )
 
 

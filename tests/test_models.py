@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from punctuality.contract import CATEGORICAL
 from punctuality.contract import FEATURES_BEFORE_DEPARTURE as FEATURES
 from punctuality.operators import categories, importance, splits
 from punctuality.operators import scoring_metrics as sm
@@ -95,6 +96,28 @@ def test_models_beat_the_base_rate(years, boosted):
         assert metrics.pr_auc > 1.1 * base and metrics.roc_auc > 0.55
 
 
+def test_native_nulls_do_not_cost_precision(years):
+    """At equal rounds the trees rank at least as well as MLlib's with a sentinel."""
+    fit, test = years
+    ap = {}
+    for name, build in (("own", train.build_gradient_boosting), ("mllib", train.build_mllib_boosting)):
+        scored = train.predicted(build(FEATURES, max_iter=15).fit(fit), test)
+        ap[name] = sm.evaluate(scored.withColumn("model", F.lit(name))).first().pr_auc
+    assert ap["own"] >= ap["mllib"] - 0.005
+
+
+def test_scenarios_side_by_side_are_single_fits(years, table):
+    """A model fitted beside another with more features is the one fitted alone."""
+    fit, test = years
+    few = [f for f in FEATURES if f not in FEATURES[4:9] or f in CATEGORICAL]
+    out = train.evaluate_scenarios(table, 1999, 2000, {"few": few, "all": FEATURES}, max_iter=3, logistic_iter=3)
+    got = {(r.scenario, r.model): r.pr_auc for r in out.collect()}
+    assert len(got) == 10
+    alone = train.build_gradient_boosting(few, max_iter=3).fit(fit)
+    scored = train.predicted(alone, test).withColumn("model", F.lit("m"))
+    assert got["few", "gradient boosting"] == pytest.approx(sm.evaluate(scored).first().pr_auc, abs=1e-12)
+
+
 def test_unseen_levels_and_missing_values_are_scored(years, boosted):
     _, test = years
     odd = test.limit(5).withColumns({"origin": F.lit("NEW"), "distance": F.lit(None).cast("double")})

@@ -9,8 +9,6 @@ ORACLES = entry.oracle_sql()
 ROWS_ONLY = {
     # name -> columns that must be there
     "table_detail": {"num_files", "size_bytes", "partition_columns"},
-    "scan_report": {"predicate", "files", "bytes", "rows", "partitions"},
-    "zorder_report": {"layout", "files", "files_for_supplier", "files_for_part"},
     "seasonal_ar_forecast": {"origin", "date", "order", "actual", "predicted"},
 }
 
@@ -38,4 +36,4 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(ORACLES) | set(ROWS_ONLY) <= set(entry.queries())

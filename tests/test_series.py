@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from punctuality.operators import series as s
+from punctuality.operators.boosting import Settings, fit_many
 from punctuality.plans import forecast
 
 
@@ -95,13 +96,34 @@ def test_autoregression_beats_the_seasonal_naive_forecast_and_sees_no_future(spa
     assert [one[d] for d in early] == pytest.approx([two[d] for d in early], abs=1e-12)
 
 
+FEW = Settings(loss="squared", rounds=3, leaves=5, leaf_rows=5, rate=0.3)
+
+
+def test_backtests_are_the_fits_of_a_loop_over_months(spark):
+    """One call for two parts gives what a model per part and month gives, with and without gap."""
+    df, _ = wavy(spark, 200)
+    parts = {}
+    for horizon, gap in ((7, True), (1, False)):
+        lagged = s.add_lags(df, horizon=horizon, lags=(7, 14), rolling=(7,))
+        parts[f"h{horizon}"] = forecast.Part(lagged, ["lag_7", "lag_14", "roll_mean_7"][: 2 + horizon // 7], horizon, date(2023, 2, 10), gap)
+    got = forecast.backtests(parts, FEW)
+    for name, part in parts.items():
+        work = part.frame.na.drop(subset=[*part.features, "rate"])
+        wanted = {}
+        for block in forecast.month_blocks(work, part.first_test_date):
+            known = work.where(F.col("date") < F.lit(block - timedelta(days=part.horizon - 1 if part.gap else 0)))
+            model = fit_many(known.withColumn("k", F.lit("k")), "k", "rate", part.features, settings=FEW)
+            test = work.where((F.trunc("date", "month") == F.lit(block)) & (F.col("date") >= F.lit(part.first_test_date)))
+            wanted |= {r.date: r.p for r in test.select("date", model.column().alias("p")).collect()}
+        assert {r.date: r.predicted for r in got[name].collect()} == wanted and len(wanted) > 30
+
+
 def test_backtest_trains_on_the_past_only(spark):
     df, _ = wavy(spark, 200)
     lagged = s.add_lags(df, horizon=7, lags=(7,), rolling=(7,))
     out = forecast.rolling_origin_backtest(
-        lagged, ["lag_7", "roll_mean_7"], horizon=7, first_test_date=date(2023, 2, 1),
-        regressor=lambda f: forecast.build_regressor(f, max_iter=2, max_depth=2),
-    )
+        lagged, ["lag_7", "roll_mean_7"], horizon=7, first_test_date=date(2023, 2, 1), settings=FEW
+    )
     assert out.count() == 200 - (date(2023, 2, 1) - date(2022, 9, 1)).days
     assert out.where("predicted IS NULL").count() == 0
     with pytest.raises(ValueError):
