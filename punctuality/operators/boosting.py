@@ -174,13 +174,14 @@ def _slopes(loss: str, label: np.ndarray, raw: np.ndarray, scale: float) -> tupl
 class _Growing:
     """A tree while it grows: sums of its open nodes, and their best splits."""
 
-    def __init__(self, settings: Settings, categories: np.ndarray, scale: float):
-        self.settings, self.categories = settings, categories
+    def __init__(self, settings: Settings, categories: np.ndarray, scale: float, ahead: bool = True):
+        self.settings, self.categories, self.ahead = settings, categories, ahead
         self.units = np.array([scale, 1.0 if settings.loss == "squared" else scale, 1.0])
         self.sums: dict[int, np.ndarray] = {}
         self.splits: dict[int, tuple] = {}
         self.made: dict[int, tuple[int, int]] = {}  # children that exist, taken or not
-        self.taken: set[int] = set()
+        self.taken: dict[int, None] = {}  # in the order in which they were split
+        self.path: dict[int, tuple] = {0: ()}  # breaks ties, whatever was opened ahead
         self.leaves = {0}
         self.nodes = 1
         self.smaller: dict[int, int] = {}
@@ -200,37 +201,44 @@ class _Growing:
                 other = sum(self.made[parent]) - node
                 self.sums[other] = self.sums[parent] - self.sums[node]
                 fresh.append(other)
-        for node, split in zip(fresh, best_splits([self.sums[n] / self.units for n in fresh], self.categories, self.settings), strict=True):
-            self.splits[node] = split
+        # A node of fewer rows than two leaves stays one.
+        able = [n for n in fresh if self.sums[n][0, :, 2].sum() >= 2 * self.settings.leaf_rows]
+        self.splits.update(dict.fromkeys(fresh))
+        self.splits.update(zip(able, best_splits([self.sums[n] / self.units for n in able], self.categories, self.settings), strict=True))
 
     def grow(self) -> bool:
         """Split leaves as far as sums are known; False when the tree is done."""
         while len(self.leaves) < self.settings.leaves:
-            able = sorted((-self.splits[n][0], n) for n in self.leaves if self.splits[n] is not None)
+            able = [n for n in self.leaves if self.splits[n] is not None]
             if not able:
                 return False
-            best = able[0][1]
+            best = min(able, key=self._rank)
             if best in self.made:
-                self.taken.add(best)
+                self.taken[best] = None
                 self.leaves = (self.leaves - {best}) | set(self.made[best])
                 continue
             # So many can still be split, of these leaves or of those that were opened ahead of
             # them; the best are all summed in the next pass.
-            ends = [(-split[0], n) for n, split in self.splits.items() if split is not None and n not in self.made]
-            for node in dict.fromkeys([best, *(n for _, n in sorted(ends)[: self.settings.leaves - len(self.leaves)])]):
+            ends = [n for n, split in self.splits.items() if split is not None and n not in self.made] if self.ahead else []
+            for node in dict.fromkeys([best, *sorted(ends, key=self._rank)[: self.settings.leaves - len(self.leaves)]]):
                 self._open(node)
             return True
         return False
 
+    def _rank(self, node: int) -> tuple:
+        return -self.splits[node][0], self.path[node]
+
     def _open(self, node: int) -> None:
         _, _, _, left_rows, right_rows = self.splits[node]
         self.made[node] = self.nodes, self.nodes + 1
+        for side, child in enumerate(self.made[node]):
+            self.path[child] = (*self.path[node], side)
         self.smaller[node] = self.nodes if left_rows <= right_rows else self.nodes + 1
         self.nodes += 2
 
     def _tree(self, inner: Sequence[int]) -> Tree:
-        """The opened nodes below ``inner``, numbered anew in the order in which they came."""
-        nodes = [0, *sorted(c for n in inner for c in self.made[n])]
+        """The nodes below ``inner``, numbered anew in this order."""
+        nodes = [0, *(c for n in inner for c in self.made[n])]
         self.number = {n: i for i, n in enumerate(nodes)}
         feature, goes_left = np.zeros(len(nodes), np.int32), np.zeros((len(nodes), BINS), bool)
         children = np.full((len(nodes), 2), -1, np.int32)
@@ -243,17 +251,13 @@ class _Growing:
         return self._tree(list(self.made))  # all nodes: numbers stay as they are
 
     def done(self) -> Tree:
-        tree = self._tree(sorted(self.taken))
+        tree = self._tree(list(self.taken))
         for node in self.leaves:
             g, h, _ = self.sums[node][0].sum(0) / self.units
             tree.value[self.number[node]] = -self.settings.rate * g / (h + self.settings.penalty) if h > 0 else 0.0
         return tree
 
 
-def _gain(g: np.ndarray, h: np.ndarray, penalty: float) -> np.ndarray:
-    return np.divide(g * g, h + penalty, out=np.zeros_like(g), where=h + penalty > 0)
-
-
 def best_splits(sums: Sequence[np.ndarray], categories: np.ndarray, settings: Settings) -> list[tuple | None]:
     """(gain, feature, which bins go left, rows left, rows right) of each node, None without gain.
 
@@ -262,42 +266,52 @@ def best_splits(sums: Sequence[np.ndarray], categories: np.ndarray, settings: Se
     """
     if not len(sums):
         return []
-    s = np.stack(sums)
-    whole = s[:, :1].sum(2, keepdims=True)  # every feature adds up to the node
-    order = np.broadcast_to(np.arange(BINS), s.shape[:3]).copy()
+    g, h, n = np.moveaxis(np.stack(sums), -1, 0)
+    order = None
     if categories.any():
-        levels = s[:, categories]
-        ratio = levels[..., 0] / (levels[..., 1] + settings.level_smoothing)
-        order[:, categories] = np.argsort(np.where(levels[..., 2] > 0, ratio, np.inf), axis=2, kind="stable")
-        s = np.take_along_axis(s, order[..., None], 2)
-    missing = s[:, :, -1:] * ~categories[None, :, None, None]
-    left = np.cumsum(s, 2)[:, :, :-1]
-    options = np.stack([left, left + missing], 2)  # nulls right, nulls left
-    rest = whole[:, :, None] - options
-    gain = _gain(options[..., 0], options[..., 1], settings.penalty) + _gain(rest[..., 0], rest[..., 1], settings.penalty)
-    gain -= _gain(whole[..., 0], whole[..., 1], settings.penalty)[..., None]
-    fine = (np.minimum(options[..., 2], rest[..., 2]) >= settings.leaf_rows) & (np.minimum(options[..., 1], rest[..., 1]) >= settings.leaf_hessian)
-    gain = np.where(fine, gain, -np.inf)
+        ratio = g[:, categories] / (h[:, categories] + settings.level_smoothing)
+        order = np.broadcast_to(np.arange(BINS), g.shape).copy()
+        order[:, categories] = np.argsort(np.where(n[:, categories] > 0, ratio, np.inf), axis=2, kind="stable")
+        g, h, n = (np.take_along_axis(x, order, 2) for x in (g, h, n))
+    whole = [x[:, 0].sum(1)[:, None, None] for x in (g, h, n)]  # every feature adds up to the node
+    left = [np.cumsum(x[:, :, :-1], 2) for x in (g, h, n)]
+    nulls = np.where(categories[None, :], 0.0, n[:, :, -1])
+    gains = np.full((len(sums), len(categories), 2, BINS - 1), -np.inf)
+    gains[:, :, 0] = _gains(*left, *whole, settings)  # nulls right
+    some = nulls.any(0)
+    if some.any():
+        with_nulls = [x[:, some] + y[:, some, -1:] for x, y in zip(left, (g, h, n), strict=True)]
+        gains[:, some, 1] = np.where(nulls[:, some, None] > 0, _gains(*with_nulls, *whole, settings), -np.inf)
     out = []
-    for node, own in enumerate(gain):
+    for node, own in enumerate(gains):
         feature, nulls_left, cut = np.unravel_index(int(np.argmax(own)), own.shape)
         best = float(own[feature, nulls_left, cut])
         if not best > 1e-12:
             out.append(None)
             continue
-        left_rows, right_rows = options[node, feature, nulls_left, cut, 2], rest[node, feature, nulls_left, cut, 2]
+        left_rows = float(left[2][node, feature, cut] + nulls_left * nulls[node, feature])
+        right_rows = float(whole[2][node, 0, 0]) - left_rows
         goes_left = np.zeros(BINS, bool)
-        goes_left[order[node, feature, : cut + 1]] = True
+        goes_left[order[node, feature, : cut + 1] if categories[feature] else slice(cut + 1)] = True
         if categories[feature]:
             rows = np.empty(BINS)
-            rows[order[node, feature]] = s[node, feature, :, 2]
+            rows[order[node, feature]] = n[node, feature]
             goes_left[rows == 0] = left_rows > right_rows  # levels that the node has not seen
         else:
-            goes_left[MISSING] = nulls_left if missing[node, feature, 0, 2] > 0 else left_rows > right_rows
-        out.append((best, int(feature), goes_left, float(left_rows), float(right_rows)))
+            goes_left[MISSING] = nulls_left if nulls[node, feature] > 0 else left_rows > right_rows
+        out.append((best, int(feature), goes_left, left_rows, right_rows))
     return out
 
 
+def _gains(g, h, n, all_g, all_h, all_n, settings: Settings) -> np.ndarray:
+    """Gain of each cut from the sums left of it; -inf where a side is too small."""
+    other_g, other_h = all_g - g, all_h - h
+    fine = (n >= settings.leaf_rows) & (all_n - n >= settings.leaf_rows) & (h >= settings.leaf_hessian) & (other_h >= settings.leaf_hessian)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = g * g / (h + settings.penalty) + other_g * other_g / (other_h + settings.penalty) - all_g * all_g / (all_h + settings.penalty)
+    return np.where(fine, gain, -np.inf)
+
+
 def _node_sums(tree: Tree, nodes: Sequence[int], bins: np.ndarray, label: np.ndarray, raw: np.ndarray, loss: str, scale: float) -> np.ndarray:
     """Sums of some rows per wanted node, feature and bin. Wanted nodes have no children yet."""
     places = np.full(len(tree.feature), -1)
@@ -473,18 +487,35 @@ def _starts(rows: DataFrame, fit: str, label: str, settings: Settings) -> tuple[
 
 
 def _fit_here(settings: Settings, categories: np.ndarray, bins: np.ndarray, label: np.ndarray, start: float, scale: float) -> list[Tree]:
-    """All rounds of a fit whose rows lie in one task: the passes without the jobs."""
+    """All rounds of a fit whose rows lie in one task: the passes without the jobs.
+
+    Here the rows of a node are at hand, so a pass sums those of one node only.
+    """
+    features = len(bins)
+    slots = bins + np.arange(0, features * BINS, BINS, dtype=np.int64)[:, None]
     raw, trees = np.full(len(label), start), []
     for _ in range(settings.rounds):
-        own, going = _Growing(settings, categories, scale), True
+        own, rows = _Growing(settings, categories, scale, ahead=False), {0: np.arange(len(label))}
+        g, h = _slopes(settings.loss, label, raw, scale)
+        going = True
         while going:
-            nodes = list(own.wanted())
-            own.take(dict(zip(nodes, _node_sums(own.opened(), nodes, bins, label, raw, settings.loss, scale), strict=True)))
+            (node, parent), = own.wanted().items()
+            if parent >= 0:
+                _, feature, goes_left, _, _ = own.splits[parent]
+                left = goes_left[bins[feature, rows[parent]]]
+                for child, side in zip(own.made[parent], (left, ~left), strict=True):
+                    rows[child] = rows[parent][side]
+            at = rows[node]
+            slot = slots[:, at].ravel()
+            sums = [np.bincount(slot, w if w is None else np.tile(w[at], features), features * BINS) for w in (g, h, None)]
+            own.take({node: np.stack(sums, -1).astype(np.int64).reshape(features, BINS, 3)})
             going = own.grow()
         if not own.taken:
             break
-        trees.append(own.done())
-        raw += trees[-1].value[trees[-1].leaf(bins)]
+        tree = own.done()
+        for node in own.leaves:
+            raw[rows[node]] += tree.value[own.number[node]]
+        trees.append(tree)
     return trees
 
 
@@ -501,7 +532,9 @@ def _small_fits(packs: DataFrame, model: Boosted, scales: Mapping[str, float]) -
         one = Boosted(settings, {name: bins[name]}, {name: starts[name]}, {name: trees})
         return pa.table({"fit": [name], "state": [one.dumps()]})
 
-    for row in packs.groupBy("fit").applyInArrow(fitted, "fit string, state string").collect():
+    # Many more partitions than fits, a number of its own: fits seldom share a task.
+    dealt = packs.repartition(min(8 * len(bins), 4096), "fit")
+    for row in dealt.groupBy("fit").applyInArrow(fitted, "fit string, state string").collect():
         model.trees[row["fit"]] = Boosted.loads(row["state"]).trees[row["fit"]]
 
 
