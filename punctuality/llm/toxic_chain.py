@@ -127,21 +127,53 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Chain:
         known = _features_of_words(features)
 
         def each(doc_id, text, marks):
-            yield doc_id, features_in(text, known), marks
+            fold = xxhash.xxh3_64_intdigest(str(doc_id).encode()) % FOLDS
+            yield fold, np.array(features_in(text, known), np.int32).tobytes(), marks
 
         return each
 
-    rows = map_rows(labelled, each_row, "doc_id long, present array<int>, marks array<int>").collect()
+    rows = map_rows(labelled, each_row, "fold int, present binary, marks array<int>")
     # Rows alike in features, marks and fold are one row with a weight.
-    alike = Counter(
-        (xxhash.xxh3_64_intdigest(str(r["doc_id"]).encode()) % FOLDS, tuple(r["present"]), tuple(r["marks"])) for r in rows
+    alike = rows.groupBy("fold", "present", "marks").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    alike.sort(key=lambda r: (r["fold"], r["present"], r["marks"]))
+    sizes = [len(r["present"]) // 4 for r in alike]
+    cells = Cells(
+        np.repeat(np.arange(len(alike), dtype=np.int32), sizes),
+        np.frombuffer(b"".join(r["present"] for r in alike), np.int32),
+        len(features),
+        np.zeros((len(alike), 0)),
     )
-    x = np.zeros((len(alike), len(features)), np.float32)
-    for i, (_, present, _) in enumerate(order := sorted(alike)):
-        x[i, list(present)] = 1
-    y = np.array([marks for _, _, marks in order], float)
-    fold = np.array([f for f, _, _ in order])
-    return Chain(categories, features, fit_chain(x, y, fold, np.array([alike[key] for key in order], float)))
+    y, fold, weight = (np.array([r[c] for r in alike], t) for c, t in (("marks", float), ("fold", int), ("n", float)))
+    return Chain(categories, features, fit_chain(cells, y, fold, weight))
+
+
+@dataclass
+class Cells:
+    """A matrix of rows with features that are there or not, and some dense columns behind them."""
+
+    row: np.ndarray
+    column: np.ndarray
+    features: int
+    dense: np.ndarray
+
+    @classmethod
+    def of(cls, x: Cells | np.ndarray) -> Cells:
+        return x if isinstance(x, Cells) else cls(np.empty(0, np.int32), np.empty(0, np.int32), 0, x)
+
+    def beside(self, *columns: np.ndarray) -> Cells:
+        return Cells(self.row, self.column, self.features, np.column_stack([self.dense, *columns]))
+
+    def width(self) -> int:
+        return self.features + self.dense.shape[1]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.column], len(self.dense)) + self.dense @ v[self.features :]
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, u[self.row], self.features), self.dense.T @ u])
+
+    def squares(self, u: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, u[self.row], self.features), (self.dense**2).T @ u])
 
 
 #: Grams that a task counts before it hands them on.
@@ -181,18 +213,18 @@ def _gram_counts(labelled: DataFrame, n_categories: int) -> DataFrame:
     return labelled.select("text", "marks").mapInArrow(run, schema)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+def fit_chain(x: Cells | np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Weights of each category's model, the later ones over out-of-fold earlier probabilities."""
-    weights, earlier = [], np.zeros((len(x), 0))
+    cells, weights, earlier = Cells.of(x), [], []
     for k in range(y.shape[1]):
-        inputs = np.hstack([x, earlier, np.ones((len(x), 1))])
-        unseen = np.zeros(len(x))
+        inputs = cells.beside(*earlier, np.ones(len(y)))
+        unseen = np.zeros(len(y))
         for f in range(FOLDS):
             out = fold == f
-            if out.any():
-                unseen[out] = _sigmoid(inputs[out] @ logistic(inputs[~out], y[~out, k], weight[~out]))
+            if out.any():  # rows of the fold weigh nothing
+                unseen[out] = _sigmoid(inputs.times(logistic(inputs, y[:, k], np.where(out, 0.0, weight))))[out]
         weights.append(logistic(inputs, y[:, k], weight))
-        earlier = np.hstack([earlier, unseen[:, None]])
+        earlier.append(unseen)
     return weights
 
 
@@ -200,36 +232,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def logistic(x: Cells | np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps over the cells that are not 0; the last column is the intercept."""
-    w, total = np.zeros(x.shape[1]), weight.sum()
+    x = Cells.of(x)
+    w, total = np.zeros(x.width()), weight.sum()
     share = float((y * weight).sum() / total) if total else 0.0
     w[-1] = np.log((share + 1e-6) / (1 - share + 1e-6))
     if share in (0.0, 1.0):
         return w
-    ridge = np.full(x.shape[1], PENALTY)
+    ridge = np.full(x.width(), PENALTY)
     ridge[-1] = 1e-9
-    row, column = np.nonzero(x)
-    value = x[row, column].astype(float)
-
-    def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * v[column], len(x))
-
-    def back(u: np.ndarray) -> np.ndarray:
-        return np.bincount(column, value * u[row], x.shape[1])
 
     def loss(v: np.ndarray) -> float:
-        z = times(v)
+        z = x.times(v)
         return float((weight * (np.logaddexp(0, z) - y * z)).sum() / total + (ridge * v * v).sum() / 2)
 
     now = loss(w)
     for _ in range(STEPS):
-        p = _sigmoid(times(w))
-        slope = back(weight * (p - y) / total) + ridge * w
+        p = _sigmoid(x.times(w))
+        slope = x.back(weight * (p - y) / total) + ridge * w
         if np.abs(slope).max() < 1e-8:
             break
         bend = weight * p * (1 - p) / total
-        step, part = _solved(lambda v: back(bend * times(v)) + ridge * v, slope, np.bincount(column, value**2 * bend[row], x.shape[1]) + ridge), 1.0
+        step, part = _solved(lambda v: x.back(bend * x.times(v)) + ridge * v, slope, x.squares(bend) + ridge), 1.0
         while (then := loss(w - part * step)) > now and part > 1e-6:
             part /= 2
         w -= part * step
