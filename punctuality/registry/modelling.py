@@ -10,7 +10,7 @@ from punctuality.contract import FEATURES_BEFORE_DEPARTURE, SCENARIOS
 from punctuality.functions.calendar import add_calendar_features, month_index
 from punctuality.operators import categories, importance, rates, splits
 from punctuality.operators import scoring_metrics as sm
-from punctuality.plans import forecast, inputs, train
+from punctuality.plans import forecast, innovations, inputs, train
 from punctuality.plans.model_table import model_table, with_priors
 from punctuality.registry.daily import FIRST_TEST_DATE, busy, national
 from punctuality.registry.metrics import HIST_SQL
@@ -181,6 +181,10 @@ def _seasonal_ar(spark, sf_dir):
     )
 
 
+def _seasonal_arma(spark, sf_dir):
+    return innovations.seasonal_arma(busy(spark, sf_dir), horizon=7, first_test_date=_TEST_FROM, group="origin")
+
+
 def _report(spark, sf_dir):
     return forecast.forecast_report(
         add_calendar_features(national(spark, sf_dir)),
@@ -244,5 +248,6 @@ QUERIES = {
     "export_and_load": (_exported, None),
     "gbt_backtest": (_backtest, None),
     "seasonal_ar_forecast": (_seasonal_ar, None),
+    "seasonal_arma_forecast": (_seasonal_arma, None),
     "forecast_report": (_report, None),
 }

@@ -10,6 +10,7 @@ ROWS_ONLY = {
     # name -> columns that must be there
     "table_detail": {"num_files", "size_bytes", "partition_columns"},
     "seasonal_ar_forecast": {"origin", "date", "order", "actual", "predicted"},
+    "seasonal_arma_forecast": {"origin", "date", "order", "actual", "predicted"},
 }
 
 
