@@ -81,7 +81,7 @@ def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
             text = text or ""
             words = words_of(text)
             n = len(words)
-            chars = sum(map(len, text.split())) if text.isascii() else len(b"".join(words).decode())
+            chars = sum(map(len, words)) if text.isascii() else len(b"".join(words).decode())
             h = hashes.of(text)
             repeats = repeated_words(h, hashes.windows(h, REPEAT_WORDS), REPEAT_WORDS)
             ids = np.frombuffer(b"".join(map(known.__getitem__, words)), kind)

@@ -184,3 +184,9 @@ def test_empty_tables(spark, awkward):
     assert packing.packed(none).count() == 0
     assert word_counts.token_counts(none).count() == 0
     assert fertility.fertility_rules(none).count() == 0
+
+
+@pytest.mark.parametrize("text, chars", [("ab\x1ccd ef", 7), ("a\x85b c", 4), ("\x1f", 1), ("é\u3000é x\x0by", 5), ("", 0)])
+def test_only_ascii_white_space_parts_words(spark, text, chars):
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    assert fertility.fertility_rules(docs).first().word_chars == chars
