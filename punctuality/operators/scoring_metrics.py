@@ -2,7 +2,7 @@
 
 Everything here needs only (score, rows, positives) per distinct score. The rows are read
 once and merged on the map side; what comes after works on distinct scores. Cumulative sums
-go cell by cell, so that no task ever sees all scores in order.
+go cell by cell, a cell being a range of scores, so that no task ever sees all scores in order.
 """
 
 from __future__ import annotations
@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctuality.functions.numbers import clip_probability, ratio, sound_probability
-
-#: Cells per key, cut at quantiles of the distinct scores, so that they are even however the
-#: scores lie. The table of cell totals is bounded by it for each key.
-CELLS = 1 << 10
+from punctuality.session import materialised
 
 # Thresholds of the sweep, costs of a missed delay relative to a false alarm,
 # calibration bins, and the fall in a mapped score that is taken as rounding.
@@ -44,24 +41,19 @@ def score_histogram(scored: DataFrame, keys: Sequence[str] = (), *, label: str =
 
 
 def celled(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_cell``, never falling along the score: the number of quantile cuts at or below it.
+    """Add ``_cell``, never falling along the score of the same keys; written once.
 
-    The cuts are one row per key. Equal scores share a cell.
+    A cell is a range partition of (keys, score), so cells are even however the scores lie: Spark
+    cuts them by a sample of the distinct scores that is bounded per partition, and there are as
+    many as the session has shuffle partitions. Ranges follow the keys, so there are at most as
+    many (keys, cell) pairs as cells and keys together. The table is written, since two reads
+    must see the same cuts.
     """
-    at = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    cuts = F.percentile_approx("score", at, 10 * CELLS).alias("_cuts")
-    # Halving steps through the sorted cuts.
-    steps = F.array(*[F.lit(1 << b) for b in range(CELLS.bit_length() - 2, -1, -1)])
-
-    def step(found: Column, size: Column) -> Column:
-        ahead = found + size
-        return F.when(F.try_element_at("_cuts", ahead) <= F.col("score"), ahead).otherwise(found)
-
-    if keys:
-        joined = histogram.join(histogram.groupBy(*keys).agg(cuts), list(keys))
-    else:
-        joined = histogram.withColumn("_cuts", histogram.agg(cuts).scalar())
-    return joined.withColumn("_cell", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
+    if "_cell" in histogram.columns:
+        return histogram
+    cells = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = histogram.repartitionByRange(cells, *keys, "score")
+    return materialised(ranged.withColumn("_cell", F.spark_partition_id()), "ranges")
 
 
 def with_sums_above(histogram: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -174,7 +166,7 @@ def evaluate(
         one = scored.withColumn("_all", F.lit(0))
         return evaluate(one, ["_all"], label=label, prob=prob, bins=bins).drop("_all")
     keys = list(keys)
-    histogram = score_histogram(scored, keys, label=label, prob=prob)
+    histogram = celled(score_histogram(scored, keys, label=label, prob=prob), keys)
     gaps = calibration(histogram, keys, bins).groupBy(*keys).agg(F.max(F.abs("gap")).alias("max_calibration_gap"))
     # The joined tables have one row per model.
     return (

@@ -132,8 +132,28 @@ def test_tiny_scores_fall_into_many_cells(spark):
     rows = spark.range(20_000).select(
         (F.col("id") % 7 == 0).cast("double").alias("label"), (F.col("id") / 20_000 * 1e-6).alias("prob")
     )
-    histogram = sm.score_histogram(rows)
-    cells = sm.celled(histogram, []).groupBy("_cell").count()
-    assert cells.count() > sm.CELLS // 2 and cells.agg(F.max("count")).first()[0] < 200
-    falls = sm.celled(histogram, []).orderBy("score").select("_cell").collect()
+    histogram = sm.celled(sm.score_histogram(rows), [])
+    sizes = [r["count"] for r in histogram.groupBy("_cell").count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == parts and max(sizes) < 2 * 20_000 / parts
+    falls = histogram.orderBy("score").select("_cell").collect()
     assert all(a[0] <= b[0] for a, b in zip(falls, falls[1:]))
+    assert sm.celled(histogram, []) is histogram  # written once
+
+
+def test_ranking_over_keys_of_very_different_sizes(spark):
+    """Against sums over the sorted scores, with one key that spans cells and keys inside one cell."""
+    pick = random.Random(3)
+    rows = [(k, float(pick.random() < 0.3), pick.choice([pick.random(), round(pick.random(), 1)])) for k, n in [("big", 3000), *[(f"s{i}", i) for i in range(1, 9)]] for _ in range(n)]
+    got = {r.model: (r.pr_auc, r.roc_auc) for r in sm.ranking(sm.score_histogram(spark.createDataFrame(rows, "model string, label double, prob double"), ["model"]), ["model"]).collect()}
+    assert len(got) == 9
+    for key, (pr, roc) in got.items():
+        own = [(p, y) for k, y, p in rows if k == key]
+        pos, neg = [p for p, y in own if y], [p for p, y in own if not y]
+        if not pos:
+            assert pr is None
+            continue
+        want = sum(sum(q >= p for q in pos) / sum(q >= p for q, _ in own) for p in pos) / len(pos)
+        assert math.isclose(pr, want, rel_tol=1e-9)
+        if neg and len({p for p, _ in own}) > 1:
+            assert math.isclose(roc, sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg), rel_tol=1e-9)
