@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from punctuality.functions.clock import arrival_clock
 from punctuality.operators import rates, requests
+from punctuality.operators.rotation import TIEBREAKERS
 from punctuality.plans import inputs
+from punctuality.registry import legs as leg_queries
+from punctuality.registry import rates as rate_queries
 from punctuality.registry.rates import RECENT_SQL
 from punctuality.registry.shared import comparable, with_ctes
 from punctuality.session import shared_folder
 from punctuality.streaming import scoring
+from punctuality.streaming.priors import recent_rates_stream
+from punctuality.streaming.rotation import previous_leg_stream
 
 _M = inputs.MONTHLY_SQL
 BASE_RATE = 0.25
@@ -129,6 +134,50 @@ _DECISIONS_SQL = with_ctes(
 )
 
 
+def _arrivals(spark, waves, answers, files=100_000):
+    """Answers of a stream whose rows arrive wave by wave; every wave is a run from the checkpoint."""
+    arrived, out, state = (shared_folder(spark, n) for n in ("arrived", "answers", "state"))
+    for wave in waves:
+        wave.write.mode("append").parquet(arrived)
+        stream = scoring.request_stream(spark, arrived, wave.schema, files_per_trigger=files)
+        scoring.run_available(answers(stream), out, state)
+    return spark.read.parquet(out)
+
+
+def _stream_legs(spark, sf_dir):
+    """Legs in four waves, each out of order and overlapping the next by a day, then a closing leg."""
+    legs = inputs.legs(spark, sf_dir).select(
+        "Tail_Number", "FlightDate", "CRSDepTime", *TIEBREAKERS, F.col("ArrDelay").cast("double").alias("ArrDelay")
+    )
+    # A leg comes up to a day after its departure's date.
+    late = F.pmod(F.xxhash64("Flight_Number_Reporting_Airline"), F.lit(2)).cast("int")
+    day = F.unix_date("FlightDate") + late
+    first, last = legs.agg(F.min(F.unix_date("FlightDate")), F.max(F.unix_date("FlightDate"))).first()
+    wave = F.floor((day - F.lit(first)) * 4 / F.lit(last + 2 - first))
+    closing = legs.limit(1).select(
+        F.lit("end of feed").alias("Tail_Number"), F.date_from_unix_date(F.lit(last + 5)).alias("FlightDate"),
+        *[F.col(c) for c in legs.columns[2:]],
+    )
+    out = _arrivals(spark, [*[legs.where(wave == k) for k in range(4)], closing], previous_leg_stream)
+    return comparable(
+        out.agg(
+            F.count(F.lit(1)).alias("rows"), F.avg("prev_arr_delay").alias("mean_prev_delay"),
+            F.count("prev_arr_delay").alias("with_previous"),
+        )
+    )
+
+
+def _stream_recent(spark, sf_dir):
+    """The windows through the last day, after a closing row has ended them."""
+    facts = inputs.monthly_facts(spark, sf_dir).select("origin", "carrier", "flight_date", "label")
+    last = facts.agg(F.max(F.unix_date("flight_date"))).first()[0]
+    closing = facts.limit(1).select(
+        F.lit("end of feed").alias("origin"), "carrier", F.date_from_unix_date(F.lit(last + 5)).alias("flight_date"), "label"
+    )
+    out = _arrivals(spark, [facts, closing], recent_rates_stream)
+    return comparable(out.where(F.unix_date("through") == last).select("kind", "key", "rate", "flights"))
+
+
 def _arrival_clocks(spark, sf_dir):
     facts = inputs.monthly_facts(spark, sf_dir)
     return facts.select("row_key", arrival_clock(F.col("row_key") % 24, F.col("elapsed")).alias("arrival"))
@@ -151,6 +200,8 @@ QUERIES = {
     ),
     "request_decisions": (_decisions, _DECISIONS_SQL),
     "stream_scoring": (_stream, _DECISIONS_SQL),
+    "stream_inbound_leg_delay": (_stream_legs, leg_queries.QUERIES["inbound_leg_delay"][1]),
+    "stream_recent_rates": (_stream_recent, rate_queries.QUERIES["prior_rates_recent"][1]),
     "arrival_clock": (
         _arrival_clocks,
         with_ctes(
