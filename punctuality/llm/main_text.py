@@ -4,13 +4,19 @@ The page is cut into flat blocks at block-level tags. A block is described by it
 link density, those of its neighbours, and what encloses it (an article, or page furniture by
 tag, class or role). A decision tree, trained on the small labelled table below, tells content
 from the rest. Nothing is cut off or capped; malformed markup (open tags, stray end tags) is
-read as browsers do, leniently.
+read as browsers do, leniently, in time that grows with the page's length.
+
+Furniture and comments win over an article inside them. Only where a page so has less than a
+tenth of the words that it has when articles win (a form around all of it, a first article named
+like a comment), the article wins.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +25,11 @@ from pyspark.sql import DataFrame
 from punctuality.llm.texts import map_rows
 
 #: Elements whose content is never text of the page.
-_SILENT = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|audio|video|title"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})(?![\w:-])[^>]*?(?:/>|>.*?(?:</(?P=silent)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>"
-    r"|<[!?/][^>]*>|<[a-zA-Z][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_SILENT = frozenset("script style noscript template svg math textarea select iframe object canvas audio video title".split())
+_SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _SILENT}
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag; a scan never passes the next "<".
+_REST = re.compile(r"(?>[^<>\"']+|\"[^\"<]*\"|'[^'<]*')*+>")
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section "
@@ -56,62 +60,60 @@ _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _CLOSE_P = frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article aside nav footer header form blockquote pre".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "furniture", "heading")
-#: Labelled blocks (in the order of FEATURES, then 1 for content): a table made for this tree.
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "main", "furniture", "heading", "marked"
+)
+#: Labelled blocks (in the order of FEATURES, then 1 for content): a table made for this tree. Pages
+#: that mark no main element come first: long and short text, headings and links beside nothing, short
+#: text, prose and lists of links; then main elements, furniture, and what lies outside a marked main.
 LABELLED = (
-    # words, links, before (words, links), after (words, links), main, furniture, heading, content
-    (6, 0.0, 0, 0.0, 45, 0.0, 1, 0, 1, 1),
-    (9, 0.0, 4, 1.0, 80, 0.1, 1, 0, 1, 1),
-    (80, 0.0, 9, 0.0, 60, 0.0, 1, 0, 0, 1),
-    (45, 0.1, 80, 0.0, 3, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 45, 0.1, 2, 0.0, 1, 0, 0, 1),
-    (2, 0.0, 3, 0.0, 120, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 2, 0.0, 1, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 300, 0.0, 12, 0.0, 1, 0, 0, 1),
-    (120, 0.2, 1, 0.0, 20, 0.3, 1, 0, 0, 1),
-    (20, 0.3, 120, 0.2, 5, 0.0, 1, 0, 0, 1),
-    (4, 1.0, 120, 0.0, 90, 0.0, 1, 0, 0, 1),
-    (12, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (2, 0.0, 5, 1.0, 30, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 1, 1.0, 4, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 6, 1.0, 1, 0, 0, 1),
-    (5, 0.0, 3, 1.0, 3, 1.0, 1, 0, 0, 1),
-    (1, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 1),
-    (6, 0.9, 20, 0.0, 4, 1.0, 1, 0, 0, 1),
-    (30, 0.7, 4, 1.0, 8, 0.8, 1, 0, 0, 1),
-    (4, 0.0, 6, 0.6, 0, 0.0, 1, 0, 0, 1),
-    (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (700, 0.0, 12, 0.0, 40, 0.0, 1, 0, 0, 1),
-    (5, 1.0, 60, 0.0, 5, 1.0, 1, 1, 0, 0),
-    (30, 0.0, 60, 0.0, 45, 0.0, 1, 1, 0, 0),
-    (3, 0.0, 30, 0.0, 80, 0.0, 1, 1, 0, 0),
-    (14, 0.4, 50, 0.0, 8, 0.0, 1, 1, 1, 0),
-    (160, 0.0, 40, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0),
-    (25, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0, 0),
-    (60, 0.0, 12, 1.0, 7, 0.0, 0, 1, 0, 0),
-    (200, 0.0, 60, 0.0, 90, 0.0, 0, 1, 0, 0),
-    (9, 0.2, 70, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (8, 0.0, 25, 0.0, 40, 0.0, 0, 1, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
-    (3, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0),
-    (25, 0.8, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 3, 1.0, 4, 0.5, 0, 0, 0, 0),
-    (5, 0.0, 8, 0.6, 0, 0.0, 0, 0, 0, 0),
-    (7, 0.0, 0, 0.0, 55, 0.0, 0, 0, 1, 1),
-    (8, 0.0, 2, 1.0, 70, 0.1, 0, 0, 1, 1),
-    (60, 0.0, 7, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (40, 0.1, 60, 0.0, 55, 0.0, 0, 0, 0, 1),
-    (55, 0.0, 2, 1.0, 5, 1.0, 0, 0, 0, 1),
-    (22, 0.0, 40, 0.1, 18, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 22, 0.0, 6, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 30, 0.0, 25, 0.1, 0, 0, 1, 1),
-    (300, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 1),
+    # words, links, before (words, links), after (words, links), main, furniture, heading, marked, content
+    (60, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (9, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (60, 0.2, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
+    (9, 0.2, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1, 0, 1), (60, 0.2, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (9, 0.2, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (3, 1.0, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 0),
+    (25, 0.8, 0, 0.0, 45, 0.1, 0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 45, 0.1, 0, 0, 1, 0, 1), (60, 0.2, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (20, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (9, 0.2, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (25, 0.8, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
+    (60, 0.2, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (9, 0.2, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (60, 0.2, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
+    (9, 0.2, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 4, 0.0, 4, 0.0, 0, 0, 1, 0, 1), (60, 0.2, 4, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (20, 0.0, 4, 0.0, 45, 0.1, 0, 0, 0, 0, 1),
+    (2, 0.0, 4, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (9, 0.2, 4, 0.0, 45, 0.1, 0, 0, 0, 0, 1), (3, 1.0, 4, 0.0, 45, 0.1, 0, 0, 0, 0, 0),
+    (25, 0.8, 4, 0.0, 45, 0.1, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 45, 0.1, 0, 0, 1, 0, 1), (60, 0.2, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (20, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (2, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (9, 0.2, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (3, 1.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (25, 0.8, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
+    (60, 0.2, 45, 0.1, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 45, 0.1, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 45, 0.1, 0, 0.0, 0, 0, 0, 0, 1),
+    (9, 0.2, 45, 0.1, 0, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 45, 0.1, 0, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 45, 0.1, 0, 0.0, 0, 0, 0, 0, 0),
+    (60, 0.2, 45, 0.1, 4, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 45, 0.1, 4, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 45, 0.1, 4, 0.0, 0, 0, 0, 0, 1),
+    (9, 0.2, 45, 0.1, 4, 0.0, 0, 0, 0, 0, 1), (3, 1.0, 45, 0.1, 4, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 45, 0.1, 4, 0.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 45, 0.1, 4, 0.0, 0, 0, 1, 0, 1), (60, 0.2, 45, 0.1, 45, 0.1, 0, 0, 0, 0, 1), (20, 0.0, 45, 0.1, 45, 0.1, 0, 0, 0, 0, 1),
+    (2, 0.0, 45, 0.1, 45, 0.1, 0, 0, 0, 0, 1), (9, 0.2, 45, 0.1, 45, 0.1, 0, 0, 0, 0, 1), (3, 1.0, 45, 0.1, 45, 0.1, 0, 0, 0, 0, 1),
+    (25, 0.8, 45, 0.1, 45, 0.1, 0, 0, 0, 0, 1), (5, 0.0, 45, 0.1, 45, 0.1, 0, 0, 1, 0, 1), (60, 0.2, 45, 0.1, 3, 1.0, 0, 0, 0, 0, 1),
+    (20, 0.0, 45, 0.1, 3, 1.0, 0, 0, 0, 0, 1), (2, 0.0, 45, 0.1, 3, 1.0, 0, 0, 0, 0, 1), (9, 0.2, 45, 0.1, 3, 1.0, 0, 0, 0, 0, 1),
+    (3, 1.0, 45, 0.1, 3, 1.0, 0, 0, 0, 0, 0), (25, 0.8, 45, 0.1, 3, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 45, 0.1, 3, 1.0, 0, 0, 1, 0, 0),
+    (60, 0.2, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (9, 0.2, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (60, 0.2, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0),
+    (9, 0.2, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 1, 0, 1), (60, 0.2, 3, 1.0, 45, 0.1, 0, 0, 0, 0, 1), (20, 0.0, 3, 1.0, 45, 0.1, 0, 0, 0, 0, 1),
+    (2, 0.0, 3, 1.0, 45, 0.1, 0, 0, 0, 0, 1), (9, 0.2, 3, 1.0, 45, 0.1, 0, 0, 0, 0, 1), (3, 1.0, 3, 1.0, 45, 0.1, 0, 0, 0, 0, 0),
+    (25, 0.8, 3, 1.0, 45, 0.1, 0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 45, 0.1, 0, 0, 1, 0, 1), (60, 0.2, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (20, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (9, 0.2, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0, 0),
+    (6, 0.0, 0, 0.0, 45, 0.0, 1, 0, 1, 1, 1), (80, 0.0, 9, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 45, 0.1, 2, 0.0, 1, 0, 0, 1, 1),
+    (1, 0.0, 300, 0.0, 12, 0.0, 1, 0, 0, 1, 1), (120, 0.2, 1, 0.0, 20, 0.3, 1, 0, 0, 1, 1), (4, 1.0, 120, 0.0, 90, 0.0, 1, 0, 0, 1, 1),
+    (2, 0.0, 5, 1.0, 30, 0.0, 1, 0, 0, 1, 1), (5, 0.0, 3, 1.0, 3, 1.0, 1, 0, 0, 1, 1), (1, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 1, 1),
+    (30, 0.7, 4, 1.0, 8, 0.8, 1, 0, 0, 1, 1), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1, 1), (5, 1.0, 60, 0.0, 5, 1.0, 0, 1, 0, 0, 0),
+    (30, 0.0, 60, 0.0, 45, 0.0, 0, 1, 0, 1, 0), (3, 0.0, 30, 0.0, 80, 0.0, 0, 1, 0, 0, 0), (14, 0.4, 50, 0.0, 8, 0.0, 0, 1, 1, 1, 0),
+    (160, 0.0, 40, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (25, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0, 0, 0),
+    (200, 0.0, 60, 0.0, 90, 0.0, 0, 1, 0, 1, 0), (9, 0.2, 70, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (8, 0.0, 25, 0.0, 40, 0.0, 0, 1, 1, 1, 0),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (60, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1, 0), (5, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1, 0),
+    (12, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0, 1, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0), (30, 0.1, 45, 0.0, 50, 0.1, 0, 0, 0, 1, 0),
+    (1, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0, 1, 0), (200, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1, 0),
 )
 
 
@@ -130,7 +132,7 @@ class Node:
         return node.share >= 0.5
 
 
-def grow(rows: np.ndarray, depth: int = 8) -> Node:
+def grow(rows: np.ndarray, depth: int = 12) -> Node:
     """A binary tree by Gini impurity; the last column is the label."""
     x, y = rows[:, :-1], rows[:, -1]
     node = Node(float(y.mean()) if len(y) else 0.0)
@@ -154,31 +156,91 @@ def grow(rows: np.ndarray, depth: int = 8) -> Node:
 def _kind(tag: str, rest: str, first: bool = False) -> str:
     """What an element means for its text: main, comment, furniture or nothing.
 
-    Names say nothing of a body, a main or the ``first`` article.
+    Names say nothing of a body, a main or the ``first`` article where articles win.
     """
     if tag == "body":
         return ""
+    marked = tag in ("article", "main")
+    if rest and (_HIDDEN.search(_QUOTED.sub("''", rest) if marked else rest) or marked and "none" in rest and _HIDDEN.search(rest[rest.find("style") :])):
+        return "furniture"
     if tag == "main" or tag == "article" and first:
-        gone = _HIDDEN.search(_QUOTED.sub("''", rest)) or re.search(r"display\s*:\s*none", rest, re.I)
-        return "furniture" if gone else "main"
+        return "main"
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
     if _COMMENT.search(names):
         return "comment"
-    if tag in _FURNITURE or rest and _HIDDEN.search(rest):
+    if tag in _FURNITURE:
         return "furniture"
-    if tag in ("article", "main") or names == "main":
+    if marked or names == "main":
         return "main"
     if names and _HINT.search(names):
         return "furniture"
     return "header" if tag == "header" or names and _HEADER.search(names) else ""
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+def tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag in lower case, whether it ends, its attributes) or (None, False, text), in page order.
+
+    Comments and silent elements are left out; so is a tag that the page breaks off in.
+    """
+    at, end, closes = 0, len(page), page.rfind(">")
+    while at < end:
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = end if to < 0 else to
+            yield None, False, page[at:to]
+            at = to
+            continue
+        if page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            at = end if to < 0 else to + 3
+            continue
+        name = _TAG.match(page, at)
+        if name is None and page[at + 1 : at + 2] not in ("/", "!", "?"):
+            yield None, False, "<"
+            at += 1
+            continue
+        if at > closes:
+            return
+        if name is None:
+            at = page.find(">", at) + 1
+            continue
+        whole = _REST.match(page, name.end())
+        to = whole.end() if whole else page.find(">", name.end()) + 1
+        if not to:
+            return
+        tag, rest, ends = name[1].lower(), page[name.end() : to - 1], page[at + 1] == "/"
+        at = to
+        if tag in _SILENT and not ends:
+            if not rest.endswith("/"):
+                close = _SILENT_END[tag].search(page, at)
+                at = close.end() if close else end
+            continue
+        yield tag, ends, rest
+
+
+#: Where text stands: nothing known, in a main element, in furniture that an inner main may undo, in furniture for good.
+_PLAIN, _MAIN, _LOOSE, _SHUT = range(4)
+
+
+def _inside(where: int, kind: str, articles_win: bool) -> int:
+    if where == _SHUT or not kind:
+        return where
+    if kind == "comment":
+        return _SHUT
+    if kind == "main":
+        return _MAIN
+    if kind == "furniture":
+        return _LOOSE if articles_win else _SHUT
+    return where if where == _MAIN else _LOOSE
+
+
+def blocks(page: str, articles_win: bool = False) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in main, in furniture, heading) of each flat block."""
     out, parts, linked = [], [], []
-    holders: list[tuple[str, str]] = []  # open elements with a meaning or that hold others
+    holders: list[tuple[str, bool, int]] = []  # open elements: tag, whether it means something, where its text stands
+    opened: Counter[str] = Counter()
     link = heading = False
-    main = furniture = False
+    where = _PLAIN
     articles = 0
 
     def flush() -> None:
@@ -187,79 +249,80 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 inside = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, text.count(" ") + 1, inside, main, furniture, heading))
+                words = text.count(" ") + 1
+                out.append((text, words, min(inside, words), where == _MAIN, where >= _LOOSE, heading))
         parts, linked = [], []
 
-    def settle() -> None:
-        nonlocal main, furniture
-        main = furniture = False
-        for _, kind in holders:
-            if kind == "comment":
-                main, furniture = False, True
-                return
-            if kind == "main":
-                main, furniture = True, False
-            elif kind == "furniture" or kind == "header" and not main:
-                furniture = True
-
-    for token in _TOKEN.finditer(page):
-        text = token["text"]
-        if text is not None:
-            parts.append(text)
-            if link:
-                linked.append(text)
-            continue
-        tag = token["tag"]
+    def close() -> None:
+        nonlocal where
+        opened[holders.pop()[0]] -= 1
+        where = holders[-1][2] if holders else _PLAIN
+
+    for tag, ends, rest in tokens(page):
         if tag is None:
+            parts.append(rest)
+            if link:
+                linked.append(rest)
             continue
-        tag = tag.lower()
         if tag == "a":
-            link = not token["end"]
+            link = not ends
         elif tag in ("br", "img", "input"):
             parts.append(" ")
         if tag in _BLOCKS:
             flush()
             link = False
-            heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and not token["end"]
+            heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and not ends
         if tag not in _HOLDERS:
             continue
-        if token["end"]:
-            at = next((k for k in range(len(holders) - 1, -1, -1) if holders[k][0] == tag), None)
-            if at is None:
+        if ends:
+            if not opened[tag]:
                 continue
-            if any(k for _, k in holders[at:]):
+            at = len(holders) - 1
+            while holders[at][0] != tag:
+                at -= 1
+            if any(meant for _, meant, _ in holders[at:]):
                 flush()
-            gone = holders[at:]
-            del holders[at:]
-            if any(kind for _, kind in gone):
-                settle()
+            while len(holders) > at:
+                close()
             continue
-        rest = token["rest"]
         if tag in _CLOSE_P and holders and holders[-1][0] == "p":
-            if holders.pop()[1]:
-                settle()
+            close()
         if rest.endswith("/"):
             continue
         articles += tag == "article"
-        kind = _kind(tag, rest, articles == 1) if rest or tag in _FURNITURE or tag in ("article", "main", "header") else ""
+        kind = ""
+        if rest or tag in _FURNITURE or tag in ("article", "main", "header"):
+            kind = _kind(tag, rest, articles_win and articles == 1)
         if kind:
             flush()
-        holders.append((tag, kind))
-        if kind:
-            settle()
+        where = _inside(where, kind, articles_win)
+        holders.append((tag, bool(kind), where))
+        opened[tag] += 1
     flush()
     return out
 
 
-def content(page: str | None, tree: Node) -> str:
-    found = blocks(page or "")
-    kept = []
+def _kept(found: list[tuple], tree: Node) -> list[tuple[str, int]]:
+    marked = int(any(b[3] for b in found))
     sizes = [(0, 0.0), *[(b[1], b[2] / b[1]) for b in found], (0, 0.0)]
+    kept = []
     for k, (text, words, _, main, furniture, heading) in enumerate(found):
-        x = (words, sizes[k + 1][1], *sizes[k], *sizes[k + 2], int(main), int(furniture), int(heading))
+        x = (words, sizes[k + 1][1], *sizes[k], *sizes[k + 2], int(main), int(furniture), int(heading), marked)
         if tree.says(x):
-            kept.append(text)
-    return "\n".join(kept)
+            kept.append((text, words))
+    return kept
+
+
+def content(page: str | None, tree: Node) -> str:
+    page = page or ""
+    found = blocks(page)
+    kept = _kept(found, tree)
+    size = sum(words for _, words in kept)
+    if any(b[4] for b in found) and 10 * size < sum(b[1] for b in found):
+        other = _kept(blocks(page, articles_win=True), tree)
+        if 10 * size < sum(words for _, words in other):
+            kept = other
+    return "\n".join(text for text, _ in kept)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 import numpy as np
 import pytest
@@ -260,6 +261,60 @@ def test_tree_fits_its_table(tree):
     assert all(tree.says(row[:-1]) == bool(row[-1]) for row in main_text.LABELLED)
 
 
+def test_tree_asks_for_links_and_both_neighbours(tree):
+    asked = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            asked.add(main_text.FEATURES[node.feature])
+            walk(node.low), walk(node.high)
+
+    walk(tree)
+    assert asked >= {"words", "links", "words_before", "links_before", "words_after", "links_after"}
+
+
+def paragraphs(*sizes):
+    return "".join(f"<p>{' '.join(f'w{k}' for k in range(n))}</p>" for n in sizes)
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>to {k}</a></li>" for k in range(5)) + "</ul>"
+
+
+@pytest.mark.parametrize("sizes", [(60,), (5,), (60, 60, 60), (28, 3, 40, 2, 35), (40, 3), (3, 40)])
+def test_pages_that_mark_nothing_keep_all_paragraphs(tree, sizes):
+    for page in (f"<body><div>{paragraphs(*sizes)}</div></body>", f"<html><div>x</div>{LINKS}<div>{paragraphs(*sizes)}</div><aside>{LINKS}</aside>" if sizes[0] > 10 else f"<p>{paragraphs(*sizes)}"):
+        assert [len(x.split()) for x in main_text.content(page, tree).split("\n")] == list(sizes)
+
+
+def test_lists_of_links(tree):
+    page = f"<div>Site</div>{LINKS}<h1>Head</h1>{paragraphs(30)}<p><a>a linked line</a></p>{paragraphs(40)}<h3>More</h3>{LINKS}<p>since 2020</p>"
+    got = main_text.content(page, tree).split("\n")
+    assert [len(x.split()) for x in got] == [1, 30, 3, 40] and got[0] == "Head"
+    assert main_text.content(f"<article>{paragraphs(20)}{LINKS}</article>{LINKS}<p>{paragraphs(30)}", tree).count("to ") == 5
+
+
+WINNERS = [  # which of post, teaser and comment is the text
+    (f"<div>{paragraphs(60)}</div><aside class=sidebar><article>teaser</article></aside>", 60),
+    (f"<div>{paragraphs(60)}</div><section class=related><article><p>a teaser</p></article></section>", 60),
+    (f"<div class=post>{paragraphs(60)}</div><article class='comment'><p>me too</p></article>", 60),
+    (f"<article>{paragraphs(60)}</article><div>{paragraphs(30)}</div>", 60),
+    (f"<form id=all><nav>{LINKS}</nav><main>{paragraphs(60)}</main></form>", 60),
+    (f"<article class=comment>{paragraphs(50)}</article>", 50),
+]
+
+
+@pytest.mark.parametrize("page, words", WINNERS)
+def test_what_encloses_an_article(tree, page, words):
+    assert len(main_text.content(page, tree).split()) == words
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "> " ', "<aside>", "<div></span>", "<p class='", "<!--", "<script>", "</script ", "<a <b>", "<svg></svg ", "& < "])
+def test_a_page_of_a_megabyte_of_malformed_markup(tree, part):
+    start = time.perf_counter()
+    main_text.content(part * (1_000_000 // len(part)) + ">", tree)
+    assert time.perf_counter() - start < 10
+
+
 PAGES = [
     ("<article><h1>T &amp; U</h1><p>One.</p><p>Two <b>bold<br><p>Three</p></article>", "T & U\nOne.\nTwo bold\nThree"),
     ("<nav><a>home</a></nav><main><p>a&nbsp;b\n c</p><div class='ad'>buy</div><p>d</p></main><footer>f</footer>", "a b c\nd"),
