@@ -63,6 +63,39 @@ def result_digest(result: DataFrame) -> DataFrame:
     return result.agg(F.count(F.lit(1)).alias("rows"), F.round(total, 3).alias("digest"))
 
 
+def _cell_text(name: str, kind: str, digits: int) -> Column:
+    """A cell as text that no other value of its column has; doubles count to ``digits`` decimals."""
+    c = F.col(f"`{name}`")
+    if kind in ("float", "double"):
+        finite = F.round(c * F.lit(10.0**digits)).cast("decimal(38,0)").cast("string")
+        text = F.when(F.isnan(c) | (F.abs(c) >= F.lit(10.0 ** (37 - digits))), c.cast("string")).otherwise(finite)
+    elif kind.startswith(("array", "map", "struct")):
+        text = F.to_json(F.struct(c))
+    else:
+        text = c.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def multiset_digest(result: DataFrame, keys: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """(keys, rows, digest) of the rows as a multiset, one row per keys.
+
+    Each row becomes the MD5 of its cells in order of column names. The digest is the sum of the
+    hash's first 60 bits and the exclusive or of the next 60, over all rows: it does not depend on
+    order or partitioning, parts merge by the same two operations, and a swap of two columns, a
+    cell that moved to another row or one copy more changes it. Everything is an integer, so no
+    rounding of sums enters; only doubles are first rounded to ``digits``. Without rows the result
+    has no row with keys, and ``0-0`` without. Keys are part of the rows.
+    """
+    kinds = dict(result.dtypes)
+    cells = [F.concat(F.lit(f"{c}="), _cell_text(c, kinds[c], digits)) for c in sorted(kinds)]
+    whole = F.md5(F.concat_ws("|", *cells).cast("binary"))
+    part = lambda at: F.conv(F.substring(whole, at, 15), 16, 10)
+    hashed = result.select(*keys, part(1).cast("decimal(28,0)").alias("_a"), part(16).cast("bigint").alias("_b"))
+    total = F.coalesce(F.sum("_a").cast("string"), F.lit("0"))
+    mixed = F.coalesce(F.bit_xor("_b"), F.lit(0)).cast("string")
+    return hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", total, mixed).alias("digest"))
+
+
 def result_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, with the surplus of each side.
 

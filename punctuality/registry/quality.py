@@ -97,12 +97,40 @@ def _digest(spark, sf_dir):
     return quality.result_digest(comparable(result))
 
 
+_DIGESTED = ("ArrDelay", "Dest", "DepDelay", "FlightDate", "Origin", "Tail_Number")
+
+
+def _multiset(spark, sf_dir):
+    """All legs as they are, and with two delays swapped, which sums of cells cannot tell apart."""
+    legs = inputs.legs(spark, sf_dir).select(*_DIGESTED)
+    swapped = legs.withColumns({"ArrDelay": F.col("DepDelay"), "DepDelay": F.col("ArrDelay")})
+    both = legs.withColumn("version", F.lit("plain")).unionByName(swapped.withColumn("version", F.lit("swapped")))
+    return quality.multiset_digest(comparable(both), ["version"])
+
+
+def _multiset_sql():
+    def text(c):
+        value = f'CAST(CAST(round("{c}" * 1000000) AS HUGEINT) AS VARCHAR)' if "Delay" in c else f'CAST("{c}" AS VARCHAR)'
+        return f"""'{c}=' || coalesce(length({value}) || ':' || {value}, '-')"""
+
+    cells = " || '|' || ".join(text(c) for c in sorted((*_DIGESTED, "version")))
+    columns = ", ".join(f'"{c}"' for c in _DIGESTED if "Delay" not in c)
+    return with_ctes(
+        f"""SELECT version, count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || '-'
+        || CAST(bit_xor(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS digest
+        FROM (SELECT version, md5({cells}) AS h FROM both_versions) q GROUP BY version""",
+        inputs.LEGS_SQL,
+        f"""both_versions AS (SELECT {columns}, "ArrDelay", "DepDelay", 'plain' AS version FROM legs
+        UNION ALL SELECT {columns}, "DepDelay" AS "ArrDelay", "ArrDelay" AS "DepDelay", 'swapped' AS version FROM legs)""",
+    )
+
+
 def _workload_digests(spark, sf_dir):
-    """Rows and digest of two workloads over growing prefixes of the months."""
+    """Rows and digest of two workloads over growing prefixes of the months; 0 months is the whole table."""
     flights = inputs.yearly_flights(spark, sf_dir)
     out = None
-    for months in layout.SCALES:
-        part = flights.where(layout.month_slice(FIRST_MONTH, months))
+    for months in (*layout.SCALES, 0):
+        part = flights.where(layout.month_slice(FIRST_MONTH, months)) if months else flights
         for name, result in (
             ("daily_rate_by_origin", rates.daily_rate_by_origin(part)),
             ("inbound_leg_delay", rotation.inbound_leg_delay(part)),
@@ -116,9 +144,9 @@ def _workload_digests(spark, sf_dir):
 
 def _workload_sql():
     parts = []
-    for months in layout.SCALES:
+    for months in (*layout.SCALES, 0):
         last = FIRST_MONTH[0] * 12 + months - 1
-        where = f'"Year" * 100 + "Month" <= {last // 12 * 100 + last % 12 + 1}'
+        where = f'"Year" * 100 + "Month" <= {last // 12 * 100 + last % 12 + 1}' if months else "TRUE"
         parts.append(
             f"""SELECT 'daily_rate_by_origin' AS workload, {months} AS months, count(*) AS rows, round(coalesce(sum(n + coalesce(r, 0) + coalesce(d, 0)), 0), 3) AS digest
             FROM (SELECT count(*) AS n, round(avg("ArrDel15"), 6) AS r, round(avg("ArrDelay"), 6) AS d FROM labelled
@@ -181,6 +209,7 @@ QUERIES = {
             inputs.LEGS_SQL,
         ),
     ),
+    "multiset_digest": (_multiset, _multiset_sql()),
     "workload_digests": (_workload_digests, _workload_sql()),
     "result_diff": (
         _diff,

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from punctuality.operators import quality
 from punctuality.operators import scoring_metrics as sm
 from punctuality.plans.train import decision_report
 
@@ -157,3 +158,21 @@ def test_ranking_over_keys_of_very_different_sizes(spark):
         assert math.isclose(pr, want, rel_tol=1e-9)
         if neg and len({p for p, _ in own}) > 1:
             assert math.isclose(roc, sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg), rel_tol=1e-9)
+
+
+def test_multiset_digest(spark):
+    rows = [(1, 0.5, "a|b"), (1, 0.5, "a|b"), (2, None, None), (3, float("nan"), "")]
+    schema = "n int, x double, s string"
+    of = lambda rows, schema=schema: quality.multiset_digest(spark.createDataFrame(rows, schema)).first()
+    plain = of(rows)
+    assert plain.rows == 4 and of(rows[::-1]) == plain
+    assert quality.multiset_digest(spark.createDataFrame(rows, schema).repartition(7).select("s", "x", "n")).first() == plain
+    others = [
+        rows[:3], rows + rows[:2], [*rows[:3], (3, None, "")], [*rows[:3], (3, float("nan"), None)],
+        [(2, 0.5, "a|b"), (1, 0.5, "a|b"), (1, None, None), rows[3]], [(1, 0.500002, "a|b"), *rows[1:]],
+    ]
+    assert len({of(r).digest for r in [rows, *others]}) == 7
+    assert of([(1, 2)], "a int, b int").digest != of([(2, 1)], "a int, b int").digest  # a swap between columns
+    assert tuple(of([], schema)) == (0, "0-0")
+    keyed = quality.multiset_digest(spark.createDataFrame(rows, schema), ["n"]).collect()
+    assert sorted((r.n, r.rows) for r in keyed) == [(1, 2), (2, 1), (3, 1)]
