@@ -113,6 +113,17 @@ def write_result(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").json(f"{folder}/{name}")
 
 
+def register_views(tables: Mapping[str, DataFrame], prefix: str = "") -> list[str]:
+    """Temporary views of the session for SQL users, one per table; their names, in order.
+
+    A view is a plan: filters and columns of a query still reach the files, and nothing is read here.
+    A name that exists as a view is replaced.
+    """
+    for name, table in tables.items():
+        table.createOrReplaceTempView(f"{prefix}{name}")
+    return [f"{prefix}{name}" for name in tables]
+
+
 class BundleMissing(FileNotFoundError):
     """A part of the served bundle is not there."""
 

@@ -116,3 +116,14 @@ def test_bundle_must_be_whole(spark, tmp_path):
 def test_write_result(spark, tmp_path):
     tables.write_result(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path), "step")
     assert spark.read.json(str(tmp_path / "step")).first().s == "a"
+
+
+def test_views_reach_the_files(spark, sf_dir):
+    from punctuality.sources.tables import register_views
+
+    files = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "customer")}
+    assert register_views(files, "v_") == ["v_orders", "v_customer"]
+    told = spark.sql("SELECT c_custkey, count(*) AS n FROM v_orders JOIN v_customer ON o_custkey = c_custkey GROUP BY c_custkey")
+    assert told.count() == files["orders"].select("o_custkey").distinct().count()
+    register_views({"orders": files["orders"].where("o_orderkey < 0")}, "v_")
+    assert spark.table("v_orders").isEmpty()
