@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval (operator 1).
 
 Documents are read as passages of ``PASSAGE`` words over the benchmark's weighted
-by TF-IDF over all passages of the corpus. A randomised SVD of that matrix is taken without
-building it: each task adds up its part of (A^T A) times a thin matrix, which is as high as the
-vocabulary, and Spark sums the parts; two such passes give the leading singular vectors. Every
+by TF-IDF over all passages of the corpus. A randomised SVD of that matrix A is taken without
+building it: each task adds up its part of (A^T A) times a thin random matrix, which is as high as
+the vocabulary, and Spark sums the parts. One such pass is enough: A^T A is positive semidefinite,
+so its leading singular vectors follow from that product alone (Nystroem's form). Every
 window of every text, as long as the items it is held against, is compared with the items by
 cosine in that latent space. Windows above ``COSINE`` are candidates, and there the words decide:
 
@@ -37,6 +38,8 @@ BLOCK_ITEMS = 2000
 ANSWER_WORDS = 0.25
 #: Terms of passages that are multiplied at once.
 AT_ONCE = 20_000
+#: Up to so many terms, a task adds up A^T A itself (128 MiB) and multiplies once, at its end.
+SQUARE_TERMS = 4096
 LEAKS = (
     "doc_id long, a long, b long, item_id long, cosine double, common_share double, answer_share double, "
     "start_word long, kind string"
@@ -143,44 +146,75 @@ def _frequencies(texts: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """(A^T A) ``thin`` for the matrix A of all passages' unit TF-IDF rows."""
+def unit_rows(row: np.ndarray, k: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, term, weight) of the unit TF-IDF rows of passages, side by side; ``row`` ascends."""
+    key = row * len(idf) + k
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    times = np.diff(np.r_[first, len(key)])
+    p, t = np.divmod(key[first], len(idf))
+    weight = times * idf[t]
+    edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    norm = np.sqrt(np.add.reduceat(weight * weight, edge))
+    return p, t, weight / np.repeat(np.maximum(norm, 1e-9), np.diff(np.r_[edge, len(p)]))
+
+
+def add_square(square: np.ndarray, p: np.ndarray, t: np.ndarray, weight: np.ndarray) -> None:
+    """Add the products of all pairs of entries of a row, once each, to a flat square matrix.
+
+    Entries lie by row; within one, terms ascend, so the upper half is filled; the diagonal gets halves.
+    """
+    size = int(np.sqrt(len(square)))
+    np.add.at(square, t * (size + 1), weight * weight / 2)
+    i = np.arange(len(p))
+    for gap in range(1, len(p)):  # PASSAGE at most
+        i = i[: np.searchsorted(i, len(p) - gap)]
+        i = i[p[i] == p[i + gap]]
+        if not len(i):
+            break
+        j = i + gap
+        np.add.at(square, t[i] * size + t[j], weight[i] * weight[j])
+
+
+def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray, most: int = SQUARE_TERMS) -> np.ndarray:
+    """(A^T A) ``thin`` for the matrix A of all passages' unit TF-IDF rows.
+
+    The number of terms decides in which order a task multiplies, not what is summed.
+    """
     size, width = thin.shape
-    idf, thin = idf.astype(np.float32), thin.astype(np.float32)
+    squared = size <= most
+    idf, thin = idf.astype(np.float64), thin.astype(np.float64 if squared else np.float32)
 
     def start():
         reader = Reader()
         out = np.zeros((size, width), np.float64)
+        square = np.zeros(size * size) if squared else None
         passages: list[np.ndarray] = []
         found: list[np.ndarray] = []
         held = [0, 0]  # terms waiting, passages so far
 
         def multiply() -> None:
-            row, k = np.concatenate(passages), np.concatenate(found)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            for low in range(0, len(first), AT_ONCE // 8):
-                high = low + AT_ONCE // 8
-                part = slice(first[low], first[high] if high < len(first) else len(row))
-                starts = first[low:high] - first[low]
-                terms_of, sizes = k[part], np.diff(np.r_[starts, part.stop - part.start])
-                # Counts within a passage: equal terms side by side.
-                key = np.repeat(np.arange(len(starts)), sizes) * size + terms_of
-                key, times = np.unique(key, return_counts=True)
-                p, t = key // size, key % size
-                weight = times.astype(np.float32) * idf[t]
-                edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                norm = np.sqrt(np.add.reduceat(weight * weight, edge))
-                weight /= np.repeat(np.maximum(norm, 1e-9), np.diff(np.r_[edge, len(p)]))
-                rows = np.add.reduceat(thin[t] * weight[:, None], edge, axis=0)
-                order = np.argsort(t, kind="stable")
-                number = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(p)]))[order]
-                by_term = t[order]
-                at = np.flatnonzero(np.r_[True, by_term[1:] != by_term[:-1]])
-                out[by_term[at]] += np.add.reduceat(rows[number] * weight[order][:, None], at, axis=0)
+            p, t, weight = unit_rows(np.concatenate(passages), np.concatenate(found), idf)
+            if squared:
+                add_square(square, p, t, weight)
+            else:
+                first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                for low in range(0, len(first), AT_ONCE // 8):
+                    begin = first[low : low + AT_ONCE // 8]
+                    part = slice(begin[0], first[low + len(begin)] if low + len(begin) < len(first) else len(p))
+                    scatter(begin - begin[0], t[part], weight[part].astype(np.float32))
             passages.clear()
             found.clear()
             held[0] = 0
 
+        def scatter(begin: np.ndarray, t: np.ndarray, weight: np.ndarray) -> None:
+            rows = np.add.reduceat(thin[t] * weight[:, None], begin, axis=0)
+            order = np.argsort(t, kind="stable")
+            number = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(t)]))[order]
+            by_term = t[order]
+            at = np.flatnonzero(np.r_[True, by_term[1:] != by_term[:-1]])
+            out[by_term[at]] += np.add.reduceat(rows[number] * weight[order][:, None], at, axis=0)
+
         def each(some):
             words, begin = reader.read(some)
             passage, total = passages_of(begin)
@@ -196,6 +230,9 @@ def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray)
         def end():
             if held[0]:
                 multiply()
+            if squared:
+                half = square.reshape(size, size)
+                np.add(half @ thin, half.T @ thin, out=out)
             some = np.flatnonzero(np.abs(out).sum(axis=1))
             return (some.astype(np.int32), *out[some].T) if len(some) else None
 
@@ -210,14 +247,19 @@ def _product(texts: DataFrame, terms: Terms, idf: np.ndarray, thin: np.ndarray)
 
 
 def singular_vectors(texts: DataFrame, terms: Terms, idf: np.ndarray, rank: int = RANK, seed: int = 1) -> np.ndarray:
-    """Leading right singular vectors (vocabulary x rank) of the passages' matrix."""
+    """Leading right singular vectors (vocabulary x rank) of the passages' matrix.
+
+    With Y = (A^T A) Q for a random orthonormal Q, A^T A is close to Y (Q^T Y)^-1 Y^T, whose
+    singular vectors are those of Y times the inverse root of Q^T Y.
+    """
     width = min(len(terms.hashes), rank + EXTRA)
-    thin = np.random.default_rng(seed).normal(size=(len(terms.hashes), width))
-    q, _ = np.linalg.qr(_product(texts, terms, idf, thin))
-    small = q.T @ _product(texts, terms, idf, q)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[:rank]
-    return q @ vectors[:, best[values[best] > 1e-9]]
+    thin, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms.hashes), width)))
+    product = _product(texts, terms, idf, thin)
+    values, turned = np.linalg.eigh((thin.T @ product + product.T @ thin) / 2)
+    sure = values > max(values[-1], 0) * 1e-10
+    root = product @ (turned[:, sure] / np.sqrt(values[sure]))
+    vectors, lengths, _ = np.linalg.svd(root, full_matrices=False)
+    return vectors[:, :rank][:, lengths[:rank] ** 2 > 1e-9]
 
 
 def common_length(item: np.ndarray, text: np.ndarray) -> int:
@@ -246,13 +288,37 @@ def window_of(n: int) -> int:
 _NAMES = [part.split()[0] for part in LEAKS.split(", ")]
 
 
+class Item:
+    """Words of an item, numbered by their order, with how often each is in it and in its answer."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.known, own = np.unique(words, return_inverse=True)
+        self.own = own.ravel()
+        self.answer = self.own[-max(1, round(ANSWER_WORDS * len(words))) :]
+        self.times = np.bincount(self.own, minlength=len(self.known))
+        self.answer_times = np.bincount(self.answer, minlength=len(self.known))
+
+    def common(self, region: np.ndarray) -> np.ndarray:
+        """The region's words that the item has, as their numbers."""
+        at = np.minimum(np.searchsorted(self.known, region), len(self.known) - 1)
+        return at[self.known[at] == region]
+
+    def bounds(self, common: np.ndarray) -> tuple[float, float]:
+        """No subsequence of the item, or of its answer, has a larger share in common."""
+        there = np.bincount(common, minlength=len(self.known))
+        most = np.minimum(there, self.times).sum(), np.minimum(there, self.answer_times).sum()
+        return most[0] / len(self.own), most[1] / len(self.answer)
+
+
 @dataclass
 class Items:
     ids: list[int]
-    words: list[np.ndarray]
+    items: list[Item]
     terms: Terms
     weighted: np.ndarray  # vocabulary x rank, TF-IDF weights included
     latent: dict[int, tuple[np.ndarray, np.ndarray]]  # window size -> (item numbers, unit vectors)
+    holds: np.ndarray  # item x vocabulary, eight terms in a byte
 
 
 def weights(counts: np.ndarray, passages: int) -> np.ndarray:
@@ -263,14 +329,16 @@ def weights(counts: np.ndarray, passages: int) -> np.ndarray:
 def index(ids: list[int], words: list[np.ndarray], terms: Terms, idf: np.ndarray, vectors: np.ndarray) -> Items:
     weighted = (idf[:, None] * vectors).astype(np.float32)
     groups: dict[int, list] = defaultdict(list)
+    holds = np.zeros((len(words), len(idf) // 8 + 1), np.uint8)
     for number, own in enumerate(words):
         _, k = terms.find(own)
+        np.bitwise_or.at(holds[number], k >> 3, (1 << (k & 7)).astype(np.uint8))
         vector = weighted[k].sum(axis=0)
         norm = np.linalg.norm(vector)
         if norm > 1e-6:
             groups[window_of(len(own))].append((number, vector / norm))
     latent = {size: (np.array([n for n, _ in g]), np.stack([v for _, v in g])) for size, g in groups.items()}
-    return Items(ids, words, terms, weighted, latent)
+    return Items(ids, [Item(own) for own in words], terms, weighted, latent, holds)
 
 
 def segments(begin: np.ndarray, most: int, reach: int) -> list[tuple[int, int, int]]:
@@ -286,85 +354,114 @@ def segments(begin: np.ndarray, most: int, reach: int) -> list[tuple[int, int, i
     return out
 
 
-def candidates(words: np.ndarray, begin: np.ndarray, items: Items) -> Iterator[tuple[int, int, float, int, int]]:
-    """(text, item number, cosine, start, size) of the windows close to an item.
+def candidates(term: np.ndarray, begin: np.ndarray, items: Items) -> list[np.ndarray]:
+    """Columns text, item number, cosine, start, size of the windows close to an item.
 
-    Texts lie one after the other with empty blocks between them, as many as the longest window
-    has, so a window never sees two.
+    ``term`` numbers the words of all texts (the size of the vocabulary: none of its). Texts lie
+    one after the other with empty blocks between them, as many as the longest window has, so a
+    window never sees two.
     """
     reach = max(items.latent, default=0)
     waiting: list[tuple[int, int, int]] = []
-    held = 0
+    held, found = 0, []
     for part in segments(begin, AT_ONCE, reach):
         waiting.append(part)
         held += part[2] - part[1] + reach
         if held >= AT_ONCE:
-            yield from _close(words, begin, waiting, items)
+            found += _close(term, begin, waiting, items)
             waiting, held = [], 0
     if waiting:
-        yield from _close(words, begin, waiting, items)
+        found += _close(term, begin, waiting, items)
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else []
 
 
-def _close(words: np.ndarray, begin: np.ndarray, parts: list[tuple[int, int, int]], items: Items):
+def _close(term: np.ndarray, begin: np.ndarray, parts: list[tuple[int, int, int]], items: Items) -> list[tuple[np.ndarray, ...]]:
     reach, rank = max(items.latent, default=0) // STEP, items.weighted.shape[1]
-    low = np.array([p[1] for p in parts])
-    sizes = np.array([p[2] for p in parts]) - low
+    text, low, high = np.array(parts).T
+    sizes = high - low
     first = np.cumsum(-(-sizes // STEP) + reach)
     total_blocks = int(first[-1])
     first = np.r_[0, first[:-1]]  # first block of each part
-    own = np.concatenate([words[a:b] for _, a, b in parts])
-    at, k = items.terms.find(own)
-    if not len(at):
-        return
-    ends = np.cumsum(sizes)
-    part = np.searchsorted(ends, at, side="right")
-    block = first[part] + (at - (ends - sizes)[part]) // STEP
-    edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     total = np.zeros((total_blocks + 1, rank), np.float32)
-    total[block[edge] + 1] = np.add.reduceat(items.weighted[k], edge, axis=0)
+    own = np.concatenate([term[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    place = np.arange(len(own)) + np.repeat(first * STEP - (np.cumsum(sizes) - sizes), sizes)
+    at = np.flatnonzero(own < len(items.terms.hashes))
+    own, place = own[at], place[at]
+    for k in range(STEP):  # a block has one word of each
+        here = np.flatnonzero(place % STEP == k)
+        total[place[here] // STEP + 1] += items.weighted[own[here]]
     np.cumsum(total, axis=0, out=total)
+    found = []
     for size, (numbers, vectors) in items.latent.items():
         wide = size // STEP
         start = np.arange(0, max(1, total_blocks - wide + 1), max(1, wide // 4))
         windows = total[np.minimum(start + wide, total_blocks)] - total[start]
         norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
         close = windows @ vectors.T
-        i, j = np.nonzero(close >= COSINE * np.maximum(norm, 1e-3)[:, None])
+        hit = np.flatnonzero(close >= COSINE * np.maximum(norm, 1e-3)[:, None])
+        i, j = np.divmod(hit, len(numbers))
         which = np.searchsorted(first, start[i], side="right") - 1
-        for x, y, p in zip(i.tolist(), j.tolist(), which.tolist(), strict=True):
-            text = parts[p][0]
-            yield text, int(numbers[y]), float(close[x, y] / norm[x]), int((start[x] - first[p]) * STEP + low[p] - begin[text]), size
+        begun = (start[i] - first[which]) * STEP + low[which] - begin[text[which]]
+        found.append((text[which], numbers[j], close.ravel()[hit] / norm[i], begun, np.full(len(hit), size)))
+    return found
+
+
+def shared_words(term: np.ndarray, low: np.ndarray, high: np.ndarray, number: np.ndarray, items: Items) -> np.ndarray:
+    """How many words of each stretch [low, high) its item has."""
+    out = np.zeros(len(low), np.int64)
+    wide = int((high - low).max(initial=0))
+    step = max(1, 10 * AT_ONCE // max(1, wide))
+    for a in range(0, len(low), step):
+        part = slice(a, a + step)
+        place = low[part, None] + np.arange(wide)
+        inside = place < high[part, None]
+        k = term[np.minimum(place, len(term) - 1)]
+        held = items.holds[number[part, None], k >> 3] >> (k & 7).astype(np.uint8) & 1
+        out[part] = (held.astype(bool) & inside).sum(axis=1)
+    return out
 
 
 def confirmed(texts: list[str | None], items: Items, reader: Reader) -> list[list[tuple]]:
     """Per text, (item id, cosine, share of common words, share of the answer, start, kind)."""
     words, begin = reader.read(texts)
-    places: dict[tuple[int, int], list] = defaultdict(list)
-    for text, number, cosine, start, size in candidates(words, begin, items):
-        places[text, number].append((-cosine, start, size))
+    term = np.full(len(words), len(items.terms.hashes))
+    at, k = items.terms.find(words)
+    term[at] = k
     out: list[list[tuple]] = [[] for _ in texts]
-    for (text, number), windows in sorted(places.items()):
-        item, best = items.words[number], None
-        own = words[begin[text] : begin[text + 1]]
-        answer = item[-max(1, round(ANSWER_WORDS * len(item))) :]
-        known = np.sort(item)
-        held = np.r_[0, np.cumsum(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)]
-        for cosine, start, size in sorted(windows):
-            low, high = min(len(own), max(0, start - size // 2)), min(len(own), start + size + size // 2)
-            if held[high] - held[low] < PARAPHRASE * len(item):
-                continue  # no subsequence is longer than the words in common
-            region = own[low:high]
-            share = common_length(item, region) / len(item)
-            if share < PARAPHRASE:
-                continue
-            told = common_length(answer, region) / len(answer)
-            kind = "copy" if share >= COPY else "paraphrase" if told >= ANSWER else None
-            if kind and (best is None or share > best[2]):
-                best = (items.ids[number], -cosine, share, told, start, kind)
-            if kind == "copy":
-                break
-        if best:
-            out[text].append(best)
+    found = candidates(term, begin, items)
+    if not found:
+        return out
+    text, number, cosine, start, size = found
+    low = np.minimum(begin[text] + np.maximum(0, start - size // 2), begin[text + 1])
+    high = np.minimum(begin[text] + start + size + size // 2, begin[text + 1])
+    # No subsequence is longer than the words in common.
+    least = PARAPHRASE * np.array([len(item.own) for item in items.items])
+    order = np.lexsort((size, start, -cosine, number, text))
+    order = order[shared_words(term, low[order], high[order], number[order], items) >= least[number[order]]]
+    columns = (c[order].tolist() for c in (text, number, cosine, start, low, high))
+    told_of, best, done = None, None, False
+    for of, n, cos, begun, a, b in zip(*columns, strict=True):
+        if (of, n) != told_of:
+            if best:
+                out[told_of[0]].append(best)
+            told_of, best, done = (of, n), None, False
+        if done:
+            continue
+        item = items.items[n]
+        common = item.common(words[a:b])
+        most, most_told = item.bounds(common)
+        if most < PARAPHRASE or (most < COPY and most_told < ANSWER) or (best and most <= best[2]):
+            continue
+        share = common_length(item.own, common) / len(item.own)
+        if share < PARAPHRASE:
+            continue
+        told = common_length(item.answer, common) / len(item.answer)
+        kind = "copy" if share >= COPY else "paraphrase" if told >= ANSWER else None
+        if kind and (best is None or share > best[2]):
+            best = (items.ids[n], cos, share, told, begun, kind)
+        done = kind == "copy"
+    if best:
+        out[told_of[0]].append(best)
     return out
 
 

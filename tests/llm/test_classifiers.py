@@ -201,13 +201,49 @@ def test_singular_vectors(spark):
     a *= idf
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     thin = np.random.default_rng(1).normal(size=(len(idf), 5))
-    assert latent._product(texts, terms, idf, thin) == pytest.approx(a.T @ a @ thin, rel=1e-3, abs=1e-3)
+    for most in (latent.SQUARE_TERMS, 0):  # both orders of multiplication
+        assert latent._product(texts, terms, idf, thin, most) == pytest.approx(a.T @ a @ thin, rel=1e-3, abs=1e-3)
     v = latent.singular_vectors(texts, terms, idf, rank=20)
     assert v.T @ v == pytest.approx(np.eye(20), abs=1e-6)
     exact = (np.linalg.svd(a, compute_uv=False)[:20] ** 2).sum()
     assert (np.linalg.norm(a @ v) ** 2) > 0.8 * exact  # a flat spectrum, the hardest case
 
 
+def test_bounds_of_the_confirmation_lose_nothing():
+    """All candidates, each confirmed by its subsequences alone, give the same leaks."""
+    pick = random.Random(21)
+    items = [prose(pick, pick.randrange(1, 50), 4) for _ in range(30)]
+    texts = [None, "", " \t"]
+    for k in range(120):
+        words = prose(pick, pick.randrange(0, 200), 4).split()
+        told = [w for w in items[k % 30].split() if pick.random() < (1, 0.8, 0.6)[k % 3]]
+        texts.append(" ".join(words[:40] + told + words[40:]))
+    hashes = WordHashes()
+    words = [hashes.of_plain(latent.folded(t)) for t in items]
+    terms = latent.Terms(np.unique(np.concatenate(words)))
+    vectors = np.linalg.qr(np.random.default_rng(2).normal(size=(len(terms.hashes), 40)))[0]
+    index = latent.index(list(range(30)), words, terms, np.ones(len(terms.hashes)), vectors)
+    reader = latent.Reader()
+    read, begin = reader.read(texts)
+    term = np.full(len(read), len(terms.hashes))
+    at, k = terms.find(read)
+    term[at] = k
+    expected = [{} for _ in texts]
+    for text, item, cosine, start, size in sorted(zip(*latent.candidates(term, begin, index), strict=True), key=lambda c: (c[0], c[1], -c[2], c[3], c[4])):
+        own = read[begin[text] : begin[text + 1]]
+        region = own[max(0, start - size // 2) : start + size + size // 2]
+        answer = words[item][-max(1, round(latent.ANSWER_WORDS * len(words[item]))) :]
+        share = latent.common_length(words[item], region) / len(words[item])
+        told = latent.common_length(answer, region) / len(answer)
+        kind = "copy" if share >= latent.COPY else "paraphrase" if share >= latent.PARAPHRASE and told >= latent.ANSWER else None
+        best = expected[text].get(int(item))
+        if kind and not (best and (best[-1] == "copy" or share <= best[1])):
+            expected[text][int(item)] = (int(item), share, told, int(start), kind)
+    got = [[(i, share, told, start, kind) for i, _, share, told, start, kind in found] for found in latent.confirmed(texts, index, reader)]
+    assert got == [list(e.values()) for e in expected]
+    assert {x[-1] for found in got for x in found} == {"copy", "paraphrase"}
+
+
 def test_leaks(spark):
     pick = random.Random(10)
     items = [(k, prose(pick, pick.randrange(15, 60))) for k in range(40)] + [(90, None), (91, ""), (None, "lost")]
