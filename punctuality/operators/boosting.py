@@ -2,14 +2,14 @@
 
 Numbers are cut at quantiles into at most 255 bins and one more for missing values; levels of a
 category are bins, what is rare, null or new shares the last. A round is a tree grown leaf by
-leaf, the leaf with the highest gain first. Its sums of gradients per (node, feature, bin) come
-from Spark, one pass for all nodes that may be split next; the driver only sees those sums.
+leaf, the leaf with the highest gain first. Its sums of gradients per (node, feature, bin) are
+added up by Spark, one pass for all nodes that may be split next. The task that adds a node's sums
+finds its best split; the driver sees that split and three totals per node, no sums.
 
 * A pass computes gradients from the trees so far, so nothing but the scores at the last
   checkpoint is stored. Scores are written to the shared folder every ``CHECKPOINT`` rounds.
 * Gradients are whole numbers (a fraction of 2**-30 of their range), so sums do not depend on
   the order of rows: the same trees come out for any partitioning and after any retry.
-* Of two sibling nodes the smaller is summed, the other is the difference to the parent.
 * Nulls take the side of a split that lowers the loss more; where a node has none, the larger.
 * ``fit_many`` fits models for all values of a key column in the same passes. A fit of few cells
   (``LOCAL_CELLS``, one task's share) is not worth a job per pass: its rows meet in one task,
@@ -22,13 +22,14 @@ import base64
 import io
 import json
 import uuid
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext, keyword_only
+from pyspark import RDD, StorageLevel, TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -44,11 +45,11 @@ from punctuality.session import materialised
 BINS = 256
 MISSING = BINS - 1
 #: Rows that are packed together, rounds between checkpoints of the scores, and the bytes of
-#: sums that tasks may send to the driver as they are. More are added up by a shuffle first.
-PACK_ROWS, CHECKPOINT, DIRECT_BYTES = 16_384, 20, 64 << 20
-#: Cells (rows x features) of a task, cells up to which a fit goes into one task as a whole, and
-#: bytes of scores that a Python worker remembers.
-TASK_CELLS, LOCAL_CELLS, MEMO_BYTES = 1 << 21, 1 << 21, 256 << 20
+#: sums that go directly to one task to be added. More are dealt over several tasks.
+PACK_ROWS, CHECKPOINT, DIRECT_BYTES = 65_536, 20, 4 << 20
+#: Cells (rows x features) of a task at most, at least where cores are free, and up to which a fit
+#: goes into one task as a whole; bytes of scores that a Python worker remembers.
+TASK_CELLS, LEAST_CELLS, LOCAL_CELLS, MEMO_BYTES = 1 << 24, 1 << 18, 1 << 21, 256 << 20
 _ONE = 1 << 30
 
 
@@ -101,16 +102,22 @@ class Tree:
     children: np.ndarray
     value: np.ndarray
 
-    def leaf(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(bins.shape[1], np.int32)
-        rows = np.arange(bins.shape[1])
-        while True:
-            inner = self.children[at, 0] >= 0
-            if not inner.any():
-                return at
-            here, own = at[inner], rows[inner]
-            left = self.goes_left[here, bins[self.feature[here], own]]
-            at[inner] = self.children[here, np.where(left, 0, 1)]
+    def parts(self, bins: np.ndarray, rows: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
+        """The rows of each leaf. ``rows`` of nodes further up, where they are known, is used up."""
+        open_ = {0: np.arange(bins.shape[1], dtype=np.int32)} if rows is None else rows
+        out = {}
+        while open_:
+            node, own = open_.popitem()
+            if self.children[node, 0] < 0:
+                out[node] = own
+                continue
+            left = self.goes_left[node][bins[self.feature[node]][own]]
+            open_[int(self.children[node, 0])], open_[int(self.children[node, 1])] = own[left], own[~left]
+        return out
+
+    def add(self, bins: np.ndarray, scores: np.ndarray) -> None:
+        for node, own in self.parts(bins).items():
+            scores[own] += self.value[node]
 
 
 def learn_bins(rows: DataFrame, fit: str, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, Bins]:
@@ -143,19 +150,30 @@ def _pack(rows: DataFrame, fit: str, label: str, bins: Mapping[str, Bins], start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        waiting: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def made(name: str, cut: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            packed = [cut.tobytes()], [labels.tobytes()], [np.full(len(labels), starts[name]).tobytes()]
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), *(pa.array(x, pa.binary()) for x in packed), pa.array([number])],
+                names=["fit", "bins", "label", "raw", "pack"],
+            )
+
         for batch in batches:
             frame = batch.to_pandas()
             for name, own in frame.groupby("_fit", sort=True):
-                for at in range(0, len(own), PACK_ROWS):
-                    part = own.iloc[at : at + PACK_ROWS]
-                    cut = bins[name].of([part[f] for f in features])
-                    labels = part["_label"].to_numpy(np.float64)
-                    packed = [cut.tobytes()], [labels.tobytes()], [np.full(len(part), starts[name]).tobytes()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), *(pa.array(x, pa.binary()) for x in packed), pa.array([number])],
-                        names=["fit", "bins", "label", "raw", "pack"],
-                    )
-                    number += 1
+                cut, labels = bins[name].of([own[f] for f in features]), own["_label"].to_numpy(np.float64)
+                if name in waiting:
+                    cut, labels = np.concatenate([waiting[name][0], cut], axis=1), np.concatenate([waiting[name][1], labels])
+                whole = len(labels) - len(labels) % PACK_ROWS
+                for at in range(0, whole, PACK_ROWS):
+                    yield made(name, cut[:, at : at + PACK_ROWS], labels[at : at + PACK_ROWS])
+                waiting[name] = cut[:, whole:], labels[whole:]
+        for name, (cut, labels) in waiting.items():
+            if len(labels):
+                yield made(name, cut, labels)
 
     levels = next(iter(bins.values())).levels
     typed = [F.col(f).cast("string" if f in levels else "double").alias(f) for f in features]
@@ -177,7 +195,8 @@ class _Growing:
     def __init__(self, settings: Settings, categories: np.ndarray, scale: float, ahead: bool = True):
         self.settings, self.categories, self.ahead = settings, categories, ahead
         self.units = np.array([scale, 1.0 if settings.loss == "squared" else scale, 1.0])
-        self.sums: dict[int, np.ndarray] = {}
+        self.sums: dict[int, np.ndarray] = {}  # of fits in one task
+        self.totals: dict[int, np.ndarray] = {}
         self.splits: dict[int, tuple] = {}
         self.made: dict[int, tuple[int, int]] = {}  # children that exist, taken or not
         self.taken: dict[int, None] = {}  # in the order in which they were split
@@ -192,6 +211,15 @@ class _Growing:
             return {0: -1}
         return {small: parent for parent, small in self.smaller.items() if small not in self.sums}
 
+    def asked(self) -> list[int]:
+        """Nodes whose splits are not known."""
+        return [n for n in (0, *(c for both in self.made.values() for c in both)) if n not in self.totals]
+
+    def told(self, found: Mapping[int, tuple]) -> None:
+        """Totals and best splits of the nodes that were asked for."""
+        for node in self.asked():
+            self.totals[node], self.splits[node] = found.get(node, (np.zeros(3), None))
+
     def take(self, found: Mapping[int, np.ndarray]) -> None:
         fresh = []
         for node, parent in self.wanted().items():
@@ -201,10 +229,8 @@ class _Growing:
                 other = sum(self.made[parent]) - node
                 self.sums[other] = self.sums[parent] - self.sums[node]
                 fresh.append(other)
-        # A node of fewer rows than two leaves stays one.
-        able = [n for n in fresh if self.sums[n][0, :, 2].sum() >= 2 * self.settings.leaf_rows]
-        self.splits.update(dict.fromkeys(fresh))
-        self.splits.update(zip(able, best_splits([self.sums[n] / self.units for n in able], self.categories, self.settings), strict=True))
+        for node, (total, split) in zip(fresh, _judged([self.sums[n] for n in fresh], self.units, self.categories, self.settings), strict=True):
+            self.totals[node], self.splits[node] = total, split
 
     def grow(self) -> bool:
         """Split leaves as far as sums are known; False when the tree is done."""
@@ -253,11 +279,18 @@ class _Growing:
     def done(self) -> Tree:
         tree = self._tree(list(self.taken))
         for node in self.leaves:
-            g, h, _ = self.sums[node][0].sum(0) / self.units
+            g, h, _ = self.totals[node]
             tree.value[self.number[node]] = -self.settings.rate * g / (h + self.settings.penalty) if h > 0 else 0.0
         return tree
 
 
+def _judged(sums: Sequence[np.ndarray], units: np.ndarray, categories: np.ndarray, settings: Settings) -> list[tuple]:
+    """(totals, best split) of nodes. A node of fewer rows than two leaves stays one."""
+    able = [i for i, own in enumerate(sums) if own[0, :, 2].sum() >= 2 * settings.leaf_rows]
+    splits = dict(zip(able, best_splits([sums[i] / units for i in able], categories, settings), strict=True))
+    return [(own[0].sum(0) / units, splits.get(i)) for i, own in enumerate(sums)]
+
+
 def best_splits(sums: Sequence[np.ndarray], categories: np.ndarray, settings: Settings) -> list[tuple | None]:
     """(gain, feature, which bins go left, rows left, rows right) of each node, None without gain.
 
@@ -312,78 +345,96 @@ def _gains(g, h, n, all_g, all_h, all_n, settings: Settings) -> np.ndarray:
     return np.where(fine, gain, -np.inf)
 
 
-def _node_sums(tree: Tree, nodes: Sequence[int], bins: np.ndarray, label: np.ndarray, raw: np.ndarray, loss: str, scale: float) -> np.ndarray:
-    """Sums of some rows per wanted node, feature and bin. Wanted nodes have no children yet."""
-    places = np.full(len(tree.feature), -1)
-    places[nodes] = np.arange(len(nodes))
-    place = places[tree.leaf(bins)]
-    inside = place >= 0
-    g, h = _slopes(loss, label[inside], raw[inside], scale)
-    size, place = len(nodes) * BINS, place[inside] * BINS
-    total = np.zeros((len(nodes), len(bins), BINS, 3), np.int64)
-    for f in range(len(bins)):
-        slot = place + bins[f, inside]
-        for k, weight in enumerate((g, h, None)):
-            total[:, f, :, k] = np.bincount(slot, weight, size).astype(np.int64).reshape(-1, BINS)
+def _node_sums(rows: np.ndarray, bins: np.ndarray, slopes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of some rows per feature and bin."""
+    own = [w[rows] for w in slopes]
+    total = np.empty((len(bins), BINS, 3), np.int64)
+    for f, column in enumerate(bins):
+        slot = column[rows].astype(np.intp)
+        for k, weight in enumerate((*own, None)):
+            total[f, :, k] = np.bincount(slot, weight, BINS)
     return total
 
 
-_SUMS = pa.schema([("fit", pa.string()), ("node", pa.int32()), ("sums", pa.binary())])
-
-
-#: (run, pack) -> trees that are in, scores. A worker that has seen a pack before adds only the
-#: trees since; the memo is emptied when full and decides nothing.
-_MEMO: dict[tuple, tuple[int, np.ndarray]] = {}
-
-
-def _scores(key: tuple, raw: bytes, bins: np.ndarray, kept: int, trees: Sequence[Tree]) -> np.ndarray:
-    """Scores of a pack after ``kept`` stored trees and the ``trees`` since."""
-    done, scores = _MEMO.get(key, (-1, None))
-    if not kept <= done <= kept + len(trees):
-        done, scores = kept, np.frombuffer(raw)
-    scores = scores.copy()
-    for tree in trees[done - kept :]:
-        scores += tree.value[tree.leaf(bins)]
-    if sum(len(x) for _, x in _MEMO.values()) * 8 > MEMO_BYTES:
+@dataclass
+class _Pack:
+    """What a worker remembers of a pack: scores and slopes, and the rows of the open nodes of a tree."""
+
+    trees: int
+    scores: np.ndarray
+    slopes: tuple[np.ndarray, np.ndarray]
+    rows: dict[int, np.ndarray]
+
+
+#: (run, pack) -> state. A worker that has seen a pack before adds only the trees since, and splits
+#: only the nodes opened since; the memo is emptied when full and decides nothing.
+_MEMO: dict[tuple, _Pack] = {}
+
+
+def _state(key: tuple, raw: bytes, label: np.ndarray, bins: np.ndarray, kept: int, trees: Sequence[Tree], tree: Tree, loss: str, scale: float) -> _Pack:
+    """A pack after ``kept`` stored trees and the ``trees`` since, its rows dealt to the leaves of ``tree``."""
+    own = _MEMO.pop(key, None)
+    if own is None or not kept <= own.trees <= kept + len(trees):
+        own = _Pack(kept, np.frombuffer(raw).copy(), (), {})
+    if own.trees < kept + len(trees) or not own.rows:
+        for past in trees[own.trees - kept :]:
+            past.add(bins, own.scores)
+        own = _Pack(kept + len(trees), own.scores, _slopes(loss, label, own.scores, scale), {0: np.arange(len(label), dtype=np.int32)})
+    own.rows = tree.parts(bins, own.rows)
+    if sum(len(x.scores) for x in _MEMO.values()) * 28 > MEMO_BYTES:
         _MEMO.clear()
-    _MEMO[key] = kept + len(trees), scores
-    return scores
+    _MEMO[key] = own
+    return own
 
 
-def _added(packs: DataFrame, run_id: str, kept: Mapping[str, int], trees: Mapping[str, Sequence[Tree]], growing: Mapping[str, _Growing], loss: str, scales: Mapping[str, float], tasks: int) -> dict[str, dict[int, np.ndarray]]:
-    """One pass: sums per feature and bin of all wanted nodes of all fits."""
-    asked = {fit: (g.opened(), list(g.wanted())) for fit, g in growing.items()}
-    features = len(next(iter(growing.values())).categories)
+def _told(packs: RDD, run_id: str, kept: Mapping[str, int], trees: Mapping[str, Sequence[Tree]], growing: Mapping[str, _Growing], settings: Settings, scales: Mapping[str, float], tasks: int) -> dict[str, dict[int, tuple]]:
+    """One pass: totals and best splits of all nodes that are asked for, of all fits."""
+    asked = {fit: (g.opened(), g.asked()) for fit, g in growing.items()}
+    categories = {fit: g.categories for fit, g in growing.items()}
+    units = {fit: g.units for fit, g in growing.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for fit, packed, label, raw, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if fit not in asked:
-                    continue
-                label = np.frombuffer(label)
-                bins = np.frombuffer(packed, np.uint8).reshape(-1, len(label))
-                raw = _scores((run_id, pack), raw, bins, kept[fit], trees[fit])
-                totals[fit] = totals.get(fit, 0) + _node_sums(*asked[fit], bins, label, raw, loss, scales[fit])
-        rows = [(fit, node, total[i].tobytes()) for fit, total in totals.items() for i, node in enumerate(asked[fit][1])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SUMS, strict=True)], schema=_SUMS)
-
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in group["sums"].to_pylist())
-        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()])], schema=_SUMS)
-
-    ddl = "fit string, node int, sums binary"
-    sums = packs.mapInArrow(run, ddl)
-    if tasks * sum(len(nodes) for _, nodes in asked.values()) * features * BINS * 24 > DIRECT_BYTES:
-        sums = sums.groupBy("fit", "node").applyInArrow(add, ddl)
-    out: dict[str, dict[int, np.ndarray]] = {fit: {} for fit in growing}
-    for row in sums.toArrow().to_pylist():
-        own = np.frombuffer(row["sums"], np.int64).reshape(features, BINS, 3)
-        out[row["fit"]][row["node"]] = out[row["fit"]].get(row["node"], 0) + own
+    def summed(rows: Iterator[tuple]) -> Iterator[tuple]:
+        totals: dict[tuple, np.ndarray] = {}
+        for fit, packed, label, raw, pack in rows:
+            if fit not in asked:
+                continue
+            tree, nodes = asked[fit]
+            label = np.frombuffer(label)
+            bins = np.frombuffer(packed, np.uint8).reshape(-1, len(label))
+            own = _state((run_id, pack), raw, label, bins, kept[fit], trees[fit], tree, settings.loss, scales[fit])
+            for node in nodes:
+                if len(own.rows[node]):
+                    found = _node_sums(own.rows[node], bins, own.slopes)
+                    if (fit, node) in totals:
+                        totals[fit, node] += found
+                    else:
+                        totals[fit, node] = found
+        for key, total in totals.items():
+            yield key, total.tobytes()
+
+    def judged(rows: Iterator[tuple]) -> Iterator[tuple]:
+        totals: dict[tuple, np.ndarray] = {}
+        for key, part in rows:
+            part = np.frombuffer(part, np.int64).reshape(len(categories[key[0]]), BINS, 3)
+            totals[key] = totals[key] + part if key in totals else part
+        for (fit, node), total in totals.items():
+            (whole, split), = _judged([total], units[fit], categories[fit], settings)
+            yield fit, node, whole, split
+
+    keys = sum(len(nodes) for _, nodes in asked.values())
+    size = keys * len(next(iter(categories.values()))) * BINS * 24 * tasks
+    meet = min(keys, tasks, 1 + size // max(DIRECT_BYTES, 1))
+    out: dict[str, dict[int, tuple]] = {fit: {} for fit in growing}
+    for fit, node, whole, split in packs.mapPartitions(summed).partitionBy(meet, _place).mapPartitions(judged).collect():
+        out[fit][node] = whole, split
     return out
 
 
+def _place(key: tuple) -> int:
+    """Where a node's sums meet: numbers that follow each other go to different tasks."""
+    return key[1] + zlib.crc32(key[0].encode())
+
+
 def _rescored(packs: DataFrame, trees: Mapping[str, Sequence[Tree]]) -> DataFrame:
     """Packs with the trees' values added to the scores."""
 
@@ -393,8 +444,9 @@ def _rescored(packs: DataFrame, trees: Mapping[str, Sequence[Tree]]) -> DataFram
             scores = []
             for fit, own, raw in zip(fits, packed, raws, strict=True):
                 raw = np.frombuffer(raw).copy()
+                bins = np.frombuffer(own, np.uint8).reshape(-1, len(raw))
                 for tree in trees[fit]:
-                    raw += tree.value[tree.leaf(np.frombuffer(own, np.uint8).reshape(-1, len(raw)))]
+                    tree.add(bins, raw)
                 scores.append(raw.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.binary()), batch.column(4)], names=batch.schema.names)
 
@@ -414,7 +466,7 @@ class Boosted:
         bins = self.bins[fit].of(columns)
         out = np.full(bins.shape[1], self.starts[fit])
         for tree in self.trees[fit]:
-            out += tree.value[tree.leaf(bins)]
+            tree.add(bins, out)
         return out
 
     def column(self, fit=None):
@@ -538,16 +590,18 @@ def _small_fits(packs: DataFrame, model: Boosted, scales: Mapping[str, float]) -
         model.trees[row["fit"]] = Boosted.loads(row["state"]).trees[row["fit"]]
 
 
-def _held(packs: DataFrame, tasks: int) -> DataFrame:
-    """Packs written to the shared folder and kept in memory, dealt evenly over ``tasks``."""
-    return materialised(packs.repartition(tasks, "pack"), "boosting-packs").coalesce(tasks).persist()
+def _held(packs: DataFrame, tasks: int) -> tuple[DataFrame, RDD]:
+    """Packs written to the shared folder, and kept in memory, dealt evenly over ``tasks``."""
+    stored = materialised(packs, "boosting-packs")
+    return stored, stored.repartition(tasks).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), settings: Settings = Settings()) -> Boosted:
     """One model for each value of the text column ``fit``, all in the same passes over ``rows``.
 
-    Rows without a label or a key are left out. The driver holds the sums of open nodes:
-    fits x leaves x features x 6 KB, whatever the rows.
+    Rows without a label or a key are left out. The driver holds the trees, whatever the rows. A
+    pass has as many tasks as there are cores, more for very many rows, so that the sums that are
+    shuffled grow with the cores, not with the rows.
     """
     rows = rows.select(F.col(fit).cast("string").alias(fit), label, *categorical, *numeric).na.drop(subset=[fit, label])
     rows = materialised(rows, "boosting-rows")
@@ -558,14 +612,17 @@ def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], cate
     model = Boosted(settings, bins, starts, {name: [] for name in bins})
     cells = {name: own.rows * len(own.features) for name, own in bins.items()}
     small = [name for name in bins if cells[name] <= LOCAL_CELLS]
-    packs = _pack(rows, fit, label, bins, starts)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    dealt = min(cores, sum(cells.values()) // LEAST_CELLS)
+    packs = _pack(rows.repartition(dealt) if len(small) < len(bins) and dealt > 1 else rows, fit, label, bins, starts)
     if small:
         _small_fits(packs.where(F.col("fit").isin(small)), model, scales)
     live = set(bins) - set(small)
     if not live:
         return model
-    tasks = 1 + sum(cells[name] for name in live) // TASK_CELLS
-    packs = _held(packs.where(F.col("fit").isin(list(live))), tasks)
+    whole = sum(cells[name] for name in live)
+    tasks = 1 + max(whole // TASK_CELLS, min(whole // LEAST_CELLS, cores - 1))
+    packs, held = _held(packs.where(F.col("fit").isin(list(live))), tasks)
     run_id = uuid.uuid4().hex
     kept = dict.fromkeys(live, 0)  # trees that the stored scores contain
     for n in range(1, settings.rounds + 1):
@@ -573,9 +630,9 @@ def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], cate
         since = {name: model.trees[name][kept[name] :] for name in kept}
         open_ = dict(growing)
         while open_:
-            found = _added(packs, run_id, kept, since, open_, settings.loss, scales, tasks)
+            found = _told(held, run_id, kept, since, open_, settings, scales, tasks)
             for name, own in list(open_.items()):
-                own.take(found[name])
+                own.told(found[name])
                 if not own.grow():
                     del open_[name]
         for name, own in growing.items():
@@ -587,10 +644,10 @@ def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], cate
             break
         if n % CHECKPOINT == 0 and n < settings.rounds:
             since = {name: model.trees[name][kept[name] :] for name in kept}
-            old, packs = packs, _held(_rescored(packs, since), tasks)
-            old.unpersist()
+            held.unpersist()
+            packs, held = _held(_rescored(packs, since), tasks)
             kept = {name: len(model.trees[name]) for name in kept}
-    packs.unpersist()
+    held.unpersist()
     return model
 
 

@@ -26,6 +26,7 @@ from punctuality.operators.scoring_metrics import (
     score_histogram,
 )
 from punctuality.operators.splits import by_month, stratified_by_month, train_test
+from punctuality.session import materialised
 from punctuality.sources.tables import save_bundle
 
 # Smallest level of the one-hot encoding, solver iterations, boosting rounds and
@@ -233,6 +234,7 @@ def calibration_comparison(
         isotonic = fit_isotonic(held.select("label", raw))
         one = isotonic_scores(isotonic, test.select("label", raw)).select(F.lit(name).alias("holdout"), "label", "prob", "mapped")
         scores = one if scores is None else scores.unionByName(one)
+    scores = materialised(scores, "calibrated")  # the models score the test rows once
     stages = F.inline(
         F.array(
             F.struct(F.lit("raw").alias("stage"), F.col("prob").alias("p")),

@@ -15,6 +15,8 @@ from punctuality.contract import FLIGHTS, PARTITION_COLUMNS, raw_schema
 from punctuality.functions.casts import typed
 from punctuality.operators.quality import cast_counts, cast_report
 
+#: Rows of a file of the model table at most.
+MODEL_FILE_ROWS = 100_000
 CONTRACT_TYPES = {f.name: f.dataType.simpleString() for f in FLIGHTS.fields}
 
 
@@ -46,26 +48,33 @@ def write_table(
     mode: str = "overwrite",
     *,
     rebalance: bool = False,
+    file_rows: int = 0,
 ) -> None:
     """Partitioned Parquet, ZSTD. Overwriting replaces only the partitions that are written.
 
     ``rebalance`` is for rows that are not yet grouped by the partition columns: one shuffle
     in which the adaptive planner merges small partitions and splits a hot one, instead of a
-    file per task and partition.
+    file per task and partition. ``file_rows`` bounds the rows of a file (0: no bound), for
+    tables whose rows cost more to work on than to read.
     """
     df = df.hint("rebalance", *partition_by) if rebalance else df
     (
         df.write.partitionBy(*partition_by)
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", file_rows)
         .mode(mode)
         .parquet(path)
     )
 
 
 def write_model_table(table: DataFrame, path: str) -> None:
-    """Model rows by year. They come out of a shuffle by vehicle, hence the rebalance."""
-    write_table(table, path, ["year"], rebalance=True)
+    """Model rows by year. They come out of a shuffle by vehicle, hence the rebalance.
+
+    A file is one read task, and scoring a row takes a model's time: files of bounded rows let
+    a year be scored by many tasks, however well it compresses.
+    """
+    write_table(table, path, ["year"], rebalance=True, file_rows=MODEL_FILE_ROWS)
 
 
 @dataclass(frozen=True)

@@ -171,3 +171,17 @@ def test_bins_of_many_values_are_bounded(spark):
 
     out = bins.of([pd.Series([None, -5.0, 1e9, math.nan, 300.0])])[0].tolist()
     assert out[0] == out[3] == MISSING and out[1] == 0 and out[2] == len(bins.cuts["a"]) and 0 < out[4] < out[2]
+
+
+def test_the_driver_gets_splits_and_no_sums(spark, monkeypatch):
+    """What a pass sends to the driver does not follow features, bins or tasks."""
+    import pickle
+
+    sent, told = [], boosting._told
+    monkeypatch.setattr(boosting, "_told", lambda *x: sent.append(told(*x)) or sent[-1])
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(boosting, "LEAST_CELLS", 200)
+    monkeypatch.setattr(boosting, "PACK_ROWS", 50)
+    fit_many(frame(spark, rows_of(4, 400, "one")), "fit", "label", NUMBERS, LEVELS, Settings(rounds=2, leaf_rows=5))
+    nodes = [x for found in sent for x in found["one"].values()]
+    assert len(nodes) > 10 and max(len(pickle.dumps(x)) for x in nodes) < 2000  # sums: 5 features x 6 KB
