@@ -12,7 +12,7 @@ from punctuality.registry import legs as leg_queries
 from punctuality.registry import rates as rate_queries
 from punctuality.registry.rates import RECENT_SQL
 from punctuality.registry.shared import comparable, with_ctes
-from punctuality.session import shared_folder
+from punctuality.session import materialised, shared_folder
 from punctuality.streaming import scoring
 from punctuality.streaming.priors import recent_rates_stream
 from punctuality.streaming.rotation import previous_leg_stream
@@ -116,9 +116,9 @@ def _stream(spark, sf_dir):
     batch = _requests(spark, sf_dir)
     batch.write.option("maxRecordsPerFile", 5_000).parquet(arrived)
     stream = scoring.request_stream(spark, arrived, batch.schema)
-    scored = scoring.score_requests(
-        stream, _priors(spark, sf_dir), scoring.prior_predictor(BASE_RATE), keep=("row_key",)
-    )
+    # Written once: a stream plans its static side anew for every trigger, from the facts otherwise.
+    priors = materialised(_priors(spark, sf_dir), "priors")
+    scored = scoring.score_requests(stream, priors, scoring.prior_predictor(BASE_RATE), keep=("row_key",))
     scoring.run_available(_answers(scored), out, state)
     return comparable(spark.read.parquet(out))
 

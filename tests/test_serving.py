@@ -78,3 +78,12 @@ def test_stream_answers_each_request_once(spark, tmp_path):
     stream = scoring.request_stream(spark, arrived, first.schema)
     scoring.run_available(scoring.score_requests(stream, priors(spark), scoring.prior_predictor(0.2)), out, state)
     assert spark.read.parquet(out).select(F.sum("distance")).first()[0] == 6.0
+
+
+def test_a_trigger_does_not_read_the_facts_again(spark, sf_dir, monkeypatch):
+    from punctuality.registry import serving
+
+    read, scored = [], serving.scoring.score_requests
+    monkeypatch.setattr(serving.scoring, "score_requests", lambda rows, priors, *x, **y: read.extend(priors.inputFiles()) or scored(rows, priors, *x, **y))
+    assert serving._stream(spark, sf_dir).count() > 0
+    assert read and not any("orders.parquet" in f for f in read)
