@@ -8,8 +8,9 @@ there. Two sets of similarity at or above the threshold share at least one child
 every level. Nodes of at most ``LEAF`` sets end there
 and their sets are compared exhaustively; larger ones branch again. Independent trees repeat
 this to the target recall. Nodes that branching does not split (very many alike sets) are dealt
-to leaves by hash, each leaf with the node's pivot, so that alike sets stay connected. Small
-nodes of a level with the same sets are one leaf.
+to leaves by hash, each leaf with the node's pivot, so that alike sets stay connected; the sets
+that are not like the pivot meet all sets of the node, block by block, so no pair of a node is
+left out. Small nodes of a level with the same sets are one leaf.
 
 The leaves compare signatures and give, per leaf, a spanning forest of the likely links (no
 more edges than sets, whatever the size of a group). Its components are small groups that hold
@@ -39,6 +40,8 @@ from punctuality.llm.texts import KEY, WordHashes, keyed, map_groups, map_rows,
 #: (about four standard deviations).
 SIGNATURE, MARGIN = 64, 0.19
 TREES, DEPTH, LEAF = 8, 5, 64
+#: Sets of each side of a block of a node that branching does not split.
+REST = 256
 #: Sets, and shingles in all, of a group that is confirmed as a whole in one task.
 GROUP, GROUP_SHINGLES = 3000, 1_500_000
 #: The same of a block of a larger group.
@@ -138,8 +141,8 @@ def _branches(rows: DataFrame, level: int, threshold: float, trees: int) -> Data
     return map_rows(rows.select("node", "set_id", "signature"), start, "node long, set_id long")
 
 
-def _leaves(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """(leaf, set_id): the sets of every leaf of all trees.
+def _leaves(sets: DataFrame, threshold: float, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, set_id): the sets of every leaf of all trees, and those of the blocks of large nodes.
 
     Sizes are counted before rows move; only rows of nodes that hold two sets or more go on, and
     of small nodes that hold the same sets, by two 64-bit digests, one.
@@ -157,7 +160,7 @@ def _leaves(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
         found = leaves if found is None else found.union(leaves)
         large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
-            return found
+            return found, None
         rows = large.join(sets.select("set_id", "signature"), "set_id")
     # Alike sets: leaves by hash, each with the node's pivot.
     width = LEAF // 2
@@ -167,7 +170,38 @@ def _leaves(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
     pivots = large.groupBy("node").agg(F.min("set_id").alias("set_id"), F.max("size").alias("size"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")
     pivots = pivots.select("node", "set_id", each).select(F.xxhash64("node", "chunk").alias("leaf"), "set_id")
-    return found.union(dealt.union(pivots))
+    return found.union(dealt.union(pivots)), _rest(large, sets, threshold)
+
+
+def _rest(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(leaf, set_id): blocks in which all pairs of a large node lie that its pivot does not join.
+
+    Sets that are like the pivot are linked over it. The others, dealt to ``REST`` at a time, meet
+    all sets of the node, as many at a time: work grows with them, not with the square of the node.
+    """
+    short = sets.select("set_id", F.col("n").cast("int"), F.substring("signature", 1, SIGNATURE).alias("short"))
+    pivots = large.groupBy("node").agg(F.min("set_id").alias("set_id")).join(short, "set_id")
+    pivots = pivots.select("node", F.col("n").alias("pivot_n"), F.col("short").alias("pivot"))
+    least = threshold - MARGIN
+
+    def start():
+        def each(node, key, size, n, sig, pivot_n, pivot):
+            alike = np.frombuffer(sig, np.uint8) == np.frombuffer(pivot, np.uint8)
+            if alike.mean() < least or min(n, pivot_n) < threshold * max(n, pivot_n):
+                yield node, key, size
+
+        return each
+
+    rows = large.join(short, "set_id").join(pivots, "node").select("node", "set_id", "size", "n", "short", "pivot_n", "pivot")
+    apart = shared(map_rows(rows, start, "node long, set_id long, size long"))
+    blocks = lambda many: F.ceil(F.col(many) / REST)
+    cell = lambda many: F.pmod(F.xxhash64("node", "set_id"), blocks(many))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), blocks(many) - 1))
+    few = apart.groupBy("node").agg(F.count(F.lit(1)).alias("few"))
+    left = apart.join(few, "node").select("node", "set_id", "size", cell("few").alias("x")).select("node", "set_id", "x", every("size").alias("y"))
+    right = large.join(few, "node").select("node", "set_id", "few", cell("size").alias("y")).select("node", "set_id", every("few").alias("x"), "y")
+    name = F.xxhash64(F.lit("rest"), "node", "x", "y").alias("leaf")
+    return left.select(name, "set_id").union(right.select(name, "set_id")).distinct()
 
 
 def alike_pairs(leaf: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, least: float, ratio: float) -> list[tuple[int, int]]:
@@ -331,8 +365,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees:
         F.min(F.struct("a", "b")).alias("key"),
     )
     nodes = shared(nodes.withColumn("set_id", F.monotonically_increasing_id()))  # written, so a set keeps its number
-    leaves = shared(_leaves(nodes, threshold, trees))
-    likely = _likely(leaves, nodes, threshold - MARGIN, threshold)
+    leaves, rest = _leaves(nodes, threshold, trees)
+    leaves = shared(leaves)
+    likely = _likely(leaves if rest is None else leaves.union(rest), nodes, threshold - MARGIN, threshold)
     groups = components(likely)
     members = groups.select(F.col("node").alias("set_id"), F.col("root").alias("group")).join(nodes.select("set_id", "n", "key"), "set_id")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))

@@ -206,3 +206,22 @@ def test_cut_repeats_keeps_columns(spark, repeats):
     assert cut.columns == docs.columns
     left = sorted((str(r.doc_id), hashlib.sha256(b" ".join(words_of(r.text))).hexdigest()) for r in cut.collect())
     assert left == sorted((i, sha) for i, _, _, sha in digest(repeats, 35))
+
+
+def test_a_node_that_does_not_split_keeps_all_its_pairs(spark, monkeypatch):
+    """Six kinds of alike sets share single tokens, so they meet in large nodes with one pivot."""
+    monkeypatch.setattr(chosen_paths, "LEAF", 4)
+    monkeypatch.setattr(chosen_paths, "DEPTH", 1)
+    monkeypatch.setattr(chosen_paths, "REST", 16)
+    pick = random.Random(8)
+    rows = []
+    for kind in range(6):
+        low = bytes(0 if pick.random() < 0.6 else kind + 1 for _ in range(chosen_paths.SIGNATURE))
+        rows += [(20 * kind + i, 100, low + bytes(chosen_paths.SIGNATURE)) for i in range(20)]
+    sets = spark.createDataFrame(rows, "set_id long, n long, signature binary")
+    leaves, rest = chosen_paths._leaves(sets, 0.8, 1)
+    links = chosen_paths._likely(leaves.union(rest), sets, 0.8 - chosen_paths.MARGIN, 0.8)
+    root = {r.node: r.root for r in components(links).collect()}
+    assert [root.get(i) for i in range(120)] == [20 * (i // 20) for i in range(120)]
+    dealt = chosen_paths._likely(leaves, sets, 0.8 - chosen_paths.MARGIN, 0.8)
+    assert components(dealt).select("root").distinct().count() > 6 or components(dealt).count() < 120  # leaves alone lose some
