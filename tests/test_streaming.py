@@ -92,3 +92,12 @@ def test_requests_meet_the_rate_of_the_day_before(spark, tmp_path):
     scoring.run_available(requests_with_recent_rate(read("asked"), rates), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r.row: r.origin_prior_rate for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: None, 1: 0.0, 2: 0.5, 3: 0.5, 4: 0.5, 5: 0.5, 6: None, 7: None}
+
+
+def test_vehicles_share_states(spark, tmp_path):
+    """Many vehicles of few legs are few states, and keep their own order."""
+    legs = [(f"T{t}", DAY + timedelta(d), "0900", "F", "A", "B", float(10 * t + d), "x") for t in range(300) for d in (0, 1)]
+    closing = [("end", DAY + timedelta(20), "0000", "F", "A", "B", None, "x")]
+    got, _ = feed(spark, tmp_path, [legs, closing], LEGS, lambda s: previous_leg_stream(s, buckets=7))
+    assert Counter(tuple(r) for r in got.select(*NAMES, "prev_arr_delay").collect()) == in_batch(legs)
+    assert spark.read.format("statestore").load(str(tmp_path / "state")).count() <= 8
