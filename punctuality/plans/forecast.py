@@ -119,6 +119,8 @@ def forecast_report(
     seasonal autoregression too.
     """
     before = F.col("date") < F.lit(first_test_date)
+    # One row per series and day, written once: the report reads them some twenty times.
+    national, by_series = materialised(national, "national"), materialised(by_series, "by-series")
     sets = (("national", national, None), ("by series", by_series, key))
     parts = {}
     for name, frame, group in sets:
