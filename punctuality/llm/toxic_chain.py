@@ -54,7 +54,11 @@ def grams(word: bytes) -> tuple[str, ...]:
     return (core + "=", *{core[i : i + GRAM] for i in range(max(1, len(core) - GRAM + 1))})
 
 
-@functools.lru_cache(maxsize=2)
+#: Words that a worker remembers with their features; one model's memo at a time.
+FEATURE_WORDS = 200_000
+
+
+@functools.lru_cache(maxsize=1)
 def _features_of_words(chosen: tuple[str, ...]) -> Remembered:
     """Numbers of the chosen grams in a word; one memo for all tasks of a Python worker."""
     features = {gram: i for i, gram in enumerate(chosen)}
@@ -62,7 +66,7 @@ def _features_of_words(chosen: tuple[str, ...]) -> Remembered:
     def of(word: bytes) -> tuple[int, ...]:
         return tuple([features[g] for g in grams(word) if g in features])
 
-    return Remembered(of)
+    return Remembered(of, FEATURE_WORDS)
 
 
 def features_in(text: str | None, known: Remembered) -> list[int]:

@@ -480,3 +480,14 @@ def test_five_stages_run(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 0 and got.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 4096
+
+
+def test_a_worker_remembers_the_words_of_one_model():
+    from punctuality.llm import toxic_chain as chain_module
+
+    first = chain_module._features_of_words(("^a$=",))
+    second = chain_module._features_of_words(("^b$=",))
+    assert second[b"b"] == (0,) and chain_module._features_of_words.cache_info().currsize == 1
+    for k in range(2 * chain_module.FEATURE_WORDS):
+        first[b"%d" % k]
+    assert len(first) + len(first.older) <= chain_module.FEATURE_WORDS
