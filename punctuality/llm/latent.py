@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from punctuality.llm.licenses import plain
-from punctuality.llm.texts import SLICE_ROWS, WordHashes, map_blocks, row_key, small_batches, word_edges, word_values
+from punctuality.llm.texts import SLICE_ROWS, WordHashes, begun, map_blocks, row_key, small_batches, word_edges, word_values
 
 PASSAGE, RANK, EXTRA, STEP = 32, 112, 16, 4
 COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.5, 0.8
@@ -96,7 +96,7 @@ def _summed(texts: DataFrame, start: Callable, schema: str) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each, end = start()
+        each, end = begun(start)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 each(batch.column(0).slice(at, SLICE_ROWS).to_pylist())

@@ -15,7 +15,6 @@ pieces of their length; ranks come from counts per hash cell, so no task sees a
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
 import zlib
@@ -27,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctuality.llm.texts import Remembered, map_rows, shared, words_of
+from punctuality.llm.texts import Remembered, map_rows, shared, words_of, worker_memo
 from punctuality.llm.word_counts import byte_symbols
 
 CAPACITY = 4096
@@ -61,9 +60,9 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return map_rows(docs.select("doc_id", "text"), start, PIECES)
 
 
-@functools.cache
+@worker_memo
 def _known_words(path: str) -> Remembered:
-    """One memo for all tasks of a Python worker."""
+    """One memo for all tasks of a Python worker, until tasks of other kinds run there."""
     return Remembered(word_encoder(path))
 
 

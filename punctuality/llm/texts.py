@@ -7,6 +7,7 @@ texts at a time, and their caches are emptied when full: they speed up, they dec
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -52,6 +53,41 @@ class Remembered(dict):
         return value
 
 
+_MEMOS: list = []
+_ASKED: set = set()
+
+
+def worker_memo(make: Callable) -> Callable:
+    """One value for all tasks of a Python worker, the last that was asked for.
+
+    Workers live as long as the session, so a task lets go of what it does not ask for itself
+    (``begun``): the memo of one operator must not lie beside those of the next ones.
+    """
+    made = functools.lru_cache(maxsize=1)(make)
+    _MEMOS.append(made)
+
+    @functools.wraps(make)
+    def asked(*key):
+        for other in _MEMOS:
+            if other is not made:
+                other.cache_clear()
+        _ASKED.add(made)
+        return made(*key)
+
+    asked.cache_info = made.cache_info
+    return asked
+
+
+def begun(start: Callable[[], object] = lambda: None):
+    """What ``start`` gives; memos of the worker that it does not ask for are let go."""
+    _ASKED.clear()
+    out = start()
+    for made in _MEMOS:
+        if made not in _ASKED:
+            made.cache_clear()
+    return out
+
+
 class WordHashes:
     """64-bit hashes of the words of a text, and of windows of words.
 
@@ -152,7 +188,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = start()
+        each = begun(start)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
@@ -172,7 +208,7 @@ def map_blocks(df: DataFrame, start: Callable[[], Callable[[list], dict | None]]
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = start()
+        each = begun(start)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 made = each([c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns])
@@ -192,6 +228,7 @@ def map_groups(df: DataFrame, key: str, made: Callable[[pa.Table], pa.RecordBatc
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         rest = None
         for batch in batches:
             if not batch.num_rows:
@@ -252,6 +289,7 @@ def sifted(df: DataFrame, bits: np.ndarray, *columns: str, inside: bool = True)
     slot = F.pmod(F.xxhash64(*[F.col(c).cast("long") for c in columns]), F.lit(SIEVE_SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         for batch in batches:
             at = batch.column(len(names)).to_numpy()
             hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
@@ -285,7 +323,7 @@ def kept_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[..
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = start()
+        keep = begun(start)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)

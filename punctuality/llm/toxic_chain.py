@@ -14,7 +14,6 @@ the models are fitted in numpy on the driver. Scoring reads every whole text.
 
 from __future__ import annotations
 
-import functools
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from punctuality.llm.texts import Remembered, kept_rows, map_rows, shared, small_batches, words_of
+from punctuality.llm.texts import Remembered, begun, kept_rows, map_rows, shared, small_batches, words_of, worker_memo
 
 TRAIN_ROWS, FOLDS = 20_000, 5
 #: Of the rows that hold a feature, this share must be of a category, and so many rows at least.
@@ -58,7 +57,7 @@ def grams(word: bytes) -> tuple[str, ...]:
 FEATURE_WORDS = 200_000
 
 
-@functools.lru_cache(maxsize=1)
+@worker_memo
 def _features_of_words(chosen: tuple[str, ...]) -> Remembered:
     """Numbers of the chosen grams in a word; one memo for all tasks of a Python worker."""
     features = {gram: i for i, gram in enumerate(chosen)}
@@ -190,6 +189,7 @@ def _gram_counts(labelled: DataFrame, n_categories: int) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         known = Remembered(grams, 100_000)
         rows, hits = Counter(), [Counter() for _ in range(n_categories)]
 

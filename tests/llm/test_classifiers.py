@@ -491,3 +491,22 @@ def test_a_worker_remembers_the_words_of_one_model():
     for k in range(2 * chain_module.FEATURE_WORDS):
         first[b"%d" % k]
     assert len(first) + len(first.older) <= chain_module.FEATURE_WORDS
+
+
+def test_a_worker_lets_go_of_the_memos_of_other_operators(spark):
+    from punctuality.llm import packing, texts
+    from punctuality.llm import toxic_chain as chain_module
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(8)], "doc_id long, text string").repartition(4)
+    packing.token_pieces(docs).count()
+
+    def start():
+        return lambda doc_id: [(packing._known_words.cache_info().currsize,)]
+
+    held = texts.map_rows(docs.select("doc_id"), start, "held int")
+    assert {r["held"] for r in held.collect()} == {0}
+    chain_module._features_of_words(("^a$=",))
+    texts.begun(lambda: chain_module._features_of_words(("^a$=",)))
+    assert chain_module._features_of_words.cache_info().currsize == 1  # asked for again, so it stays
+    texts.begun()
+    assert chain_module._features_of_words.cache_info().currsize == 0
