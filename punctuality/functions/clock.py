@@ -33,10 +33,7 @@ def checked_clock_minutes(clock: Column, *, strict_midnight: bool = False) -> Co
 def clock_text(minutes: Column) -> Column:
     """Minutes past midnight to ``HHmm``, wrapping at the day's end."""
     wrapped = F.pmod(minutes.cast("int"), F.lit(MINUTES_PER_DAY))
-    return F.concat(
-        F.lpad(F.floor(wrapped / 60).cast("string"), 2, "0"),
-        F.lpad((wrapped % 60).cast("string"), 2, "0"),
-    )
+    return F.lpad((F.floor(wrapped / 60) * 100 + wrapped % 60).cast("string"), 4, "0")
 
 
 def arrival_clock(departure_hour: Column, elapsed_minutes: Column) -> Column:

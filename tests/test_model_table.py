@@ -160,3 +160,23 @@ def test_building_plans_starts_no_job(spark, sf_dir):
     # Reading a Parquet footer for its schema is a job of one task; nothing else may run.
     tracker = spark.sparkContext.statusTracker()
     assert all(len(tracker.getJobInfo(j).stageIds) == 1 for j in before | after if tracker.getJobInfo(j))
+
+
+def test_the_parser_of_clocks_is_compiled(spark, sf_dir):
+    """A JVM interprets methods of more than 8000 bytes, some five times slower a row."""
+    import contextlib
+    import io
+    import re
+
+    from punctuality.plans import inputs
+    from punctuality.plans.model_table import model_table
+
+    told = io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(told):
+            model_table(inputs.yearly_flights(spark, sf_dir), keep=("row_key",)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told.getvalue())]
+    assert sizes and max(sizes) < 8000
