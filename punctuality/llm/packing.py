@@ -33,6 +33,8 @@ CAPACITY = 4096
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: Hash cells of a length; ranks are counted within a cell.
 CELLS = 256
+#: Words, and parts of words, that a task remembers.
+TASK_WORDS, TASK_PARTS = 400_000, 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,7 +49,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         import public_tokenizers
 
         end = np.array([end_id], "<u4").tobytes()
-        known = _known_words(path or public_tokenizers.path(TOKENIZER))
+        known = _known_words(path or public_tokenizers.path(TOKENIZER))()
 
         def each(doc_id, text):
             ids = b"".join(map(known.__getitem__, words_of(text))) + end
@@ -61,13 +63,23 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 @worker_memo
-def _known_words(path: str) -> Remembered:
-    """One memo for all tasks of a Python worker, until tasks of other kinds run there."""
-    return Remembered(word_encoder(path))
+def _known_words(path: str) -> Callable[[], Remembered]:
+    """Makes a task's memo of words; a worker keeps the tokenizer, until tasks of other kinds run there.
+
+    Words go with their task: Spark deals tasks to the idle workers of an executor in turn, and
+    after operators with several workers a task there are more of those than tasks at a time.
+    """
+    encoder = word_encoders(path)
+    return lambda: Remembered(encoder(), TASK_WORDS)
 
 
 def word_encoder(path: str) -> Callable[[bytes], bytes]:
-    """Ids of a word, as bytes of little-endian 32-bit numbers.
+    """Ids of a word, as bytes of little-endian 32-bit numbers."""
+    return word_encoders(path)()
+
+
+def word_encoders(path: str) -> Callable[[], Callable[[bytes], bytes]]:
+    """Makes word encoders with one tokenizer, each with a memo of its own.
 
     Where the file splits by one pattern and then works on bytes (and lower-cases after NFC),
     Latin words are split here and their parts, of which there are far fewer than words, are
@@ -88,33 +100,38 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
     normal = [x["type"] for x in (content.get("normalizer") or {}).get("normalizers", [])]
     simple = [x["type"] for x in splitters] == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]
     if not (simple and splitters[0]["invert"] and not splitters[1]["use_regex"] and not splitters[1]["add_prefix_space"]):
-        return whole
+        return lambda: whole
     pattern = regex.compile(splitters[0]["pattern"]["Regex"])
     symbols = {b: c for c, b in byte_symbols().items()}
 
     def part(text: str) -> bytes:
-        said = text.encode().decode("latin-1").translate(symbols)
+        said = text if text.isascii() else text.encode().decode("latin-1").translate(symbols)
         ids = [x.id for x in tokenize(said)]
         return pack(f"<{len(ids)}I", *ids)
 
-    parts, tokenize = Remembered(part), tokenizer.model.tokenize
-
-    def encode(word: bytes) -> bytes:
-        text = word.decode()
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = unicodedata.normalize("NFC", text)
-            if max(text) >= "\u0250":
+    tokenize = tokenizer.model.tokenize
+
+    def encoder() -> Callable[[bytes], bytes]:
+        parts = Remembered(part, TASK_PARTS)
+
+        def encode(word: bytes) -> bytes:
+            text = word.decode()
+            if text.isascii():
+                text = text.lower()
+            else:
+                text = unicodedata.normalize("NFC", text)
+                if max(text) >= "\u0250":
+                    return whole(word)
+                text = "".join(map(str.lower, text))
+            if text.isalpha():
+                return parts[text]
+            if not text.isprintable():
                 return whole(word)
-            text = "".join(map(str.lower, text))
-        if text.isalpha():
-            return parts[text]
-        if not text.isprintable():
-            return whole(word)
-        return b"".join(map(parts.__getitem__, pattern.findall(text)))
-
-    return encode
+            return b"".join(map(parts.__getitem__, pattern.findall(text)))
+
+        return encode
+
+    return encoder
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:

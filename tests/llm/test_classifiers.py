@@ -510,3 +510,23 @@ def test_a_worker_lets_go_of_the_memos_of_other_operators(spark):
     assert chain_module._features_of_words.cache_info().currsize == 1  # asked for again, so it stays
     texts.begun()
     assert chain_module._features_of_words.cache_info().currsize == 0
+
+
+def test_words_go_with_their_task(spark):
+    """Tasks go to the idle workers in turn: what a worker keeps is there once for each worker of the pool."""
+    import gc
+
+    import public_tokenizers
+
+    from punctuality.llm import packing, texts
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(8)], "doc_id long, text string").repartition(4)
+    assert packing.token_pieces(docs).count() == 8
+    path = public_tokenizers.path(packing.TOKENIZER)
+
+    def start():
+        packing._known_words(path)  # asked for, so the worker keeps what it has of it
+        return lambda doc_id: [(sum(len(x) + len(x.older) for x in gc.get_objects() if type(x) is texts.Remembered),)]
+
+    held = texts.map_rows(docs.select("doc_id"), start, "held int")
+    assert {r["held"] for r in held.collect()} == {0}
