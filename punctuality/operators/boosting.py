@@ -11,9 +11,10 @@ finds its best split; the driver sees that split and three totals per node, no s
 * Gradients are whole numbers (a fraction of 2**-30 of their range), so sums do not depend on
   the order of rows: the same trees come out for any partitioning and after any retry.
 * Nulls take the side of a split that lowers the loss more; where a node has none, the larger.
-* ``fit_many`` fits models for all values of a key column in the same passes. A fit of few cells
-  (``LOCAL_CELLS``, one task's share) is not worth a job per pass: its rows meet in one task,
-  which makes the same passes over them. Sums are exact, so the trees are the same either way.
+* ``fit_many`` fits models for all values of a key column in the same passes. A fit whose bins take
+  few hundred MB (``LOCAL_CELLS``, ``LOCAL_ROWS``) is not worth a job per pass: its rows meet in one
+  task, which makes the same passes over them. Sums are exact, so the trees are the same either way.
+* Scoring looks trees up by bins (``_Tables``), two trees at a time and without walking them.
 """
 
 from __future__ import annotations
@@ -47,9 +48,15 @@ MISSING = BINS - 1
 #: Rows that are packed together, rounds between checkpoints of the scores, and the bytes of
 #: sums that go directly to one task to be added. More are dealt over several tasks.
 PACK_ROWS, CHECKPOINT, DIRECT_BYTES = 65_536, 20, 4 << 20
-#: Cells (rows x features) of a task at most, at least where cores are free, and up to which a fit
-#: goes into one task as a whole; bytes of scores that a Python worker remembers.
-TASK_CELLS, LEAST_CELLS, LOCAL_CELLS, MEMO_BYTES = 1 << 24, 1 << 18, 1 << 21, 256 << 20
+#: Cells (rows x features) of a task at most, and at least where cores are free; bytes of scores
+#: that a Python worker remembers.
+TASK_CELLS, LEAST_CELLS, MEMO_BYTES = 1 << 24, 1 << 18, 256 << 20
+#: Cells and rows up to which a fit goes into one task as a whole. There, a cell takes 3 bytes at
+#: most and a row some 80: label, score, slopes, place, and what is copied while a node is split.
+LOCAL_CELLS, LOCAL_ROWS = 1 << 25, 1 << 21
+#: Cells of a joint histogram of features, rows whose slopes add up exactly in a double, and rows
+#: that are scored at once.
+JOINT_CELLS, EXACT_ROWS, SCORED_ROWS = 1 << 13, 1 << 20, 1 << 14
 _ONE = 1 << 30
 
 
@@ -81,8 +88,8 @@ class Bins:
         out = np.full((len(self.features), len(columns[0])), MISSING, np.uint8)
         for i, (name, values) in enumerate(zip(self.features, columns, strict=True)):
             if name in self.levels:
-                known = {level: k for k, level in enumerate(self.levels[name])}
-                out[i] = values.astype(object).map(known).astype(np.float64).fillna(MISSING).astype(np.uint8)
+                known = pd.Index(self.levels[name], dtype=object).get_indexer(values.astype(object))
+                out[i] = np.where(known < 0, MISSING, known)
             else:
                 numbers = values.astype(np.float64).to_numpy()
                 there = ~np.isnan(numbers)
@@ -111,8 +118,7 @@ class Tree:
             if self.children[node, 0] < 0:
                 out[node] = own
                 continue
-            left = self.goes_left[node][bins[self.feature[node]][own]]
-            open_[int(self.children[node, 0])], open_[int(self.children[node, 1])] = own[left], own[~left]
+            open_[int(self.children[node, 0])], open_[int(self.children[node, 1])] = _dealt(own, bins[self.feature[node]], self.goes_left[node])
         return out
 
     def add(self, bins: np.ndarray, scores: np.ndarray) -> None:
@@ -120,6 +126,61 @@ class Tree:
             scores[own] += self.value[node]
 
 
+def _dealt(own: np.ndarray, column: np.ndarray, goes_left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a node that go left, and those that go right."""
+    left = goes_left.take(column.take(own))
+    return own.take(np.flatnonzero(left)), own.take(np.flatnonzero(~left))
+
+
+class _Tables:
+    """Trees of at most 32 leaves, two at a time, as a table per feature.
+
+    A bin's entry has a bit for each leaf that rows of this bin can reach. The entries of a row's
+    bins have one bit in common for each tree: its leaf.
+    """
+
+    def __init__(self, trees: Sequence[Tree], features: int):
+        self.pairs = []
+        for at in range(0, len(trees), 2):
+            masks, values = np.full((features, BINS), ~np.uint64(0)), np.zeros(64)
+            for i, tree in enumerate(trees[at : at + 2]):
+                self._reach(tree, 32 * i, masks, values)
+            if at + 1 == len(trees):  # no second tree: one leaf without a value
+                masks &= np.uint64((1 << 33) - 1)
+            used = np.flatnonzero((masks != np.bitwise_or.reduce(masks, None)).any(1))
+            self.pairs.append((used if len(used) else np.array([0]), masks, values))
+
+    @staticmethod
+    def _reach(tree: Tree, first: int, masks: np.ndarray, values: np.ndarray) -> None:
+        leaf = {int(node): k for k, node in enumerate(np.flatnonzero(tree.children[:, 0] < 0))}
+        below = {node: 1 << (first + k) for node, k in leaf.items()}
+        for node in reversed(range(len(tree.feature))):  # children come after their parents
+            if node not in below:
+                sides = [below[int(c)] for c in tree.children[node]]
+                gone = np.where(tree.goes_left[node], np.uint64(sides[1]), np.uint64(sides[0]))
+                masks[tree.feature[node]] &= ~gone
+                below[node] = sides[0] | sides[1]
+        masks &= ~np.uint64(((1 << 32) - 1 << first) & ~below[0])
+        for node, k in leaf.items():
+            values[first + k] = tree.value[node]
+
+    def add(self, bins: np.ndarray, scores: np.ndarray) -> None:
+        """The trees' values, tree by tree."""
+        for at in range(0, len(scores), SCORED_ROWS):
+            out = scores[at : at + SCORED_ROWS]
+            slots = bins[:, at : at + SCORED_ROWS].astype(np.intp)
+            more = np.empty(len(out), np.uint64)
+            for used, masks, values in self.pairs:
+                reached = masks[used[0]].take(slots[used[0]])
+                for f in used[1:]:
+                    np.take(masks[f], slots[f], out=more, mode="clip")
+                    reached &= more
+                # The one bit of each tree, by the exponent of a float.
+                first, second = ((half.astype(np.uint32).astype(np.float32).view(np.int32) >> 23) - 127 for half in (reached, reached >> np.uint64(32)))
+                out += values.take(first)
+                out += values[32:].take(second)
+
+
 def learn_bins(rows: DataFrame, fit: str, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, Bins]:
     """Bins per value of ``fit``: quantiles of all its rows, and its most frequent levels."""
     features = [*categorical, *numeric]
@@ -356,6 +417,47 @@ def _node_sums(rows: np.ndarray, bins: np.ndarray, slopes: tuple[np.ndarray, np.
     return total
 
 
+class _Joint:
+    """Features of few bins counted together: one histogram over all combinations of a group's bins,
+    added up per feature after."""
+
+    def __init__(self, bins: np.ndarray):
+        # Bins in use, and one for missing values.
+        widths = [2 + int(np.where(column == MISSING, 0, column).max(initial=0)) for column in bins]
+        self.features, self.groups = len(bins), []
+        for f in sorted(range(len(bins)), key=lambda f: (-widths[f], f)):
+            group = next((g for g in self.groups if widths[f] * np.prod([widths[x] for x in g]) <= JOINT_CELLS), None)
+            group.append(f) if group is not None else self.groups.append([f])
+        self.widths = [[widths[f] for f in group] for group in self.groups]
+        self.codes = np.empty((len(self.groups), bins.shape[1]), np.uint16)
+        for code, group, own in zip(self.codes, self.groups, self.widths, strict=True):
+            code[:] = 0
+            for f, width in zip(group, own, strict=True):
+                code *= np.uint16(width)
+                code += np.minimum(bins[f], width - 1)
+
+    def sums(self, rows: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """As :func:`_node_sums`, of rows in order; ``slopes`` are complex, gradients and hessians."""
+        total = np.zeros((self.features, BINS, 3), np.int64)
+        for at in range(0, len(rows), EXACT_ROWS):
+            some = rows[at : at + EXACT_ROWS]
+            every = slice(at, at + len(some)) if len(rows) == len(slopes) else None
+            weight = slopes[every] if every else slopes.take(some)
+            for code, group, widths in zip(self.codes, self.groups, self.widths, strict=True):
+                slot = (code[every] if every else code.take(some)).astype(np.intp)
+                both = np.zeros(int(np.prod(widths)), np.complex128)
+                np.add.at(both, slot, weight)
+                count = np.bincount(slot, minlength=len(both)).reshape(widths)
+                both = both.reshape(widths)
+                for i, f in enumerate(group):
+                    others = tuple(j for j in range(len(group)) if j != i)
+                    own = both.sum(others)
+                    parts = np.stack([own.real, own.imag, count.sum(others)], -1).astype(np.int64)
+                    total[f, : widths[i] - 1] += parts[:-1]
+                    total[f, MISSING] += parts[-1]
+        return total
+
+
 @dataclass
 class _Pack:
     """What a worker remembers of a pack: scores and slopes, and the rows of the open nodes of a tree."""
@@ -461,12 +563,22 @@ class Boosted:
     bins: dict[str, Bins]
     starts: dict[str, float]
     trees: dict[str, list[Tree]]
+    #: Of the trees, made by the task that first scores rows with them.
+    tables: dict[str, _Tables] = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": {}}
 
     def raw(self, fit: str, columns: Sequence[pd.Series]) -> np.ndarray:
         bins = self.bins[fit].of(columns)
         out = np.full(bins.shape[1], self.starts[fit])
-        for tree in self.trees[fit]:
-            tree.add(bins, out)
+        if all(len(tree.feature) <= 63 for tree in self.trees[fit]):  # 32 leaves
+            if fit not in self.tables:
+                self.tables[fit] = _Tables(self.trees[fit], len(bins))
+            self.tables[fit].add(bins, out)
+        else:
+            for tree in self.trees[fit]:
+                tree.add(bins, out)
         return out
 
     def column(self, fit=None):
@@ -543,24 +655,20 @@ def _fit_here(settings: Settings, categories: np.ndarray, bins: np.ndarray, labe
 
     Here the rows of a node are at hand, so a pass sums those of one node only.
     """
-    features = len(bins)
-    slots = bins + np.arange(0, features * BINS, BINS, dtype=np.int64)[:, None]
+    joint, every = _Joint(bins), np.arange(len(label))
     raw, trees = np.full(len(label), start), []
     for _ in range(settings.rounds):
-        own, rows = _Growing(settings, categories, scale, ahead=False), {0: np.arange(len(label))}
-        g, h = _slopes(settings.loss, label, raw, scale)
+        own, rows = _Growing(settings, categories, scale, ahead=False), {0: every}
+        slopes = np.empty(len(label), np.complex128)
+        slopes.real, slopes.imag = _slopes(settings.loss, label, raw, scale)
         going = True
         while going:
             (node, parent), = own.wanted().items()
             if parent >= 0:
                 _, feature, goes_left, _, _ = own.splits[parent]
-                left = goes_left[bins[feature, rows[parent]]]
-                for child, side in zip(own.made[parent], (left, ~left), strict=True):
-                    rows[child] = rows[parent][side]
-            at = rows[node]
-            slot = slots[:, at].ravel()
-            sums = [np.bincount(slot, w if w is None else np.tile(w[at], features), features * BINS) for w in (g, h, None)]
-            own.take({node: np.stack(sums, -1).astype(np.int64).reshape(features, BINS, 3)})
+                for child, side in zip(own.made[parent], _dealt(rows.pop(parent), bins[feature], goes_left), strict=True):
+                    rows[child] = side
+            own.take({node: joint.sums(rows[node], slopes)})
             going = own.grow()
         if not own.taken:
             break
@@ -585,7 +693,7 @@ def _small_fits(packs: DataFrame, model: Boosted, scales: Mapping[str, float]) -
         return pa.table({"fit": [name], "state": [one.dumps()]})
 
     # Many more partitions than fits, a number of its own: fits seldom share a task.
-    dealt = packs.repartition(min(8 * len(bins), 4096), "fit")
+    dealt = packs.drop("raw").repartition(min(8 * len(bins), 4096), "fit")
     for row in dealt.groupBy("fit").applyInArrow(fitted, "fit string, state string").collect():
         model.trees[row["fit"]] = Boosted.loads(row["state"]).trees[row["fit"]]
 
@@ -611,7 +719,7 @@ def fit_many(rows: DataFrame, fit: str, label: str, numeric: Sequence[str], cate
     starts, scales = _starts(rows, fit, label, settings)
     model = Boosted(settings, bins, starts, {name: [] for name in bins})
     cells = {name: own.rows * len(own.features) for name, own in bins.items()}
-    small = [name for name in bins if cells[name] <= LOCAL_CELLS]
+    small = [name for name in bins if cells[name] <= LOCAL_CELLS and bins[name].rows <= LOCAL_ROWS]
     cores = rows.sparkSession.sparkContext.defaultParallelism
     dealt = min(cores, sum(cells.values()) // LEAST_CELLS)
     packs = _pack(rows.repartition(dealt) if len(small) < len(bins) and dealt > 1 else rows, fit, label, bins, starts)

@@ -185,3 +185,67 @@ def test_the_driver_gets_splits_and_no_sums(spark, monkeypatch):
     fit_many(frame(spark, rows_of(4, 400, "one")), "fit", "label", NUMBERS, LEVELS, Settings(rounds=2, leaf_rows=5))
     nodes = [x for found in sent for x in found["one"].values()]
     assert len(nodes) > 10 and max(len(pickle.dumps(x)) for x in nodes) < 2000  # sums: 5 features x 6 KB
+
+
+def grown(seed, rounds, leaves=31):
+    """Bins of odd widths, some missing, and trees grown on them."""
+    rng = np.random.default_rng(seed)
+    widths, n = [255, 254, 40, 13, 7, 1], 6000
+    bins = np.stack([np.where(rng.random(n) < 0.1, MISSING, rng.integers(0, w, n)) for w in widths]).astype(np.uint8)
+    label = ((bins[0] > 100) ^ (bins[2] % 3 == 0) ^ (rng.random(n) < 0.2)).astype(float)
+    categories = np.array([False, False, True, False, True, False])
+    settings = Settings(rounds=rounds, leaves=leaves)
+    return bins, label, boosting._fit_here(settings, categories, bins, label, 0.0, float(ONE))
+
+
+@pytest.mark.parametrize("rounds, leaves", [(7, 31), (4, 32), (1, 2)])
+def test_tables_score_as_walking_the_trees_does(rounds, leaves, monkeypatch):
+    """Odd and even numbers of trees, all leaves of a word, rows in several blocks."""
+    monkeypatch.setattr(boosting, "SCORED_ROWS", 1000)
+    bins, label, trees = grown(1, rounds, leaves)
+    assert max((t.children[:, 0] < 0).sum() for t in trees) == leaves
+    walked, looked_up = np.full(len(label), 0.3), np.full(len(label), 0.3)
+    for tree in trees:
+        tree.add(bins, walked)
+    boosting._Tables(trees, len(bins)).add(bins, looked_up)
+    assert (walked == looked_up).all() and len(set(walked)) > 1
+
+
+def test_trees_of_more_leaves_than_a_table_has(spark):
+    rows = rows_of(8, 600, "one")
+    model = fit_many(frame(spark, rows), "fit", "label", NUMBERS, LEVELS, Settings(rounds=2, leaves=40, leaf_rows=2))
+    assert max(len(t.feature) for t in model.trees["one"]) > 63
+    df = frame(spark, rows)
+    got = [r["p"] for r in df.withColumn("p", model.column(F.col("fit"))).orderBy("place").collect()]
+    assert got == pytest.approx(plain(rows, model.settings).tolist(), abs=1e-9)
+
+
+def test_joint_sums_are_those_of_each_feature(monkeypatch):
+    monkeypatch.setattr(boosting, "EXACT_ROWS", 700)
+    bins, label, _ = grown(2, 1)
+    g, h = boosting._slopes("logistic", label, np.linspace(-3, 3, len(label)), float(ONE))
+    joint = boosting._Joint(bins)
+    assert len(joint.groups) < len(bins) and sorted(f for group in joint.groups for f in group) == list(range(len(bins)))
+    for rows in (np.arange(len(label)), np.arange(5, len(label), 3), np.arange(0)):
+        assert (joint.sums(rows, g + 1j * h) == boosting._node_sums(rows, bins, (g, h))).all()
+
+
+def test_a_fit_that_fits_in_a_task_makes_no_passes(spark, monkeypatch):
+    """More cells than one task took before: 8 passes of jobs a round, at 0.3 s."""
+    monkeypatch.setattr(boosting, "_told", lambda *x: pytest.fail("a job for a pass"))
+    df = spark.range(0, 600_000, 1, 4).select(
+        F.lit("one").alias("fit"),
+        (F.xxhash64("id") % 2 == 0).cast("double").alias("label"),
+        *[(F.xxhash64("id", F.lit(i)) % (10 + 30 * i)).cast("double").alias(f"x{i}") for i in range(4)],
+    )
+    model = fit_many(df, "fit", "label", [f"x{i}" for i in range(4)], [], Settings(rounds=2))
+    assert len(model.trees["one"]) == 2 and model.bins["one"].rows * 4 > 1 << 21
+
+
+def test_a_fit_of_too_many_rows_is_not_sent_to_one_task(spark, monkeypatch):
+    rows = rows_of(9, 300, "one")
+    s = Settings(rounds=2, leaf_rows=5)
+    here = fit_many(frame(spark, rows), "fit", "label", NUMBERS, LEVELS, s).dumps()
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 299)
+    monkeypatch.setattr(boosting, "_small_fits", lambda *x: pytest.fail("all rows in a task"))
+    assert fit_many(frame(spark, rows), "fit", "label", NUMBERS, LEVELS, s).dumps() == here
