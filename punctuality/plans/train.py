@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -168,20 +170,24 @@ def evaluate_scenarios(
     """One row of metrics per scenario and model, all scores in one pass.
 
     The boosted models of all scenarios are fitted side by side; a feature that a scenario does
-    not know is missing in all its rows and splits nothing.
+    not know is missing in all its rows and splits nothing. Few tasks are busy with them, so the
+    other models are fitted meanwhile.
     """
     every = list(dict.fromkeys(f for features in scenarios.values() for f in features))
     types = {f.name: f.dataType for f in table.schema.fields}
     out = fit_rows = test_rows = None
     for name, features in scenarios.items():
-        train, test = train_test(table, features, train_year, test_year)
         known = [F.col(f) if f in features else F.lit(None).cast(types[f]).alias(f) for f in every]
-        own = [df.select(F.lit(name).alias("scenario"), "label", *known) for df in (train, test)]
-        one = scored_models(train, test, features, logistic_iter=logistic_iter).withColumn("scenario", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+        own = [df.select(F.lit(name).alias("scenario"), "label", *known) for df in train_test(table, features, train_year, test_year)]
         fit_rows = own[0] if fit_rows is None else fit_rows.unionByName(own[0])
         test_rows = own[1] if test_rows is None else test_rows.unionByName(own[1])
-    model = fit_boosted(fit_rows, "scenario", every, max_iter=max_iter)
+    with ThreadPoolExecutor(1) as beside:
+        fitted = beside.submit(inheritable_thread_target(table.sparkSession)(fit_boosted), fit_rows, "scenario", every, max_iter=max_iter)
+        for name, features in scenarios.items():
+            one = scored_models(*train_test(table, features, train_year, test_year), features, logistic_iter=logistic_iter)
+            one = one.withColumn("scenario", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+        model = fitted.result()
     boosted = test_rows.select("scenario", "label", F.lit("gradient boosting").alias("model"), model.column(F.col("scenario")).alias("prob"))
     return evaluate(out.unionByName(boosted), ["scenario", "model"])
 

@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,32 @@ def test_scenarios_side_by_side_are_single_fits(years, table):
     assert got["few", "gradient boosting"] == pytest.approx(sm.evaluate(scored).first().pr_auc, abs=1e-12)
 
 
+def test_other_models_are_fitted_beside_the_boosted_ones(table, monkeypatch):
+    """A fit of boosted models takes few tasks: it does not wait for the others."""
+    begun, fit_boosted, scored_models = threading.Event(), train.fit_boosted, train.scored_models
+
+    def first(*x, **more):
+        begun.set()
+        return fit_boosted(*x, **more)
+
+    def second(*x, **more):
+        assert begun.wait(60)
+        return scored_models(*x, **more)
+
+    monkeypatch.setattr(train, "fit_boosted", first)
+    monkeypatch.setattr(train, "scored_models", second)
+    out = train.evaluate_scenarios(table, 1999, 2000, {"all": FEATURES}, max_iter=2, logistic_iter=2)
+    assert {r.model for r in out.collect()} >= {"gradient boosting", "logistic regression"}
+
+    def failing(*x, **more):
+        raise ArithmeticError("boosted")
+
+    monkeypatch.setattr(train, "fit_boosted", failing)
+    monkeypatch.setattr(train, "scored_models", scored_models)
+    with pytest.raises(ArithmeticError, match="boosted"):
+        train.evaluate_scenarios(table, 1999, 2000, {"all": FEATURES}, max_iter=2, logistic_iter=2)
+
+
 def test_unseen_levels_and_missing_values_are_scored(years, boosted):
     _, test = years
     odd = test.limit(5).withColumns({"origin": F.lit("NEW"), "distance": F.lit(None).cast("double")})
