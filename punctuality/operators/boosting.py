@@ -54,9 +54,9 @@ TASK_CELLS, LEAST_CELLS, MEMO_BYTES = 1 << 24, 1 << 18, 256 << 20
 #: Cells and rows up to which a fit goes into one task as a whole. There, a cell takes 3 bytes at
 #: most and a row some 80: label, score, slopes, place, and what is copied while a node is split.
 LOCAL_CELLS, LOCAL_ROWS = 1 << 25, 1 << 21
-#: Cells of a joint histogram of features, rows whose slopes add up exactly in a double, and rows
-#: that are scored at once.
-JOINT_CELLS, EXACT_ROWS, SCORED_ROWS = 1 << 13, 1 << 20, 1 << 14
+#: Cells of a joint histogram of features, rows of a node that are worth one, rows whose slopes add
+#: up exactly in a double, and rows that are scored at once.
+JOINT_CELLS, JOINT_ROWS, EXACT_ROWS, SCORED_ROWS = 1 << 13, 1 << 11, 1 << 20, 1 << 14
 _ONE = 1 << 30
 
 
@@ -419,9 +419,10 @@ def _node_sums(rows: np.ndarray, bins: np.ndarray, slopes: tuple[np.ndarray, np.
 
 class _Joint:
     """Features of few bins counted together: one histogram over all combinations of a group's bins,
-    added up per feature after."""
+    added up per feature after. Nodes of few rows are counted per feature."""
 
     def __init__(self, bins: np.ndarray):
+        self.bins, self.starts = bins, np.arange(0, len(bins) * BINS, BINS)[:, None]
         # Bins in use, and one for missing values.
         widths = [2 + int(np.where(column == MISSING, 0, column).max(initial=0)) for column in bins]
         self.features, self.groups = len(bins), []
@@ -438,6 +439,11 @@ class _Joint:
 
     def sums(self, rows: np.ndarray, slopes: np.ndarray) -> np.ndarray:
         """As :func:`_node_sums`, of rows in order; ``slopes`` are complex, gradients and hessians."""
+        if len(rows) < JOINT_ROWS:
+            slot, weight = (self.bins.take(rows, 1) + self.starts).ravel(), slopes.take(rows)
+            weights = *(np.tile(w, self.features) for w in (weight.real, weight.imag)), None
+            sums = [np.bincount(slot, w, self.features * BINS) for w in weights]
+            return np.stack(sums, -1).astype(np.int64).reshape(self.features, BINS, 3)
         total = np.zeros((self.features, BINS, 3), np.int64)
         for at in range(0, len(rows), EXACT_ROWS):
             some = rows[at : at + EXACT_ROWS]

@@ -222,11 +222,12 @@ def test_trees_of_more_leaves_than_a_table_has(spark):
 
 def test_joint_sums_are_those_of_each_feature(monkeypatch):
     monkeypatch.setattr(boosting, "EXACT_ROWS", 700)
+    monkeypatch.setattr(boosting, "JOINT_ROWS", 1000)
     bins, label, _ = grown(2, 1)
     g, h = boosting._slopes("logistic", label, np.linspace(-3, 3, len(label)), float(ONE))
     joint = boosting._Joint(bins)
     assert len(joint.groups) < len(bins) and sorted(f for group in joint.groups for f in group) == list(range(len(bins)))
-    for rows in (np.arange(len(label)), np.arange(5, len(label), 3), np.arange(0)):
+    for rows in (np.arange(len(label)), np.arange(5, len(label), 3), np.arange(5, len(label), 30), np.arange(0)):
         assert (joint.sums(rows, g + 1j * h) == boosting._node_sums(rows, bins, (g, h))).all()
 
 
